@@ -137,10 +137,16 @@ def with_tables(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({_text(n, 'duckdb')})" for n in order)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input of fewer splits than cores, such as one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a DataFrame; raw driver tables are read as they are."""
     if name not in _ALL:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     inputs = {n: table(spark, sf_dir, n) for n in _NEEDS[name]}
     body = _text(name, "spark")
     for needed in inputs:

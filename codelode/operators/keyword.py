@@ -1,16 +1,16 @@
 """Keyword retrieval (RET-2) on postings.
 
-A chunk is reduced to its distinct white-space tokens, and each token to
-match keys: its folded words, and for every character outside ``a-z0-9`` the
-character with its neighbours. A query term has exactly one key, so terms meet
-tokens in an equi-join on (repository, run, key); a term that is not a plain
-word is then confirmed as a substring of the token. Terms hold no white space,
-so a substring of the text is always inside one token.
+A chunk is reduced to match keys, each once: its folded words, and the
+two-character pairs around characters outside ``a-z0-9`` together with the
+token they stand in. A query term has exactly one key, so terms meet chunks in
+an equi-join on (repository, run, key); a term that is not a plain word is then
+confirmed as a substring of the token. Terms hold no white space, so a
+substring of the text is always inside one white-space token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode import fixed
 from codelode.functions import scores, text as tx
@@ -19,30 +19,59 @@ from codelode.session import is_small, maybe_broadcast
 
 SCOPE = ["repository_id", "ingestion_id"]
 _SPECIAL = "[^a-z0-9]"
-# A special character alone, with the character before, after, and both.
-_CONTEXTS = [f"(?s)(?=({p}))" for p in (_SPECIAL, f".{_SPECIAL}", f"{_SPECIAL}.", f".{_SPECIAL}.")]
+_PAIR = rf".{_SPECIAL}|{_SPECIAL}."
 _WORD = r"\A[a-z0-9]+\z"
+# A white-space token with at least one special character.
+_SPECIAL_TOKEN = r"(?U)[a-z0-9]*+[^a-z0-9\s\x1c-\x1f][^\s\x1c-\x1f]*+"
+
+
+def _word_keys(blob: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(blob, F.lit("[a-z0-9]+"), 0))
+    folded = F.array_distinct(F.transform(words, tx.fold))
+    return F.transform(
+        folded,
+        lambda w: F.struct(
+            F.concat(F.lit("w "), w).alias("match_key"),
+            F.lit(None).cast("string").alias("token"),
+        ),
+    )
 
 
-def _word_key(word: Column) -> Column:
-    return F.concat(F.lit("w "), tx.fold(word))
+def _special_keys(blob: Column) -> Column:
+    """Pairs and lone non-ASCII characters of each special token.
 
+    A term neither starts nor ends with edge punctuation, so that much is
+    trimmed from the tokens first; most of them become plain words.
+    """
+    tokens = F.array_distinct(F.regexp_extract_all(blob, F.lit(_SPECIAL_TOKEN), 0))
+    trimmed = F.transform(
+        tokens,
+        lambda t: F.rtrim(
+            F.ltrim(t, F.lit(fixed.EDGE_PUNCTUATION)), F.lit(fixed.EDGE_PUNCTUATION + ".")
+        ),
+    )
+    special = F.filter(F.array_distinct(trimmed), lambda t: t.rlike(_SPECIAL))
 
-def _token_keys(token: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(token, F.lit("[a-z0-9]+"), 0), _word_key)
-    contexts = [
-        F.transform(F.regexp_extract_all(token, F.lit(p), 1), lambda g: F.concat(F.lit("g "), g))
-        for p in _CONTEXTS
-    ]
-    mixed = F.array_distinct(F.concat(words, *contexts))
-    return F.when(token.rlike(_WORD), F.array(_word_key(token))).otherwise(mixed)
+    def keys(token: Column) -> Column:
+        pairs = F.regexp_extract_all(token, F.lit(f"(?s)(?=({_PAIR}))"), 1)
+        alone = F.regexp_extract_all(token, F.lit(r"[^\x00-\x7f]"), 0)
+        return F.transform(
+            F.array_distinct(F.concat(pairs, alone)),
+            lambda g: F.struct(
+                F.concat(F.lit("g "), g).alias("match_key"), token.alias("token")
+            ),
+        )
+
+    return F.flatten(F.transform(special, keys))
 
 
 def _term_key(term: Column) -> Column:
-    """The one key of a lower-cased term: a word, or its first special context."""
-    context = F.regexp_extract(term, rf"(?s)(?:\A|.){_SPECIAL}(?:.|\z)", 0)
-    return F.when(term.rlike(_WORD), _word_key(term)).otherwise(
-        F.concat(F.lit("g "), context)
+    """The one key of a lower-cased term; a one-character term is its own key."""
+    pair = F.regexp_extract(term, f"(?s){_PAIR}", 0)
+    return (
+        F.when(term.rlike(_WORD), F.concat(F.lit("w "), tx.fold(term)))
+        .when(pair != "", F.concat(F.lit("g "), pair))
+        .otherwise(F.concat(F.lit("g "), term))
     )
 
 
@@ -54,31 +83,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """Distinct lower-cased tokens of name, path and text, one row each.
+    """Distinct match keys of name, path and text, one row each.
 
     The result may be kept as a table and handed to ``keyword_search``.
     """
     blob = F.lower(
         F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), F.col("file_path"), F.col("chunk_text"))
     )
-    tokens = F.array_distinct(tx.whitespace_tokens(blob))
-    return chunks.select(*SCOPE, "chunk_id", "file_path", F.explode(tokens).alias("token"))
+    rows = chunks.select(*SCOPE, "chunk_id", "file_path", blob.alias("_blob"))
+    keys = F.concat(_word_keys(F.col("_blob")), _special_keys(F.col("_blob")))
+    return rows.select(*SCOPE, "chunk_id", "file_path", F.inline(keys))
 
 
 def term_matches(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """JN-4 and JN-5: distinct (chunk, term) pairs."""
     wanted = terms.select(*SCOPE, "term", "match_key").distinct()
-    keyed = postings.select("*", F.explode(_token_keys(F.col("token"))).alias("match_key"))
-    met = keyed.join(maybe_broadcast(wanted, small), [*SCOPE, "match_key"])
-    met = met.where(F.col("match_key").startswith("w ") | F.contains("token", "term"))
-    return met.groupBy(*SCOPE, "chunk_id", "file_path", "term").agg(F.lit(1).alias("hit")).drop("hit")
+    met = postings.join(maybe_broadcast(wanted, small), [*SCOPE, "match_key"])
+    met = met.where(F.col("token").isNull() | F.contains("token", "term"))
+    return met.select(*SCOPE, "chunk_id", "file_path", "term").distinct()
 
 
 def document_frequency(terms: DataFrame, matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """AGG-7: df and N of every asked term over the whole run; absent terms have df 0."""
     sizes = chunks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
     found = matches.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
-    asked = terms.select(*SCOPE, "term").distinct()
+    asked = terms.select(*SCOPE, "term", "match_key").distinct().drop("match_key")
     return (
         asked.join(found, [*SCOPE, "term"], "left")
         .join(sizes, SCOPE)
@@ -92,8 +121,9 @@ def weighted_terms(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
     rows = terms.select("query_id", *SCOPE, "term").join(
         frequencies.withColumn("units", units), [*SCOPE, "term"]
     )
-    totals = rows.groupBy("query_id").agg(F.sum("units").alias("total_units"))
-    return rows.join(totals, "query_id")
+    # A query has at most 500 terms, so this window is small whatever the data.
+    total = F.sum("units").over(Window.partitionBy("query_id"))
+    return rows.withColumn("total_units", total)
 
 
 def symbol_matches(queries: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:

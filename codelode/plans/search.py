@@ -10,7 +10,7 @@ from codelode.operators.keyword import keyword_search
 from codelode.operators.overview import overview_search
 from codelode.operators.ranking import latest_run
 from codelode.operators.semantic import semantic_search
-from codelode.session import BROADCAST_ROWS, is_small, maybe_broadcast
+from codelode.session import BROADCAST_ROWS, maybe_broadcast, pin_small
 
 _DEFAULTS = {
     "top_k": ("int", 10),
@@ -60,8 +60,10 @@ def search(
     requests; see ``filters.validate_requests``. ``not_indexed`` lists the
     queries that cannot be answered.
     """
-    small = is_small(queries, broadcast_rows)
-    asked = resolve_runs(with_defaults(queries), runs).where(F.col("ingestion_id").isNotNull())
+    resolved = resolve_runs(with_defaults(queries), runs)
+    asked, small = pin_small(
+        resolved.where(F.col("ingestion_id").isNotNull()), broadcast_rows
+    )
     asked_scopes = asked.select("repository_id", "ingestion_id").distinct()
     # Only the asked runs are read; with a partitioned chunk table this prunes folders.
     scoped = chunks.join(

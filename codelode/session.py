@@ -31,6 +31,17 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def pin_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A request-like table as a local relation, if it has at most ``rows`` rows.
+
+    Reads at most one row beyond the bound; a larger table is returned as it is.
+    """
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
+        return df, False
+    return df.sparkSession.createDataFrame(head, df.schema), True
+
+
 def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     """Hint a broadcast only where the caller has checked the size."""
     return F.broadcast(df) if small else df
