@@ -1 +1,9 @@
 """Driver queries over the given tables, each with its SQL twin."""
+
+
+def load():
+    """All queries and all SQL twins."""
+    from checks import q_files  # noqa: F401
+    from checks.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES

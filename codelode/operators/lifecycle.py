@@ -118,16 +118,12 @@ def sweep_repositories(repositories: DataFrame, swept: DataFrame) -> DataFrame:
     Any run that ever failed this way counts, not only those of this sweep, and
     nothing changes when this sweep found no run.
     """
+    if swept.where("swept").isEmpty():
+        return repositories
     found = swept.where(
         (F.col("status") == "failed") & (F.col("error_message") == fixed.MSG_SWEPT)
     )
-    any_swept = sweep_count(swept).where(F.col("swept_count") > 0)
-    # One row or none: the condition joins as a scalar.
-    hit = (
-        found.select(F.col("repository_id").alias("id"))
-        .distinct()
-        .join(F.broadcast(any_swept.select(F.lit(True).alias("_hit"))), F.lit(True))
-    )
+    hit = found.select(F.col("repository_id").alias("id"), F.lit(True).alias("_hit")).distinct()
     rows = repositories.join(hit, "id", "left")
     failed = (F.col("status") == "analyzing") & F.coalesce("_hit", F.lit(False))
     return rows.withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).drop("_hit")

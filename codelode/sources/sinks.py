@@ -11,11 +11,12 @@ def replace_chunks(new: DataFrame, target: str) -> None:
     """SNK-1: the new run's chunks take the place of all others of their repository.
 
     Repositories without new chunks keep theirs. ``new`` must not be derived
-    from ``target``. Rows are spread by chunk within a repository, so a large
-    repository is written by many tasks.
+    from ``target``. Small repositories share a writing task and a large one is
+    split over several, by measured size.
     """
     (
-        new.write.mode("overwrite")
+        new.hint("rebalance", "repository_id")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repository_id")
         .parquet(target)
