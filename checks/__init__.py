@@ -3,7 +3,7 @@
 
 def load():
     """All queries and all SQL twins."""
-    from checks import q_files  # noqa: F401
+    from checks import q_chunks, q_files, q_retrieval  # noqa: F401
     from checks.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

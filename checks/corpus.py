@@ -70,11 +70,11 @@ LATEST = """
 # only comment lines, and documents without a vector keep NULL.
 CHUNKS = """
   SELECT f.doc_id AS chunk_id, f.repository_id,
-    CASE WHEN f.doc_id % 10 = 9 THEN -1 ELSE l.ingestion_id END AS ingestion_id,
+    CASE WHEN CAST(floor(f.doc_id / 20) AS BIGINT) % 10 = 9 THEN -1 ELSE l.ingestion_id END AS ingestion_id,
     f.path AS file_path,
     CASE WHEN f.doc_id % 4 <> 0 THEN f.lang END AS language,
     CASE WHEN f.doc_id % 3 = 0 THEN 'function' END AS chunk_type,
-    CASE WHEN f.doc_id % 3 = 0 THEN nullif(regexp_extract(f.text, '[A-Za-z]+', 0), '') END AS name,
+    CASE WHEN f.doc_id % 3 = 0 THEN nullif(regexp_extract(f.text, '[A-Z][a-z]', 0), '') END AS name,
     CASE WHEN f.doc_id % 2 = 0 THEN 1 ELSE 11 END AS start_line,
     CASE WHEN f.doc_id % 2 = 0 THEN 1 ELSE 11 END
       + CAST(length(f.text) - length(replace(f.text, chr(10), '')) AS INT) AS end_line,
@@ -89,7 +89,7 @@ REQUESTS = """
   SELECT b.item_id AS query_id, concat('src', b.item_id % 20) AS repository_id,
     CASE b.item_id % 5
       WHEN 0 THEN concat('Explain the architecture: ', <six_words>)
-      WHEN 1 THEN regexp_extract(b.text, '[A-Za-z]+', 0)
+      WHEN 1 THEN lower(regexp_extract(b.text, '[A-Z][a-z]', 0))
       WHEN 2 THEN concat(<six_words>, ' thTable Dockerfile')
       WHEN 3 THEN concat('Where is ', <six_words>, ' gitignore used?')
       ELSE <six_words> END AS query,
@@ -103,8 +103,43 @@ REQUESTS = """
 """
 
 
+# Pages as Markdown: titles and paragraph starts become headings, some of them
+# inside code fences or too deep to count.
+MARKDOWN = """
+  SELECT page_id, concat('site/page_', page_id, '.md') AS file_path,
+    replace(replace(replace(replace(replace(replace(replace(replace(html,
+      '<article><h1>', concat(chr(10), '## ')), '</h1>', concat('!  ', chr(10))),
+      '<b>', concat(chr(10), '#b')), '<li>', concat(chr(10), '- ')),
+      '<nav>', concat(chr(10), '##### nav')), '<p>', concat(chr(10), chr(10))),
+      '. ', concat('.', chr(10), '# ')), concat('# ', chr(10)), concat('# x', chr(10))) AS text
+  FROM pages
+"""
+
+# Documents as code: each line gets a declaration keyword by its first letter.
+CODE = """
+  SELECT doc_id, concat('src/unit_', doc_id, '.ts') AS file_path,
+    replace(replace(replace(replace(replace(concat(chr(10), text),
+      concat(chr(10), 'A'), concat(chr(10), 'class A')),
+      concat(chr(10), 'T'), concat(chr(10), 'export  async function T')),
+      concat(chr(10), 'D'), concat(chr(10), ' const D')),
+      concat(chr(10), 'E'), concat(chr(10), 'let E')),
+      concat(chr(10), 'I'), concat(chr(10), 'public static void I')) AS text
+  FROM documents
+"""
+
+# Documents as Python: each line becomes a function, a class or a statement.
+PYTHON = """
+  SELECT doc_id, concat('lib/unit_', doc_id, '.py') AS file_path,
+    concat('import os', chr(10), CASE WHEN doc_id % 10 = 3 THEN 'def (' ELSE '' END, chr(10), '@wrap', chr(10),
+      CASE doc_id % 3 WHEN 0 THEN 'def ' WHEN 1 THEN 'async def ' ELSE 'class ' END,
+      'unit_', doc_id, CASE WHEN doc_id % 3 = 2 THEN ':' ELSE '(a):' END, chr(10), '    s = ', chr(34), replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(34), chr(10),
+      CASE WHEN doc_id % 3 = 2 THEN '    x = 1' ELSE '    return a' END, chr(10), chr(10), 'y = 2', chr(10)) AS text
+  FROM documents
+"""
+
 _ALL = {
     "files": FILES, "runs": RUNS, "latest": LATEST, "chunks": CHUNKS, "requests": REQUESTS,
+    "markdown": MARKDOWN, "code": CODE, "python_files": PYTHON,
 }
 _NEEDS = {
     "files": ("documents",),
@@ -112,6 +147,9 @@ _NEEDS = {
     "latest": ("runs",),
     "chunks": ("files", "latest", "embeddings"),
     "requests": ("benchmark", "embeddings"),
+    "markdown": ("pages",),
+    "code": ("documents",),
+    "python_files": ("documents",),
 }
 
 
