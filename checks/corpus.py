@@ -12,12 +12,14 @@ DIALECTS = {
     "spark": {
         "<bytes>": "octet_length(text)",
         "<six_words>": "array_join(slice(split(b.text, ' '), 1, 6), ' ')",
+        "<copies>": "explode(array(CAST(100 AS DOUBLE), CAST(200 AS DOUBLE)))",
         "<array>": "array(",
         "</array>": ")",
     },
     "duckdb": {
         "<bytes>": "strlen(text)",
         "<six_words>": "array_to_string(list_slice(string_split(b.text, ' '), 1, 6), ' ')",
+        "<copies>": "unnest([CAST(100 AS DOUBLE), CAST(200 AS DOUBLE)])",
         "<array>": "[",
         "</array>": "]",
     },
@@ -89,7 +91,7 @@ REQUESTS = """
   SELECT b.item_id AS query_id, concat('src', b.item_id % 20) AS repository_id,
     CASE b.item_id % 5
       WHEN 0 THEN concat('Explain the architecture: ', <six_words>)
-      WHEN 1 THEN lower(regexp_extract(b.text, '[A-Z][a-z]', 0))
+      WHEN 1 THEN CASE WHEN b.item_id % 2 = 0 THEN 'TH' ELSE lower(regexp_extract(b.text, '[A-Z][a-z]', 0)) END
       WHEN 2 THEN concat(<six_words>, ' thTable Dockerfile')
       WHEN 3 THEN concat('Where is ', <six_words>, ' gitignore used?')
       ELSE <six_words> END AS query,
@@ -137,9 +139,51 @@ PYTHON = """
   FROM documents
 """
 
+# Twenty scored chunks per query, each also once with half its score.
+RESULTS = """
+  SELECT CAST(floor(doc_id / 20) AS BIGINT) AS query_id, doc_id AS chunk_id, path AS file_path,
+    CAST(1 + doc_id % 30 AS INT) AS start_line, CAST(1 + doc_id % 30 + doc_id % 7 AS INT) AS end_line,
+    CASE WHEN doc_id % 4 <> 0 THEN lang END AS language,
+    CASE WHEN doc_id % 3 = 0 THEN concat('f', doc_id) END AS name,
+    CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS chunk_text,
+    CAST((doc_id * 37) % 100 AS DOUBLE) / d AS score
+  FROM (SELECT *, <copies> AS d FROM files) AS copied
+"""
+
+QUESTIONS = """
+  SELECT CAST(floor(doc_id / 20) AS BIGINT) AS query_id, min(doc_id) % 97 AS conversation_id,
+    concat('Q ', CASE WHEN min(doc_id) % 140 = 0 THEN max(text) ELSE max(left(text, 80)) END) AS question,
+    min(doc_id) % 60 <> 0 AS requires_evidence
+  FROM documents GROUP BY CAST(floor(doc_id / 20) AS BIGINT)
+"""
+
+MESSAGES = """
+  SELECT conv_id * 100 + turn AS id, conv_id AS conversation_id, role, text AS content,
+    turn - turn % 2 AS created_at
+  FROM conversations
+"""
+
+# Review texts of every shape: fenced, plain, prose, wrong top level, blank summary.
+REVIEWS = """
+  SELECT doc_id, CASE doc_id % 6
+    WHEN 0 THEN concat('```json', chr(10), body, chr(10), '```')
+    WHEN 2 THEN concat('  Looks fine ', doc_id, ' ')
+    WHEN 3 THEN concat('[', body, ']')
+    WHEN 4 THEN replace(body, 'Sum', ' ')
+    WHEN 5 THEN concat('```', chr(10), body, '  ```')
+    ELSE body END AS text
+  FROM (SELECT doc_id, concat('{"summary": "Sum", "findings": [{"title": "T', doc_id,
+    '", "severity": "high", "category": 3, "file_path": "', lang, '/f.py", "start_line": ', doc_id % 50,
+    ', "end_line": "7", "evidence_sources": [1, 3, 99, true, "2"]}, {"title": " "}, 5, ',
+    '{"severity": "low"}, {"title": "U", "explanation": " ", "recommendation": "fix ', source,
+    '", "start_line": true, "end_line": ', doc_id, ', "file_path": null, "evidence_sources": 2}]}') AS body
+  FROM documents) AS b
+"""
+
 _ALL = {
     "files": FILES, "runs": RUNS, "latest": LATEST, "chunks": CHUNKS, "requests": REQUESTS,
     "markdown": MARKDOWN, "code": CODE, "python_files": PYTHON,
+    "results": RESULTS, "questions": QUESTIONS, "messages": MESSAGES, "reviews": REVIEWS,
 }
 _NEEDS = {
     "files": ("documents",),
@@ -150,6 +194,10 @@ _NEEDS = {
     "markdown": ("pages",),
     "code": ("documents",),
     "python_files": ("documents",),
+    "results": ("files",),
+    "questions": ("documents",),
+    "messages": ("conversations",),
+    "reviews": ("documents",),
 }
 
 
@@ -186,7 +234,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in _ALL:
         return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     inputs = {n: table(spark, sf_dir, n) for n in _NEEDS[name]}
-    body = _text(name, "spark")
+    body = _text(name, "spark").replace("{", "{{").replace("}", "}}")
     for needed in inputs:
         for word in ("FROM", "JOIN"):
             body = body.replace(f"{word} {needed}", f"{word} {{{needed}}}")
