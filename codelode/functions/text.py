@@ -133,23 +133,36 @@ def is_binary_content(content: Column) -> Column:
     )
 
 
-def like_prefix(path: Column, prefix: Column) -> Column:
-    """FLT-8 for one prefix: wildcards inside the prefix keep their LIKE meaning."""
-    return F.like(path, F.concat(prefix, F.lit("%")))
-
-
 def dotted(extension: Column) -> Column:
     return F.when(extension.startswith("."), extension).otherwise(
         F.concat(F.lit("."), extension)
     )
 
 
-def passes_filters(path: Column, extensions: Column, prefixes: Column) -> Column:
-    """FLT-7 and FLT-8 with per-row filter arrays; NULL or empty means no filter."""
-    ext_ok = F.exists(extensions, lambda e: F.endswith(path, dotted(e)))
-    prefix_ok = F.exists(prefixes, lambda p: like_prefix(path, p))
-    free = lambda a: a.isNull() | (F.size(a) == 0)
-    return (free(extensions) | ext_ok) & (free(prefixes) | prefix_ok)
+def _quoted(text: Column, kept: str = "") -> Column:
+    """Regular expression that matches ``text`` itself; ``kept`` characters stay bare."""
+    return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{kept}]", r"\\$0")
+
+
+def path_filter_pattern(extensions: Column, prefixes: Column) -> Column:
+    """FLT-7 and FLT-8 of one request as a pattern for ``rlike`` on a path.
+
+    Built once per request, so that the test against each path is one compiled
+    expression. NULL or empty arrays filter nothing; ``_`` and ``%`` in a
+    prefix are wildcards.
+    """
+
+    def wild(prefix: Column) -> Column:
+        bare = _quoted(prefix, "_%")
+        return F.replace(F.replace(bare, F.lit("_"), F.lit(".")), F.lit("%"), F.lit(".*"))
+
+    def either(values: Column, to_pattern, head: str, tail: str) -> Column:
+        joined = F.array_join(F.transform(values, to_pattern), "|")
+        return F.when(F.size(values) > 0, F.concat(F.lit(head), joined, F.lit(tail))).otherwise("")
+
+    starts = either(prefixes, wild, "(?=(?:", "))")
+    ends = either(extensions, lambda e: _quoted(dotted(e)), "(?=.*(?:", r")\z)")
+    return F.concat(F.lit(r"(?s)\A"), F.coalesce(starts, F.lit("")), F.coalesce(ends, F.lit("")))
 
 
 # ---- words ----------------------------------------------------------------

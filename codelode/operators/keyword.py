@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codelode import fixed
 from codelode.functions import scores, text as tx
 from codelode.operators.ranking import top_k
-from codelode.session import is_small, maybe_broadcast
+from codelode.session import is_small, maybe_broadcast, store
 
 SCOPE = ["repository_id", "ingestion_id"]
+# Distinct terms that may be copied to every task; most take under 100 bytes.
+TERM_ROWS = 500_000
 _SPECIAL = "[^a-z0-9]"
 _PAIR = rf".{_SPECIAL}|{_SPECIAL}."
 _WORD = r"\A[a-z0-9]+\z"
@@ -25,20 +27,14 @@ _WORD = r"\A[a-z0-9]+\z"
 _SPECIAL_TOKEN = r"(?U)[a-z0-9]*+[^a-z0-9\s\x1c-\x1f][^\s\x1c-\x1f]*+"
 
 
-def _word_keys(blob: Column) -> Column:
-    words = F.array_distinct(F.regexp_extract_all(blob, F.lit("[a-z0-9]+"), 0))
-    folded = F.array_distinct(F.transform(words, tx.fold))
-    return F.transform(
-        folded,
-        lambda w: F.struct(
-            F.concat(F.lit("w "), w).alias("match_key"),
-            F.lit(None).cast("string").alias("token"),
-        ),
-    )
+def _folded_words(blob: Column) -> Column:
+    # Splitting may leave an empty word, which no term equals.
+    words = F.array_distinct(F.split(blob, f"{_SPECIAL}+"))
+    return F.array_distinct(F.transform(words, tx.fold))
 
 
 def _special_keys(blob: Column) -> Column:
-    """Pairs and lone non-ASCII characters of each special token.
+    """(key, token) of each special token: pairs and lone non-ASCII characters.
 
     A term neither starts nor ends with edge punctuation, so that much is
     trimmed from the tokens first; most of them become plain words.
@@ -57,9 +53,7 @@ def _special_keys(blob: Column) -> Column:
         alone = F.regexp_extract_all(token, F.lit(r"[^\x00-\x7f]"), 0)
         return F.transform(
             F.array_distinct(F.concat(pairs, alone)),
-            lambda g: F.struct(
-                F.concat(F.lit("g "), g).alias("match_key"), token.alias("token")
-            ),
+            lambda g: F.struct(g.alias("key"), token.alias("token")),
         )
 
     return F.flatten(F.transform(special, keys))
@@ -68,11 +62,7 @@ def _special_keys(blob: Column) -> Column:
 def _term_key(term: Column) -> Column:
     """The one key of a lower-cased term; a one-character term is its own key."""
     pair = F.regexp_extract(term, f"(?s){_PAIR}", 0)
-    return (
-        F.when(term.rlike(_WORD), F.concat(F.lit("w "), tx.fold(term)))
-        .when(pair != "", F.concat(F.lit("g "), pair))
-        .otherwise(F.concat(F.lit("g "), term))
-    )
+    return F.when(term.rlike(_WORD), tx.fold(term)).when(pair != "", pair).otherwise(term)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -90,14 +80,24 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     blob = F.lower(
         F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), F.col("file_path"), F.col("chunk_text"))
     )
-    rows = chunks.select(*SCOPE, "chunk_id", "file_path", blob.alias("_blob"))
-    keys = F.concat(_word_keys(F.col("_blob")), _special_keys(F.col("_blob")))
-    return rows.select(*SCOPE, "chunk_id", "file_path", F.inline(keys))
+    kept = [*SCOPE, "chunk_id", "file_path"]
+    rows = chunks.select(*kept, blob.alias("_blob"))
+    rows = rows.select(
+        *kept,
+        _folded_words(F.col("_blob")).alias("_words"),
+        _special_keys(F.col("_blob")).alias("_special"),
+    )
+    # Words hold only a-z0-9 and special keys never do, so the two cannot meet.
+    # The word part has no token: zipping pads it with NULL.
+    keys = F.concat(F.col("_special.key"), F.col("_words"))
+    zipped = F.arrays_zip(keys, F.col("_special.token"))
+    return rows.select(*kept, F.inline(zipped).alias("match_key", "token"))
 
 
 def term_matches(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """JN-4 and JN-5: distinct (chunk, term) pairs."""
     wanted = terms.select(*SCOPE, "term", "match_key").distinct()
+    small = small or is_small(wanted, TERM_ROWS)
     met = postings.join(maybe_broadcast(wanted, small), [*SCOPE, "match_key"])
     met = met.where(F.col("token").isNull() | F.contains("token", "term"))
     return met.select(*SCOPE, "chunk_id", "file_path", "term").distinct()
@@ -148,7 +148,8 @@ def keyword_scores(
     if postings is None:
         postings = build_postings(chunks)
     terms = query_terms(queries)
-    matches = term_matches(terms, postings, small)
+    # Read twice below; stored, so that the text of all chunks is read once.
+    matches = store(term_matches(terms, postings, small), "term-matches")
     weighted = weighted_terms(terms, document_frequency(terms, matches, chunks))
     by_term = matches.join(maybe_broadcast(weighted, small), [*SCOPE, "term"]).select(
         "query_id", "chunk_id", "file_path", "units", "total_units", F.lit(False).alias("exact")
@@ -182,9 +183,10 @@ def keyword_search(
     """
     small = is_small(queries) if small is None else small
     found = keyword_scores(queries, chunks, postings, small)
-    limits = queries.select("query_id", "candidate_k", "file_extensions", "file_paths")
+    pattern = tx.path_filter_pattern(F.col("file_extensions"), F.col("file_paths"))
+    limits = queries.select("query_id", "candidate_k", pattern.alias("path_pattern"))
     rows = found.join(maybe_broadcast(limits, small), "query_id").where(
-        tx.passes_filters(F.col("file_path"), F.col("file_extensions"), F.col("file_paths"))
+        F.rlike("file_path", "path_pattern")
     )
     order = [F.col("lex_score").desc(), F.col("chunk_id")]
     most = fixed.CANDIDATE_FACTOR * fixed.MAX_TOP_K

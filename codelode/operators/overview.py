@@ -33,7 +33,9 @@ def overview_search(
     broad = queries.where(
         tx.is_broad_question(F.col("query")) & free("file_extensions") & free("file_paths")
     ).select("query_id", *SCOPE, "query_vector")
-    met = overview_chunks(chunks, limit).join(broad, SCOPE)
+    # Only the runs that a broad query asks about are looked at.
+    scoped = chunks.join(broad.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    met = overview_chunks(scoped, limit).join(broad, SCOPE)
     both = F.col("query_vector").isNotNull() & F.col("embedding").isNotNull()
     cosine = F.round(vx.cosine(F.col("query_vector"), F.col("embedding")), 12)
     score = F.when(both, cosine).otherwise(F.lit(0.0))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from codelode import fixed
 from codelode.functions import text as tx
 from codelode.operators.filters import accepted_files
+from codelode.session import store
 
 KEY = "repository_id"
 
@@ -110,7 +111,11 @@ def profile_repository(
     max_files: int = fixed.MAX_REPOSITORY_FILES,
     max_bytes: int = fixed.MAX_REPOSITORY_BYTES,
 ) -> DataFrame:
-    """RUN-1: one run row per repository from ``scan_files`` rows."""
+    """RUN-1: one run row per repository from ``scan_files`` rows.
+
+    The catalog rows are stored first, so that file contents are read once.
+    """
+    catalog = store(catalog, "catalog")
     totals = check_limits(repository_totals(catalog), max_files, max_bytes)
     good = totals.where(F.col("error_message").isNull())
     entry = F.struct("directory", F.col("files").cast("int"))

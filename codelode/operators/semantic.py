@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from codelode import fixed
 from codelode.functions.text import dotted
 from codelode.operators.ranking import top_k
-from codelode.session import BROADCAST_ROWS
+from codelode.session import BROADCAST_ROWS, is_small, maybe_broadcast
 
 SCOPE = ["repository_id", "ingestion_id"]
 CHUNK_CELL_ROWS = 32_768
 QUERY_CELL_ROWS = 4_096
+SCOPE_ROWS = 100_000
 _MOST = fixed.CANDIDATE_FACTOR * fixed.MAX_TOP_K
 # Scores are compared to 12 places: the last bits of a matrix product depend on
 # where a row falls in its block.
@@ -175,20 +176,22 @@ def _meet_cell(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return meet
 
 
-def _cells(df: DataFrame, id_col: str, other: DataFrame, other_rows: int, name: str) -> DataFrame:
-    """Copy each row once per cell of the other side; both cell counts are exact."""
-    counts = other.groupBy(*SCOPE).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(other_rows)).cast("int").alias("_cells")
+def _cell_counts(df: DataFrame, rows: int) -> DataFrame:
+    """Cells per run so that a cell holds about ``rows`` rows; one small row per run."""
+    counts = df.groupBy(*SCOPE).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_cells")
     )
+    return maybe_broadcast(counts, is_small(counts, SCOPE_ROWS))
+
+
+def _copy_to_cells(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Copy each row once per cell of the other side."""
     return df.join(counts, SCOPE).withColumn(
         name, F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
     ).drop("_cells")
 
 
-def _own_cell(df: DataFrame, id_col: str, rows: int, name: str) -> DataFrame:
-    counts = df.groupBy(*SCOPE).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_cells")
-    )
+def _own_cell(df: DataFrame, id_col: str, counts: DataFrame, name: str) -> DataFrame:
     cell = F.pmod(F.xxhash64(id_col), F.col("_cells")).cast("int")
     return df.join(counts, SCOPE).withColumn(name, cell).drop("_cells")
 
@@ -227,14 +230,10 @@ def semantic_scores(
         return stored.mapInArrow(_scan_with(grouped, arrow_out), out)
 
     cell = ["_query_cell", "_chunk_cell"]
-    left = _cells(
-        _own_cell(asked, "query_id", QUERY_CELL_ROWS, cell[0]),
-        "query_id", stored, CHUNK_CELL_ROWS, cell[1],
-    )
-    right = _cells(
-        _own_cell(stored, "chunk_id", CHUNK_CELL_ROWS, cell[1]),
-        "chunk_id", asked, QUERY_CELL_ROWS, cell[0],
-    )
+    query_cells = _cell_counts(asked, QUERY_CELL_ROWS)
+    chunk_cells = _cell_counts(stored, CHUNK_CELL_ROWS)
+    left = _copy_to_cells(_own_cell(asked, "query_id", query_cells, cell[0]), chunk_cells, cell[1])
+    right = _copy_to_cells(_own_cell(stored, "chunk_id", chunk_cells, cell[1]), query_cells, cell[0])
     return (
         left.groupBy(*SCOPE, *cell)
         .cogroup(right.groupBy(*SCOPE, *cell))

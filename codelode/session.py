@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,10 @@ SETTINGS = {
     # Split a skewed join side even when an extra exchange follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Cut ranked rows per task before the shuffle for every bound used here.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Archives and source files are large cells: bound a batch by its bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 # Rows of a request-like table that may be copied to every task: with
@@ -47,14 +52,32 @@ def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    app = spark.sparkContext.applicationId
+    if app in _local_folders:
+        return _local_folders[app]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="codelode-")
+    _local_folders[app] = tempfile.mkdtemp(prefix="codelode-")
+    return _local_folders[app]
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Unlike a checkpoint the copy is columnar, so each later use reads only the
+    columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codelode import fixed
-from codelode.session import cut_lineage
+from codelode.session import store
 
 _ROW = T.StructType(
     [
@@ -143,7 +143,7 @@ def expand_archives(
     """
     rows = archives.select("archive", "content").mapInArrow(_expand(max_bytes, max_files), _ROW)
     # Both outputs read the unpacked rows, so unpack once.
-    rows = cut_lineage(rows)
+    rows = store(rows, "archive-members")
     errors = rows.where(F.col("error_class").isNotNull()).select("archive", "error_class", "message")
     members = rows.where(F.col("error_class").isNull()).join(
         errors.select("archive"), "archive", "left_anti"
