@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqltext as q
 from checks.corpus import table, with_tables
 from checks.registry import query
-from codelode.operators import fusion, keyword, overview, ranking, semantic
+from codelode.operators import approximate, fusion, keyword, overview, ranking, semantic
 from codelode.plans.search import not_indexed, resolve_runs, search, with_defaults
 from codelode.session import pin_small
 
@@ -328,3 +328,19 @@ def set_3(spark, sf_dir):
     )
 
 
+
+
+@query("ret_6_approximate")
+def ret_6(spark, sf_dir):
+    stored = chunks(spark, sf_dir)
+    groups = approximate.fit_groups(stored, 8)
+    found = approximate.approx_semantic_search(asked(spark, sf_dir, "hybrid", "semantic"), stored, groups, 4)
+    return found.select("query_id", "chunk_id", F.round("sem_score", 6).alias("sem_score"), "rank")
+
+
+@query("ret_6_all_groups", SEMANTIC + " SELECT query_id, chunk_id, round(sem_score, 6) AS sem_score, rank FROM sem")
+def ret_6_all(spark, sf_dir):
+    stored = chunks(spark, sf_dir)
+    groups = approximate.fit_groups(stored, 8)
+    found = approximate.approx_semantic_search(asked(spark, sf_dir, "hybrid", "semantic"), stored, groups, 8)
+    return found.select("query_id", "chunk_id", F.round("sem_score", 6).alias("sem_score"), "rank")

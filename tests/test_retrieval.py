@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codelode import fixed
 from codelode.functions import text as tx
-from codelode.operators import fusion, keyword, overview, semantic
+from codelode.operators import approximate, fusion, keyword, overview, semantic
 from codelode.plans.search import not_indexed, search, with_defaults
 
 CHUNK = (
@@ -207,3 +207,17 @@ def test_exact_symbol_ranks_first_and_absent_words_keep_scores_low(spark):
     got = keyword.keyword_search(asked, spark.createDataFrame(rows, CHUNK)).orderBy("query_id", "rank").collect()
     assert [(r.chunk_id, r.lex_score) for r in got if r.query_id == 1] == [(2, 1.0), (3, 1.0)]
     assert all(fixed.WEIGHT_LEXICAL * r.lex_score < fixed.MIN_RELEVANCE for r in got if r.query_id == 2)
+
+
+def test_approximate_search_recall(spark):
+    draw = random.Random(3)
+    centers = [[draw.gauss(0, 1) for _ in range(16)] for _ in range(6)]
+    near = lambda: [x + draw.gauss(0, 0.3) for x in draw.choice(centers)]
+    chunks = spark.createDataFrame([chunk(i, f"f{i}", "t", None, near()) for i in range(400)], CHUNK)
+    asked = spark.createDataFrame([ask(i, "q", near(), 5) for i in range(20)], QUERY)
+    groups = approximate.fit_groups(chunks, 6)
+    pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact = pairs(semantic.semantic_search(asked, chunks))
+    some = pairs(approximate.approx_semantic_search(asked, chunks, groups, 2))
+    assert len(exact & some) / len(exact) >= 0.9
+    assert pairs(approximate.approx_semantic_search(asked, chunks, groups, 6)) == exact
