@@ -12,6 +12,9 @@ from codelode.operators.ranking import latest_run
 from codelode.operators.semantic import semantic_search
 from codelode.session import BROADCAST_ROWS, maybe_broadcast, pin_small
 
+# Repositories that may be named one by one in a partition filter.
+PRUNED_REPOSITORIES = 200
+
 _DEFAULTS = {
     "top_k": ("int", 10),
     "mode": ("string", "hybrid"),
@@ -65,7 +68,12 @@ def search(
         resolved.where(F.col("ingestion_id").isNotNull()), broadcast_rows
     )
     asked_scopes = asked.select("repository_id", "ingestion_id").distinct()
-    # Only the asked runs are read; with a partitioned chunk table this prunes folders.
+    if small:
+        # Literal values prune the folders of a partitioned chunk table at planning time.
+        ids = sorted({r.repository_id for r in asked.select("repository_id").collect()})
+        if len(ids) <= PRUNED_REPOSITORIES:
+            chunks = chunks.where(F.col("repository_id").isin(*ids))
+    # Only the asked runs are read.
     scoped = chunks.join(
         maybe_broadcast(asked_scopes, small), ["repository_id", "ingestion_id"], "left_semi"
     )
