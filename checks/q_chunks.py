@@ -39,10 +39,12 @@ def sections(src: str, key: str, pattern: str, group: int, chunk_type: str) -> s
       '{chunk_type}' AS chunk_type, regexp_replace(regexp_extract(concat(body, chr(10)), '(?m){pattern}', {group}), '^\\s+|\\s+$', '', 'g') AS name,
       body AS chunk_text
     FROM (SELECT {key}, part, min(no) AS no, regexp_replace(string_agg(line, chr(10) ORDER BY no), '\\s+$', '') AS body
-      FROM (SELECT {key}, no, line, sum(CASE WHEN regexp_matches(concat(line, chr(10)), '{pattern}') THEN 1 ELSE 0 END)
+      FROM (SELECT {key}, no, line, sum(CASE WHEN regexp_matches(CASE WHEN no < n THEN concat(line, chr(10)) ELSE line END, '{pattern}')
+          THEN 1 ELSE 0 END)
           OVER (PARTITION BY {key} ORDER BY no) AS part
         FROM (SELECT {key}, unnest(string_split(text, chr(10))) AS line,
-          generate_subscripts(string_split(text, chr(10)), 1) AS no FROM {src}))
+          generate_subscripts(string_split(text, chr(10)), 1) AS no,
+          len(string_split(text, chr(10))) AS n FROM {src}))
       WHERE part > 0 GROUP BY {key}, part)
     GROUP BY {key}, part, body"""
 
