@@ -8,7 +8,6 @@ from checks import sqltext as q
 from checks.corpus import binary_tree, table, with_tables
 from checks.registry import query
 from codelode import fixed
-from codelode.functions import text as tx
 from codelode.operators import chunking
 
 OUT = "start_line, end_line, chunk_type, name, sha256(chunk_text) AS text_hash"

@@ -70,10 +70,10 @@ def test_path_matches(spark, path, query, hit):
 
 
 def test_lexical_terms(spark):
-    queries = ["How does image retrieval work?", "How does this work?", "Where is app/core/security.py used?",
+    queries = ["How does image retrieval work?", "How does this work?", "Where is lib/util/paths.py used?",
                "Verify verify VERIFY_token. (it's) what's ++ 'x'", "café... naïve!"]
     assert one(spark, queries, tx.lexical_terms) == [
-        ["image", "retrieval"], [], ["app/core/security.py"], ["Verify", "VERIFY_token", "x"], ["café", "naïve"],
+        ["image", "retrieval"], [], ["lib/util/paths.py"], ["Verify", "VERIFY_token", "x"], ["café", "naïve"],
     ]
 
 
