@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.llm.common import cut_lineage
@@ -25,8 +26,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum",
 BASE_WEIGHT = 4.0
 #: Labelled documents that are read to learn from, at most, of either kind; entries that are learned, at most.
 TOXIC, CLEAN, ENTRIES = 4096, 8192, 2000
-#: Lengths of word beginnings, and standard errors by which an entry must stand out.
-SHORTEST, LONGEST, ERRORS = 4, 9, 4.0
+#: Lengths of word beginnings, the log ratio that an entry must reach, and by how many of its standard errors.
+SHORTEST, LONGEST, RATIO, ERRORS = 4, 9, 3.5, 3.0
 #: Intercept and slopes that the curve is drawn to when labels are few.
 PRIOR = (-3.0, 2.0, 1.0)
 
@@ -46,7 +47,7 @@ def _letters() -> dict[int, str]:
 LETTERS = _letters()
 # Digits and signs written for letters.
 DIGITS = str.maketrans("013457@$", "oieastas")
-MIXED = re.compile(r"[\w@$]*[0-9@$][\w@$]*")
+MIXED = re.compile(r"(?<![\w@$])[^\W\d]*[0-9@$][\w@$]*")  # begins at a word only, so long words stay linear
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -113,6 +114,16 @@ def _beginnings(text: str) -> set[str]:
     return found
 
 
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With the least hash of a text's runs of five words, which copies nearly always share."""
+    for batch in batches:
+        signs = []
+        for text in batch.column("text").to_pylist():
+            words = (text or "").split()
+            signs.append(min(xxhash.xxh32_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))))
+        yield pa.record_batch([pa.array(signs, pa.int64()), batch.column("text"), batch.column("toxic")], names=["sign", "text", "toxic"])
+
+
 def _count_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = (Counter(), Counter())
@@ -126,13 +137,14 @@ def _count_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """Entries whose share of toxic documents exceeds that of clean ones by ``ERRORS`` standard errors of the log ratio."""
+    """Entries whose share of toxic documents exceeds that of clean ones clearly. Near copies of a text count once or so."""
+    sample = sample.mapInArrow(_signed, "sign bigint, text string, toxic int").groupBy("sign", "toxic").agg(F.min("text").alias("text"))
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     counts = sample.mapInArrow(_count_entries, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    rows = counts.withColumn("weight", ratio).where(ratio > ERRORS * error).orderBy(F.desc("t"), "entry").limit(ENTRIES).collect()
+    rows = counts.withColumn("weight", ratio).where((ratio > RATIO) & (ratio > ERRORS * error)).orderBy(F.desc("t"), "entry").limit(ENTRIES).collect()
     learned = {r["entry"]: (r["t"], r["weight"]) for r in rows}
     # A beginning goes if one more letter keeps nearly all of its documents, or if a shorter one stands for it.
     longer = Counter()
