@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.session import configure, cut_lineage
 
-__all__ = ["Links", "components", "configure", "cut_lineage", "segments", "tiled"]
+__all__ = ["Links", "about", "components", "configure", "cut_lineage", "segments", "tiled"]
 
 
 def tiled(rows: DataFrame, sizes: DataFrame, keys: list[str], member: str, cap: int) -> DataFrame:
@@ -121,6 +121,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def about(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, by a hash of ``key``: no sort, and no list of each partition to the driver."""
+    share = min(1.0, most / max(1, total))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
 def words_of(text: Column) -> Column:
     """Number of words, which ASCII white space separates (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")

@@ -24,7 +24,7 @@ from codelode.llm.common import cut_lineage
 
 #: State size, words with a softmax (classes times words of a class), tail classes.
 STATE, CLASSES, IN_CLASS, TAILS = 16, 32, 32, 96
-#: Words whose counts every task holds (the most frequent); the rest are joined.
+#: Words whose counts every task holds (the most frequent, at most so many); the rest are joined.
 HELD = 131_072
 #: One of so many training documents, by hash, fits the recurrent weights; tokens of the warm start and of a replica.
 FIT, WARM, REPLICA = 16, 500_000, 2_000_000
@@ -77,7 +77,14 @@ def count_words(slim: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> dict:
     """What tasks need of the counts: the held words with their places, and the sums of the tail classes."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    held = counts.orderBy(F.desc("c"), "word").limit(HELD).collect()
+    # Counts in steps of a sixteenth of their binary logarithm: the steps from the top that fit into HELD words.
+    step = F.floor(F.log2("c") * 16)
+    steps, room, least = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True), HELD, None
+    for at, n in steps:
+        if n > room:
+            break
+        room, least = room - n, at
+    held = sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["word"])) if least is not None else []
     tails = np.zeros((TAILS, 2), np.int64)
     for tail, n, v in counts.groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect():
         tails[tail] = n, v

@@ -18,13 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codelode.llm.common import cut_lineage
+from codelode.llm.common import about, cut_lineage
 
 #: Whole words with which an unlabelled corpus starts, and phrases that excuse a hit.
 WORDS = ("idiot", "idiots", "loser", "losers", "moron", "morons", "pathetic", "scum", "scumbag", "stupid", "trash", "worthless", "disgusting", "clown")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "sore loser")
 BASE_WEIGHT = 4.0
-#: Labelled documents that are read to learn from, at most, of either kind; entries that are learned, at most.
+#: Labelled documents of either kind that are read to learn from, about so many at most; entries that are learned, at most.
 TOXIC, CLEAN, ENTRIES = 4096, 8192, 2000
 #: Lengths of word beginnings, the log ratio that an entry must reach, and by how many of its standard errors.
 SHORTEST, LONGEST, RATIO, ERRORS = 4, 9, 3.5, 3.0
@@ -182,10 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, flo
     """Lexicon and curve from a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(TOXIC).unionAll(known.where("toxic = 0").orderBy(*order).limit(CLEAN))
+    size = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    chosen = about(known.where("toxic = 1"), "doc_id", TOXIC, size.get(1, 0)).unionAll(about(known.where("toxic = 0"), "doc_id", CLEAN, size.get(0, 0)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = cut_lineage(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # at most TOXIC + CLEAN ids
+    sample = cut_lineage(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # about TOXIC + CLEAN ids at most
     entries = lexicon(sample)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, flo
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    Labels are learned from rows whose crc32(doc_id) mod 3 is not 1, at most ``TOXIC`` toxic and ``CLEAN`` clean ones by
-    hash; without labels the built-in list and curve hold. Only the text makes a score: null and empty texts score as
+    Labels are learned from rows whose crc32(doc_id) mod 3 is not 1, about ``TOXIC`` toxic and ``CLEAN`` clean ones
+    at most, by hash; without labels the built-in list and curve hold. Only the text makes a score: null and empty texts score as
     texts without a hit. Repeated rows are kept, a document with several labels counts as toxic if one says so; an empty
     table gives no rows; other columns are not looked at. A row without an id is not held out.
     """

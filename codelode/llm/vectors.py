@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codelode.llm.common import Links, components, cut_lineage, segments
+from codelode.llm.common import Links, about, components, cut_lineage, segments
 
-#: Home vectors of a tile, visitors compared at once, and rows of the sample that the rotation is fitted on.
+#: Home vectors of a tile, visitors compared at once, and about so many rows that the rotation is fitted on.
 TILE, VISITORS, FITTED = 2048, 512, 10_000
 #: Dimensions of a block, and how many of them make a cell.
 BLOCK, CELL = 8, 2
@@ -54,8 +54,9 @@ def _turned(v: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 def rotation(nodes: DataFrame, width: int) -> np.ndarray:
     """Principal axes of a bounded sample, dealt to the blocks in turn, so that each block leads with a strong one."""
-    sample = nodes.where(F.col("width") == width).orderBy(F.xxhash64("rep"), "rep").limit(FITTED).select("v").toArrow()
-    x = _unit(_matrix(sample.column(0).combine_chunks()))
+    of_width = nodes.where(F.col("width") == width)
+    sample = about(of_width, "rep", FITTED, of_width.count()).select("v").toArrow()
+    x = _unit(_matrix(sample.column(0).combine_chunks())) if sample.num_rows else np.eye(width)
     _, axes = np.linalg.eigh(np.atleast_2d(x.T @ x))
     axes = axes[:, ::-1]
     blocks = -(-width // BLOCK)
