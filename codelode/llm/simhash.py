@@ -59,8 +59,12 @@ def _widths(max_bits: int) -> list[int]:
     return [64 // n + (i < 64 % n) for i in range(n)]
 
 
+#: Bits of the two segments of a key; the slot stands above them.
+KEY_BITS = 56
+
+
 def _chain_keys(fp: Column, max_bits: int) -> Column:
-    """All keys of a fingerprint: first segment of a chain, and the second with one bit masked."""
+    """All keys of a fingerprint: first segment of a chain, and the second with one bit masked, under a slot of its own."""
     widths, keys, slot = _widths(max_bits), [], 0
     offsets = [sum(widths[:i]) for i in range(len(widths))]
     part = [F.shiftrightunsigned(fp, o).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for o, w in zip(offsets, widths, strict=True)]
@@ -68,7 +72,7 @@ def _chain_keys(fp: Column, max_bits: int) -> Column:
         j = (i + 1) % len(widths)
         for bit in range(widths[j]):
             rest = part[j].bitwiseAND(F.lit(((1 << widths[j]) - 1) & ~(1 << bit)).cast("bigint"))
-            keys.append(F.struct(F.lit(slot).alias("slot"), F.shiftleft(part[i], widths[j]).bitwiseOR(rest).alias("bits")))
+            keys.append(F.shiftleft(part[i], widths[j]).bitwiseOR(rest).bitwiseOR(F.lit(slot << KEY_BITS).cast("bigint")))
             slot += 1
     return F.array(*keys)
 
@@ -89,14 +93,14 @@ def _chains(max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def _chain_holds(differ: Column, max_bits: int) -> Column:
     """Whether the chain that starts at the segment of ``slot`` stays within its budgets."""
     found, chains, widths = F.lit(False), _chains(max_bits), _widths(max_bits)
-    slot = 0
+    at, slot = F.shiftright("key", KEY_BITS), 0
     for i in range(len(widths)):
         end = slot + widths[(i + 1) % len(widths)]
         within = F.lit(True)
         for mask, most in zip(*chains[slot], strict=True):
             signed = int(mask.astype(np.int64))
             within = within & (F.bit_count(differ.bitwiseAND(F.lit(signed).cast("bigint"))) <= F.lit(int(most)))
-        found = found | (F.col("slot").between(slot, end - 1) & within)
+        found = found | (at.between(slot, end - 1) & within)
         slot = end
     return found
 
@@ -118,17 +122,17 @@ def _find_links(max_bits: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, links, homes = None, Links(), np.empty(0, np.uint64)
-        for now, at_home, rows in segments(batches, ["slot", "bits", "tile"], "role"):
+        for now, at_home, rows in segments(batches, ["key", "tile"], "role"):
             if now != key:
                 key, links, homes = now, Links(), np.empty(0, np.uint64)
             fps = rows.column("fp").to_numpy().view(np.uint64)
             size = len(homes)
-            places = links.add(rows.column("rep").to_numpy())
+            places = links.add(rows.column("fp").to_numpy())
             if at_home:
                 homes = np.concatenate([homes, fps])
             step = max(1, (1 << 19) // max(1, len(homes)))
             for start in range(0, len(fps), step):
-                a, b = _linked(homes, fps[start : start + step], chains[key[0]])
+                a, b = _linked(homes, fps[start : start + step], chains[key[0] >> KEY_BITS])
                 ends = links.unite(a, places[start : start + step][b])
                 if len(ends[0]):
                     yield pa.record_batch([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
@@ -139,17 +143,13 @@ def _find_links(max_bits: int):
 
 
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Edges (a, b) between the ``rep`` of distinct fingerprints ``nodes`` (fp, rep) that connect what links connect."""
-    if not 0 < max_bits < 32:
-        raise ValueError("max_bits must lie between 1 and 31")
-    rows = nodes.select("fp", "rep", F.explode(_chain_keys(F.col("fp"), max_bits)).alias("key")).select("fp", "rep", "key.*")
-    sizes = rows.groupBy("slot", "bits").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y"),
-        F.min_by("rep", "fp").alias("a"), F.max_by("rep", "fp").alias("b"),
-    ).where("n > 1")
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    pairs = sizes.where("n = 2").where(_chain_holds(differ, max_bits)).select("a", "b")
-    more = tiled(rows, sizes.where("n > 2"), ["slot", "bits"], "fp", TILE)
+    """Edges (a, b) between the distinct fingerprints ``nodes`` (fp) that connect what links connect."""
+    if not 2 < max_bits < 32:
+        raise ValueError("max_bits must lie between 3 and 31")
+    rows = nodes.select("fp", F.explode(_chain_keys(F.col("fp"), max_bits)).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    pairs = sizes.where("n = 2").where(_chain_holds(F.col("a").bitwiseXOR(F.col("b")), max_bits)).select("a", "b")
+    more = tiled(rows, sizes.where("n > 2"), ["key"], "fp", TILE)
     return pairs.unionAll(more.mapInArrow(_find_links(max_bits), "a bigint, b bigint"))
 
 
@@ -158,11 +158,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, id_col:
 
     Fingerprints that differ in at most ``max_bits`` bits are linked; the component is the smallest id reachable, the
     document's own included. Documents with one fingerprint are one node, so copies never become pairs. Null and empty
-    texts have fingerprint zero and are linked like any other; rows without an id take their group's component. An empty
+    texts have fingerprint zero and are linked like any other; rows without an id link too and take their group's
+    component, null if no row of the group has one. An empty
     table gives no rows; repeated rows are kept; other columns are not looked at.
     """
     prints = cut_lineage(fingerprints(docs, width, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(nodes.where("rep IS NOT NULL"), max_bits))
-    classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = nodes.join(components(links(nodes.select("fp"), max_bits)), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    least = found.groupBy("group").agg(F.min("rep").alias("component_id"))
+    classes = found.select("fp", "group").join(least, "group").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
