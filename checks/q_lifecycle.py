@@ -21,7 +21,7 @@ from codelode.operators import embedding as emb, lifecycle, ranking
 from codelode.plans.ingest import ingest
 from codelode.session import shared_folder
 from codelode.sources import archives as arc, metadata, sinks, trees
-from codelode.streaming.index_stream import index_stream
+from codelode.streaming.index_stream import index_stream, read_index
 from codelode.streaming.status_stream import run_status_stream
 
 RUNS = with_tables("runs")
@@ -98,13 +98,15 @@ def emb_1(spark, sf_dir):
     return rows.select("doc_id", F.size("embedding").alias("width"), F.round(F.col("embedding")[0], 5).alias("first"))
 
 
-@query("emb_2_hash_embedding", "SELECT doc_id, 16 AS width, 1.0::DOUBLE AS norm FROM documents")
-def emb_2(spark, sf_dir):
-    from codelode.functions.vectors import norm
+_COORDINATES = """SELECT doc_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM (
+  SELECT doc_id, i, CAST('0x' || md5(concat(i, ':', text))[1:8] AS BIGINT) / 2147483648.0::DOUBLE - 1 AS x
+  FROM documents, unnest(range(16)) AS r(i))"""
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = emb.embed(docs, "text", emb.hash_embedding(16))
-    return rows.select("doc_id", F.size("embedding").alias("width"), F.round(norm(F.col("embedding")), 5).alias("norm"))
+
+@query("emb_2_hash_embedding", f"SELECT doc_id, CAST(i AS INTEGER) AS i, x FROM ({_COORDINATES})")
+def emb_2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(emb.hash_coordinates(F.col("text"), 16)).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 # ---- sources ---------------------------------------------------------------------
@@ -392,13 +394,16 @@ def run_2_chunks(spark, sf_dir):
 def str_1(spark, sf_dir):
     source, target, state = (_folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     files = table(spark, sf_dir, "files").select(
-        "repository_id", F.lit(1).alias("ingestion_id"), F.col("path").alias("file_path"),
+        "repository_id", F.lit(2).alias("ingestion_id"), F.col("path").alias("file_path"),
         F.lit(None).cast("string").alias("language"), "text",
     )
-    files.hint("rebalance", "repository_id").write.parquet(source)
-    stream = spark.readStream.schema(files.schema).parquet(source)
+    # An older run that goes, then every repository's files in four batches, the last seen once more.
+    files.where("length < 2000").withColumn("ingestion_id", F.lit(1)).coalesce(1).write.parquet(source)
+    files.repartition(4).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
     index_stream(stream, target, state).awaitTermination()
-    return spark.read.parquet(target).select("file_path", "start_line", "end_line")
+    index_stream(stream, target, state + "-again").awaitTermination()
+    return read_index(spark, target).select("file_path", "start_line", "end_line")
 
 
 _STATUS_SQL = RUNS + """ SELECT repository_id, status, status IN ('completed', 'failed') AS terminal FROM (SELECT *, row_number() OVER

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
-import random
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -18,17 +17,32 @@ Embedder = Callable[[list[str]], list[list[float]]]
 _VECTOR = T.ArrayType(T.FloatType())
 
 
+def hash_coordinates(text: Column, width: int = fixed.EMBEDDING_WIDTH) -> Column:
+    """EMB-2: a unit vector of doubles that depends on nothing but the text.
+
+    A coordinate is a hash of its index and the text, spread evenly over -1 to 1.
+    """
+
+    def coordinate(index: Column) -> Column:
+        digest = F.md5(F.concat(index.cast("string"), F.lit(":"), text).cast("binary"))
+        number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+        return number / F.lit(2.0**31) - F.lit(1.0)
+
+    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), coordinate)
+    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
+    return F.transform(raw, lambda x: x / length)
+
+
 def hash_embedding(width: int = fixed.EMBEDDING_WIDTH) -> Embedder:
-    """EMB-2: a unit vector that depends on nothing but the text."""
+    """EMB-2 as a function on texts, for callers that need an embedder."""
 
-    def one(text: str) -> list[float]:
-        seed = int(hashlib.sha256(text.encode("utf-8")).hexdigest()[:16], 16)
-        draw = random.Random(seed)
-        values = [draw.gauss(0, 1) for _ in range(width)]
-        length = math.sqrt(sum(v * v for v in values))
-        return [v / length for v in values] if length else values
+    def many(texts: list[str]) -> list[list[float]]:
+        digests = [[hashlib.md5(f"{i}:{t}".encode()).digest()[:4] for i in range(width)] for t in texts]
+        raw = np.array([[int.from_bytes(d, "big") for d in row] for row in digests], float).reshape(len(texts), width)
+        raw = raw / 2.0**31 - 1.0
+        return (raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).tolist()
 
-    return lambda texts: [one(t) for t in texts]
+    return many
 
 
 def embed(

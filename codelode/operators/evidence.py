@@ -1,16 +1,16 @@
 """From ranked results to bounded, cited contexts (CTX-1 to CTX-5, CNV-1).
 
-Results per query are at most ``top_k`` rows, so every list and window here is
-bounded by the request, not by the data.
+All qualifying chunks of a query are ranked; the token budget then bounds what a
+context holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode import fixed
 from codelode.functions import text as tx
-from codelode.operators.ranking import budget_prefix, recent_messages, top_k
+from codelode.operators.ranking import budget_prefix, recent_messages
 
 CHUNK_COLUMNS = (
     "file_path", "start_line", "end_line", "language", "name", "chunk_text", "score",
@@ -30,12 +30,9 @@ def best_per_chunk(results: DataFrame) -> DataFrame:
 def select_evidence(results: DataFrame, lowest: float = fixed.MIN_RELEVANCE) -> DataFrame:
     """CTX-1: qualifying rows with ``evidence_rank`` 1..n (WIN-5)."""
     kept = results.where((F.col("score") >= lowest) & tx.has_text(F.col("chunk_text")))
-    order = [F.col("score").desc(), F.col("chunk_id")]
-    # A request returns at most MAX_TOP_K chunks, which bounds the rank exactly.
-    return top_k(
-        best_per_chunk(kept.drop("rank")), ["query_id"], order, fixed.MAX_TOP_K,
-        rank="evidence_rank",
-    )
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
+    best = best_per_chunk(kept.drop("rank"))
+    return best.withColumn("evidence_rank", F.row_number().over(order))
 
 
 def base_tokens(system_text: str, question: Column) -> Column:

@@ -30,12 +30,16 @@ def top_k(
 ) -> DataFrame:
     """WIN-4: first rows of each key, ranked from 1.
 
-    ``most`` is a literal upper bound of ``limit``. Spark cuts every task's
-    rows at the literal before the shuffle, so a hot key sends little.
+    ``most`` is a literal upper bound of ``limit``; a row with a higher limit
+    fails the query. Spark cuts every task's rows at the literal before the
+    shuffle, so a hot key sends little.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     cut = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= most)
-    return cut if limit is None else cut.where(F.col(rank) <= limit)
+    if limit is None:
+        return cut
+    fail = F.raise_error(F.lit(f"a limit exceeds the bound of {most} rows")).cast("int")
+    return cut.where(F.col(rank) <= F.when(limit > most, fail).otherwise(limit))
 
 
 def recent_messages(messages: DataFrame, most: int, limit: Column | None = None) -> DataFrame:
@@ -61,14 +65,19 @@ def budget_prefix(
     cost: Column,
     base: Column,
     budget: int,
-    least_cost: int = 1,
+    least_cost: int | None = None,
 ) -> DataFrame:
     """WIN-3: rows in order while ``base`` plus their costs fits ``budget``.
 
-    No row costs less than ``least_cost``, so at most ``budget / least_cost``
-    rows of a key can fit. That bound is applied first, before the shuffle.
+    If the caller knows that no row costs less than ``least_cost``, at most
+    ``budget / least_cost`` rows of a key can fit, and that bound is applied
+    first, before the shuffle. Without it rows may cost nothing.
     """
-    ranked = top_k(df, keys, order, max(budget // least_cost, 1), rank="_place")
+    if least_cost is not None and least_cost > 0:
+        ranked = top_k(df, keys, order, max(budget // least_cost, 1), rank="_place")
+    else:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = df.withColumn("_place", place)
     running = F.sum(cost).over(
         Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator
+from itertools import accumulate
+from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -43,25 +45,36 @@ class Rejected(Exception):
         self.error_class = error_class
 
 
-def _escapes(name: str) -> bool:
-    parts = name.replace("\\", "/")
-    return parts.startswith("/") or ".." in parts.split("/") or "\x00" in parts
+def _path(name: str) -> PurePosixPath:
+    return PurePosixPath(name.replace("\\", "/"))
+
+
+def _outside(name: str) -> bool:
+    """Whether a name has no place below the folder it is unpacked to."""
+    path = _path(name)
+    return path.is_absolute() or ".." in path.parts or "\x00" in name
+
+
+def _faults(member: tarfile.TarInfo) -> Iterator[Rejected]:
+    """All reasons against one member, in the order in which they are reported."""
+    name, link = member.name, member.linkname
+    if member.isdev():
+        yield Rejected("special_file", f"Special file '{name}' is not allowed.")
+    if _outside(name):
+        yield Rejected("path_traversal", f"Entry '{name}' leaves the archive.")
+    if (member.issym() or member.islnk()) and _outside(link):
+        yield Rejected("unsafe_link", f"Entry '{name}' links to '{link}'.")
 
 
 def _check(members: list[tarfile.TarInfo], max_bytes: int, max_files: int) -> None:
-    total = files = 0
-    for m in members:
-        if m.isdev():
-            raise Rejected("special_file", f"Special file '{m.name}' is not allowed.")
-        if _escapes(m.name):
-            raise Rejected("path_traversal", f"Entry '{m.name}' leaves the archive.")
-        if (m.issym() or m.islnk()) and _escapes(m.linkname):
-            raise Rejected("unsafe_link", f"Entry '{m.name}' links to '{m.linkname}'.")
-        total += m.size
-        files += m.isfile()
-        if total > max_bytes:
+    sizes = accumulate(m.size for m in members)
+    counts = accumulate(int(m.isfile()) for m in members)
+    for member, size, count in zip(members, sizes, counts):
+        for fault in _faults(member):
+            raise fault
+        if size > max_bytes:
             raise Rejected("size_limit", f"Archive exceeds {max_bytes} uncompressed bytes.")
-        if files > max_files:
+        if count > max_files:
             raise Rejected("file_limit", f"Archive exceeds {max_files} files.")
 
 
@@ -73,7 +86,9 @@ def _members(archive: str, payload: bytes, max_bytes: int, max_files: int) -> It
         with tarfile.open(fileobj=io.BytesIO(payload), mode="r:*") as tar:
             members = tar.getmembers()
             _check(members, max_bytes, max_files)
-            for m in members:
+            # Unpacking writes a name twice over; the last of its members stays.
+            last = {_path(m.name): m for m in members}
+            for m in last.values():
                 body = tar.extractfile(m).read() if m.isfile() else None
                 # Links take part in finding the root but give no file.
                 yield archive, m.name, m.isdir(), m.size, body, None, None

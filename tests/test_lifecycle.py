@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codelode import fixed
 from codelode.operators import conversations, lifecycle
 from codelode.sources import metadata, sinks
-from codelode.streaming.index_stream import index_stream
+from codelode.streaming.index_stream import index_stream, read_index
 from codelode.streaming.status_stream import run_status_stream
 
 def now():
@@ -104,17 +104,24 @@ def test_cascade_delete(spark):
     assert {k: v.count() for k, v in kept.items()} == {"repositories": 1, "runs": 1, "chunks": 1, "conversations": 1, "messages": 2}
 
 
-def test_index_stream_equals_batch_and_replays(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+def test_index_stream_keeps_all_batches_of_the_newest_run(spark, tmp_path):
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     schema = "repository_id int, ingestion_id int, file_path string, language string, text string"
-    spark.createDataFrame([(1, 1, "a.md", "Markdown", "# A\nx\n# B")], schema).write.parquet(source)
-    stream = spark.readStream.schema(schema).parquet(source)
-    index_stream(stream, target, str(tmp_path / "s1")).awaitTermination()
-    index_stream(stream, target, str(tmp_path / "s2")).awaitTermination()
-    assert sorted(r.name for r in spark.read.parquet(target).collect()) == ["A", "B"]
-    spark.createDataFrame([(1, 2, "a.md", "Markdown", "# C")], schema).write.mode("append").parquet(source)
-    index_stream(stream, target, str(tmp_path / "s1")).awaitTermination()
-    assert [(r.name, r.ingestion_id) for r in spark.read.parquet(target).collect()] == [("C", 2)]
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        index_stream(stream, target, state).awaitTermination()
+        return sorted((r.repository_id, r.ingestion_id, r.name) for r in read_index(spark, target).collect())
+
+    assert arrive((1, 1, "a.md", "Markdown", "# A"), (2, 1, "x.md", "Markdown", "# X")) == [(1, 1, "A"), (2, 1, "X")]
+    assert arrive((1, 1, "b.md", "Markdown", "# B")) == [(1, 1, "A"), (1, 1, "B"), (2, 1, "X")]
+    assert arrive((1, 2, "a.md", "Markdown", "# C")) == [(1, 2, "C"), (2, 1, "X")]
+    assert arrive((1, 2, "b.md", "Markdown", "# D")) == [(1, 2, "C"), (1, 2, "D"), (2, 1, "X")]
+    # A stream that starts over replays its batches into the same folders.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    index_stream(stream, target, state + "-again").awaitTermination()
+    assert sorted(r.name for r in read_index(spark, target).where("repository_id = 1").collect()) == ["C", "D"]
 
 
 def test_status_stream_equals_batch(spark, tmp_path):
