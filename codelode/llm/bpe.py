@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 # The published split pattern of this vocabulary family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Remembered words and token borders of a Python worker; beyond, the memory starts anew.
-WORDS, BORDERS = 250_000, 500_000
-#: Positions of a long word between two attempts to emit.
-SETTLE = 1024
+WORDS, BORDERS = 250_000, 400_000
+#: Positions of a long word between two attempts to emit, and bytes up to which a word is short.
+SETTLE, SHORT = 1024, 128
+STOPS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,7 +80,8 @@ class Encoder:
 
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether no merge crosses the border of two tokens. Of equal merges the left one comes first."""
-        known = self.borders.get((left, right))
+        key = self.ids[left] << 20 | self.ids[right]
+        known = self.borders.get(key)
         if known is None:
             known = True
             for x, x_until in self._edge(left, 1):
@@ -89,9 +91,31 @@ class Encoder:
                         known = False
             if len(self.borders) >= BORDERS:
                 self.borders.clear()
-            self.borders[left, right] = known
+            self.borders[key] = known
         return known
 
+    def short(self, word: bytes) -> list[bytes]:
+        """Tokens of a word that ends within the lookahead: the longest token that fits, back where none leads on.
+
+        A chain of fitting tokens is the one encoding of its text, so a position that led nowhere never does.
+        """
+        ids, fits, n = self.ids, self.fits, len(word)
+        path, dead, at, limit = [], set(), 0, n
+        while at < n:
+            for end in range(limit, at, -1):
+                token = word[at:end]
+                if token in ids and end not in dead and (not path or fits(path[-1], token)):
+                    path.append(token)
+                    at, limit = end, n
+                    break
+            else:
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte")
+                dead.add(at)
+                limit = at - 1
+                at -= len(path.pop())
+        return path
+
     def stream(self, word: bytes) -> Iterator[bytes]:
         """Tokens of one word as soon as they are stable; keeps a few stretches of the lookahead, however long the word."""
         ids, fits, reach = self.ids, self.fits, self.lookahead
@@ -129,11 +153,20 @@ class Encoder:
     def _word(self, text: str) -> tuple[int, ...]:
         word = text.encode()
         whole = self.ids.get(word)
-        return (whole,) if whole is not None else tuple(map(self.ids.__getitem__, self.stream(word)))
+        if whole is not None:
+            return (whole,)
+        return tuple(map(self.ids.__getitem__, self.short(word) if len(word) <= SHORT else self.stream(word)))
 
     def _remember(self, chunk: str) -> tuple[tuple[int, ...], bytes]:
-        ids = tuple(i for word in self.split.findall(chunk) for i in self._word(word))
-        found = (ids, b",".join(b"%d" % i for i in ids))
+        bare = chunk[chunk[0] == " " :]
+        if bare.isalpha():  # one word of the pattern
+            ids = self._word(chunk)
+        elif chunk[-1] in STOPS and bare[:-1].isalpha():  # a word, and a sign of its own
+            stem = self.words.get(chunk[:-1]) or self._remember(chunk[:-1])
+            ids = (*stem[0], self.ids[chunk[-1].encode()])
+        else:
+            ids = tuple(i for word in self.split.findall(chunk) for i in self._word(word))
+        found = (ids, ",".join(map(str, ids)).encode())
         if len(chunk) <= 64:
             if len(self.words) >= WORDS:
                 self.words.clear()
