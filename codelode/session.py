@@ -19,7 +19,7 @@ SETTINGS = {
     # Cut ranked rows per task before the shuffle for every bound used here.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Archives and source files are large cells: bound a batch by its bytes.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
 }
 
 # Rows of a request-like table that may be copied to every task: with
