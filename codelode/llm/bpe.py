@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # The published split pattern of this vocabulary family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Remembered words and token borders of a Python worker; beyond, the memory starts anew.
-WORDS, BORDERS = 250_000, 400_000
+#: Remembered words (twice, in a young and an old generation) and token borders of a Python worker.
+WORDS, BORDERS = 160_000, 400_000
 #: Positions of a long word between two attempts to emit, and bytes up to which a word is short.
 SETTLE, SHORT = 1024, 128
 STOPS = frozenset(".,;:!?")
@@ -48,7 +48,10 @@ def load(path: str) -> dict:
         ranks[left, right] = rank
         parts.setdefault(left + right, (left, right))
     special = {t["content"]: t["id"] for t in whole["added_tokens"]}
-    return {"ids": ids, "ranks": ranks, "parts": parts, "special": special, "words": {}, "borders": {}}
+    reach: dict[bytes, int] = {}
+    for token in ids:
+        reach[token[:2]] = max(reach.get(token[:2], 1), len(token))
+    return {"ids": ids, "ranks": ranks, "parts": parts, "special": special, "words": {}, "old": {}, "borders": {}, "reach": reach}
 
 
 def sufficient_lookahead(tables: dict) -> int:
@@ -61,7 +64,7 @@ class Encoder:
 
     def __init__(self, tables: dict) -> None:
         self.ids, self.ranks, self.parts = tables["ids"], tables["ranks"], tables["parts"]
-        self.words, self.borders = tables["words"], tables["borders"]
+        self.words, self.old, self.borders, self.reach = tables["words"], tables["old"], tables["borders"], tables["reach"]
         self.lookahead = sufficient_lookahead(tables)
         self.special = tables["special"]
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -100,9 +103,10 @@ class Encoder:
         A chain of fitting tokens is the one encoding of its text, so a position that led nowhere never does.
         """
         ids, fits, n = self.ids, self.fits, len(word)
-        path, dead, at, limit = [], set(), 0, n
+        path, dead, at, limit, reach = [], set(), 0, n, self.reach
         while at < n:
-            for end in range(limit, at, -1):
+            # No token that begins with these two bytes is longer than their reach.
+            for end in range(min(limit, at + reach.get(word[at : at + 2], 1)), at, -1):
                 token = word[at:end]
                 if token in ids and end not in dead and (not path or fits(path[-1], token)):
                     path.append(token)
@@ -158,6 +162,10 @@ class Encoder:
         return tuple(map(self.ids.__getitem__, self.short(word) if len(word) <= SHORT else self.stream(word)))
 
     def _remember(self, chunk: str) -> tuple[tuple[int, ...], bytes]:
+        known = self.old.get(chunk)
+        if known is not None:
+            self.words[chunk] = known
+            return known
         bare = chunk[chunk[0] == " " :]
         if bare.isalpha():  # one word of the pattern
             ids = self._word(chunk)
@@ -169,6 +177,8 @@ class Encoder:
         found = (ids, ",".join(map(str, ids)).encode())
         if len(chunk) <= 64:
             if len(self.words) >= WORDS:
+                self.old.clear()
+                self.old.update(self.words)
                 self.words.clear()
             self.words[chunk] = found
         return found
