@@ -146,9 +146,10 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``nodes`` (fp) that connect what links connect."""
     if not 2 < max_bits < 32:
         raise ValueError("max_bits must lie between 3 and 31")
-    # Fingerprints are few bytes but become many keys, so they keep the full number of partitions.
+    # Fingerprints are few bytes but become many keys, so they keep the full number of partitions. Dealt by a hash of
+    # the fingerprint: by the fingerprint itself, the exchange would be merged with that of a grouping before it.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.repartition(parts, "fp").select("fp", F.explode(_chain_keys(F.col("fp"), max_bits)).alias("key"))
+    rows = nodes.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(_chain_keys(F.col("fp"), max_bits)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     pairs = sizes.where("n = 2").where(_chain_holds(F.col("a").bitwiseXOR(F.col("b")), max_bits)).select("a", "b")
     more = tiled(rows, sizes.where("n > 2"), ["key"], "fp", TILE)
