@@ -25,6 +25,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WORDS, BORDERS = 160_000, 400_000
 #: Positions of a long word between two attempts to emit, and bytes up to which a word is short.
 SETTLE, SHORT = 1024, 128
+#: Tokens (and a hundred for each row) after which finished rows are handed out.
+HELD = 1 << 19
 STOPS = frozenset(".,;:!?")
 
 
@@ -215,34 +217,51 @@ class Decoder:
         return self.feed(ids, True)
 
 
-def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` ids and decoded.
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids with ``keep_ids``, decoded with ``keep_text``.
 
     ``path`` names a tokenizer file; the driver reads it and its tables (a few MB) are broadcast. Whole texts are encoded;
     special tokens in a text become their ids. A null text counts as empty and has no ids; bytes that are not UTF-8 are
     read as U+FFFD; repeated rows are kept; an empty table gives no rows; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    kinds |= {"ids": pa.list_(pa.int32())} if keep_ids else {}
+    kinds |= {"decoded": pa.string()} if keep_text else {}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         encoder, decoder = Encoder(tables), Decoder(tables)
+        rows: dict[str, list] = {name: [] for name in kinds}
+        held = 0
+
+        def finished() -> pa.RecordBatch:
+            nonlocal held
+            done = pa.record_batch([pa.array(rows[name], kind) for name, kind in kinds.items()], names=list(kinds))
+            for column in rows.values():
+                column.clear()
+            held = 0
+            return done
+
         for batch in batches:
-            counts, codes, texts, kept, decoded = [], [], [], [], []
-            for text in batch.column(1):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 pieces = encoder.pieces((text.as_py() or b"").decode("utf-8", "replace"))
                 ids = [i for found, _ in pieces for i in found]
                 again = decoder.decode(ids)
-                counts.append(len(ids))
-                codes.append(hashlib.sha256(b",".join([code for _, code in pieces])).hexdigest())
-                texts.append(hashlib.sha256(again.encode()).hexdigest())
+                rows["doc_id"].append(doc.as_py())
+                rows["n_tokens"].append(len(ids))
+                rows["ids_sha256"].append(hashlib.sha256(b",".join([code for _, code in pieces])).hexdigest())
+                rows["decoded_sha256"].append(hashlib.sha256(again.encode()).hexdigest())
                 if keep_ids:
-                    kept.append(ids)
-                    decoded.append(again)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())]
-            more = [pa.array(kept, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else []
-            yield pa.record_batch(columns + more, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + len(more)])
-
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+                    rows["ids"].append(pa.array(ids, pa.int32()).to_numpy())
+                if keep_text:
+                    rows["decoded"].append(again)
+                held += len(ids) + 100
+                if held >= HELD:
+                    yield finished()
+        if rows["doc_id"]:
+            yield finished()
+
+    names = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, ", ".join(f"{name} {names[kind]}" for name, kind in kinds.items()))

@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return bpe.encode_documents(docs, tokenizer_file(), keep_ids=True).drop("decoded")
+    return bpe.encode_documents(docs, tokenizer_file(), keep_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
