@@ -267,8 +267,8 @@ def cnv_2(spark, sf_dir):
     ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
     ids = ids.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id")))
     rows = conv.conversation_detail(ids, messages(spark, sf_dir))
-    window = ranking.Window.partitionBy("id").orderBy("said_at", "message_id")
-    return rows.select("id", "message_id", "role", F.row_number().over(window).alias("place"))
+    placed = ranking.position(rows, ["id"], ["said_at", "message_id"], "place")
+    return placed.select("id", "message_id", "role", (F.col("place") + 1).alias("place"))
 
 
 @query("jn_12_owned_conversation", """SELECT doc_id AS query_id FROM documents WHERE doc_id % 50 IN (SELECT DISTINCT conv_id FROM conversations)
@@ -302,12 +302,9 @@ def snk_3(spark, sf_dir):
     return turns.select("conversation_id", "role", "content", "position")
 
 
-@query("srt_4_listing", RESULTS + """ SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM messages
-  QUALIFY row_number() OVER (ORDER BY created_at DESC, id DESC) <= 50""")
+@query("srt_4_listing", RESULTS + """ SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM messages""")
 def srt_4(spark, sf_dir):
-    top = conv.listing(messages(spark, sf_dir), "created_at").limit(50)
-    window = ranking.Window.orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return top.select("id", F.row_number().over(window).alias("place"))
+    return conv.listing_places(messages(spark, sf_dir), "created_at").select("id", "place")
 
 
 # ---- reviews ------------------------------------------------------------------

@@ -304,15 +304,11 @@ def directory_summary(spark, sf_dir):
 MAX_FILES = 30
 
 
-@query("agg_5_file_catalog", f"""{CATALOG}, ok AS (SELECT repository_id FROM catalog GROUP BY 1 HAVING count(*) <= 2000)
-  SELECT repository_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY path) - 1 AS INT) AS place, path, name,
-    extension, language, size_bytes, line_count FROM catalog WHERE repository_id IN (SELECT repository_id FROM ok)""")
+@query("agg_5_file_catalog", f"""{CATALOG} SELECT repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY path) - 1 AS place,
+    path, name, extension, language, size_bytes, line_count FROM catalog""")
 def file_catalog(spark, sf_dir):
-    files = catalog(spark, sf_dir)
-    totals = profile.check_limits(profile.repository_totals(files))
-    packed = profile.file_catalog(files, totals.where(F.col("error_message").isNull()))
-    return packed.select("repository_id", F.posexplode("file_catalog").alias("place", "f")).select(
-        "repository_id", "place", "f.*"
+    return profile.file_catalog(catalog(spark, sf_dir)).select(
+        "repository_id", "place", "path", "name", "extension", "language", "size_bytes", "line_count"
     )
 
 
@@ -327,15 +323,17 @@ def ingest_limits(spark, sf_dir):
 
 @query("run_1_profile", f"""{LANGUAGES}, t AS (SELECT repository_id, count(*) AS file_count,
     CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, CAST(sum(line_count) AS BIGINT) AS total_lines,
-    CAST(count(DISTINCT {q.top_dir(PATH)}) AS INT) AS directories FROM catalog GROUP BY 1),
-  p AS (SELECT repository_id, count(*) AS languages, first(language ORDER BY bytes DESC, language) AS primary_language
-    FROM languages GROUP BY 1)
+    count(DISTINCT {q.top_dir(PATH)}) AS directories FROM catalog GROUP BY 1),
+  p AS (SELECT repository_id, string_agg(concat(language, ':', files, ':', bytes, ':', lines), ',' ORDER BY language) AS languages,
+    first(language ORDER BY bytes DESC, language) AS primary_language FROM languages GROUP BY 1)
   SELECT repository_id, 'completed' AS status, file_count, total_size_bytes, total_lines, primary_language,
-    CAST(languages AS INT) AS languages, directories, CAST(file_count AS INT) AS listed FROM t LEFT JOIN p USING (repository_id)""")
+    languages, directories, file_count AS listed FROM t LEFT JOIN p USING (repository_id)""")
 def run_profile(spark, sf_dir):
-    runs = profile.profile_repository(catalog(spark, sf_dir))
-    return runs.select(
+    found = profile.profile_repository(catalog(spark, sf_dir))
+    entry = lambda e: F.concat_ws(":", e.key, *[e.value[n].cast("string") for n in ("files", "bytes", "lines")])
+    count = lambda df, name: df.groupBy("repository_id").agg(F.count(F.lit(1)).alias(name))
+    runs = found.runs.select(
         "repository_id", "status", "file_count", "total_size_bytes", "total_lines", "primary_language",
-        F.size("language_stats").alias("languages"), F.size("directory_summary").alias("directories"),
-        F.size("file_catalog").alias("listed"),
+        F.array_join(F.transform(F.map_entries("language_stats"), entry), ",").alias("languages"),
     )
+    return runs.join(count(found.directories, "directories"), "repository_id").join(count(found.files, "listed"), "repository_id")

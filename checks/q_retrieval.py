@@ -111,7 +111,7 @@ def lexical_parts(spark, sf_dir):
     queries = asked(spark, sf_dir, "hybrid", "keyword")
     stored = chunks(spark, sf_dir)
     terms = keyword.query_terms(queries)
-    matches = keyword.term_matches(terms, keyword.build_postings(stored), small=True)
+    matches = keyword.term_matches(terms, keyword.build_postings(stored), small=False)
     return queries, terms, matches, stored
 
 
@@ -134,7 +134,7 @@ def ret_1_cells(spark, sf_dir):
 
 @query("ret_2_keyword", ASKED + LEXICAL + " SELECT query_id, chunk_id, round(lex_score, 6) AS lex_score, rank FROM lex")
 def ret_2(spark, sf_dir):
-    found = keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir), small=True)
+    found = keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("lex_score", 6).alias("lex_score"), "rank")
 
 
@@ -157,7 +157,7 @@ def _merged(spark, sf_dir):
             overview.overview_search(queries.withColumn("query_vector", vector), stored), fusion.OVERVIEW
         ),
         fusion.candidate_list(
-            keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), stored, small=True), fusion.KEYWORD
+            keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), stored), fusion.KEYWORD
         ),
     )
 
@@ -173,7 +173,7 @@ def jn_1(spark, sf_dir):
 
 @query("ret_4_fuse", FUSED + """ SELECT query_id, rank, chunk_id, file_path, score, sources FROM fused""")
 def ret_4(spark, sf_dir):
-    fused = fusion.fuse(_merged(spark, sf_dir), asked(spark, sf_dir), chunks(spark, sf_dir), small=True)
+    fused = fusion.fuse(_merged(spark, sf_dir), asked(spark, sf_dir), chunks(spark, sf_dir))
     return fused.select(
         "query_id", "rank", "chunk_id", "file_path", "score",
         F.array_join("retrieval_sources", ",").alias("sources"),
@@ -236,7 +236,7 @@ def jn_6(spark, sf_dir):
     return keyword.symbol_matches(
         asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir).join(
             asked(spark, sf_dir).select("repository_id", "ingestion_id").distinct(),
-            ["repository_id", "ingestion_id"], "left_semi"), small=True
+            ["repository_id", "ingestion_id"], "left_semi"), small=False
     ).select("query_id", "chunk_id")
 
 
@@ -249,7 +249,7 @@ def agg_7(spark, sf_dir):
 @query("agg_8_term_coverage", ASKED + LEXICAL + """ SELECT query_id, count(*) AS chunks, round(max(lex_score), 6) AS best,
   round(min(lex_score), 6) AS worst FROM lex_pairs GROUP BY 1""")
 def agg_8(spark, sf_dir):
-    scored = keyword.keyword_scores(asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir), small=True)
+    scored = keyword.keyword_scores(asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir))
     return scored.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.round(F.max("lex_score"), 6).alias("best"),
         F.round(F.min("lex_score"), 6).alias("worst"),
@@ -287,7 +287,7 @@ def srt_1(spark, sf_dir):
     queries, stored = asked(spark, sf_dir), chunks(spark, sf_dir)
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     sem = count(semantic.semantic_search(asked(spark, sf_dir, "hybrid", "semantic"), stored), "semantic")
-    lex = count(keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), stored, small=True), "keyword")
+    lex = count(keyword.keyword_search(asked(spark, sf_dir, "hybrid", "keyword"), stored), "keyword")
     return queries.select("query_id", "candidate_k").join(sem, "query_id", "left").join(
         lex, "query_id", "left").na.fill(0, ["semantic", "keyword"])
 
@@ -295,7 +295,7 @@ def srt_1(spark, sf_dir):
 @query("srt_2_keyword_order", ASKED + LEXICAL + " SELECT query_id, chunk_id, rank FROM lex")
 def srt_2(spark, sf_dir):
     return keyword.keyword_search(
-        asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir), small=True
+        asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir)
     ).select("query_id", "chunk_id", "rank")
 
 
@@ -314,7 +314,7 @@ def set_1(spark, sf_dir):
         fusion.candidate_list(semantic.semantic_search(asked(spark, sf_dir, "hybrid", "semantic"), stored), fusion.SEMANTIC),
         fusion.candidate_list(overview.overview_search(queries, stored), fusion.OVERVIEW),
         fusion.candidate_list(keyword.keyword_search(
-            asked(spark, sf_dir, "hybrid", "keyword"), stored, small=True), fusion.KEYWORD),
+            asked(spark, sf_dir, "hybrid", "keyword"), stored), fusion.KEYWORD),
     ]
     rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
     return rows.select("query_id", "chunk_id", "source")

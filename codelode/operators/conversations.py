@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.operators.evidence import evidence_snapshot
+from codelode.operators.ranking import position
 
 MESSAGE_COLUMNS = (
     "conversation_id", "role", "content", "evidence", "model", "input_tokens", "output_tokens",
@@ -84,6 +85,14 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame) -> DataFr
     return conversations.join(said, "id", "left").orderBy("id", "said_at", "message_id")
 
 
+def listing_places(df: DataFrame, newest_by: str) -> DataFrame:
+    """SRT-4 as a column: ``place`` in the listing from 1, without gathering rows in one task."""
+    newest = F.coalesce(-F.unix_micros(F.col(newest_by).cast("timestamp")), F.lit((1 << 63) - 1))
+    rows = df.withColumn("_newest", newest).withColumn("_last", -F.col("id"))
+    placed = position(rows, [], ["_newest", "_last"], "place").drop("_newest", "_last")
+    return placed.withColumn("place", F.col("place") + 1)
+
+
 def listing(df: DataFrame, newest_by: str) -> DataFrame:
     """SRT-4: newest first, ties by descending id."""
     return df.orderBy(F.col(newest_by).desc(), F.col("id").desc())

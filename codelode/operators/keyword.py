@@ -37,13 +37,13 @@ def _special_keys(blob: Column) -> Column:
     """(key, token) of each special token: pairs and lone non-ASCII characters.
 
     A term neither starts nor ends with edge punctuation, so that much is
-    trimmed from the tokens first; most of them become plain words.
+    trimmed from the tokens first. A dot at the end stays: terms may end so.
     """
     tokens = F.array_distinct(F.regexp_extract_all(blob, F.lit(_SPECIAL_TOKEN), 0))
     trimmed = F.transform(
         tokens,
         lambda t: F.rtrim(
-            F.ltrim(t, F.lit(fixed.EDGE_PUNCTUATION)), F.lit(fixed.EDGE_PUNCTUATION + ".")
+            F.ltrim(t, F.lit(fixed.EDGE_PUNCTUATION)), F.lit(fixed.EDGE_PUNCTUATION)
         ),
     )
     special = F.filter(F.array_distinct(trimmed), lambda t: t.rlike(_SPECIAL))

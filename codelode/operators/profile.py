@@ -1,17 +1,20 @@
 """Repository profiles (RUN-1, AGG-1 to AGG-6).
 
 Every aggregate here combines on the map side, so one repository may hold any
-share of all files. Lists and maps are built only for repositories inside the
-ingest limits, which bounds their length.
+share of all files. Directories and files stay rows; the only map has an entry
+per known language.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from codelode import fixed
 from codelode.functions import text as tx
 from codelode.operators.filters import accepted_files
+from codelode.operators.ranking import position
 from codelode.session import store
 
 KEY = "repository_id"
@@ -82,65 +85,51 @@ def directory_rows(catalog: DataFrame) -> DataFrame:
 
 
 def check_limits(
-    totals: DataFrame,
-    max_files: int = fixed.MAX_REPOSITORY_FILES,
-    max_bytes: int = fixed.MAX_REPOSITORY_BYTES,
+    totals: DataFrame, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """AGG-6: add ``error_message``, NULL for a repository within both limits."""
-    return totals.withColumn(
-        "error_message",
-        F.when(F.col("file_count") > max_files, fixed.MSG_FILE_LIMIT.format(max_files)).when(
-            F.col("total_size_bytes") > max_bytes, fixed.MSG_SIZE_LIMIT.format(max_bytes)
-        ),
-    )
+    """AGG-6: add ``error_message``, NULL for a repository within the given limits."""
+    message = F.lit(None).cast("string")
+    if max_bytes is not None:
+        over = F.col("total_size_bytes") > max_bytes
+        message = F.when(over, fixed.MSG_SIZE_LIMIT.format(max_bytes))
+    if max_files is not None:
+        over = F.col("file_count") > max_files
+        message = F.when(over, fixed.MSG_FILE_LIMIT.format(max_files)).otherwise(message)
+    return totals.withColumn("error_message", message)
 
 
-def file_catalog(catalog: DataFrame, within: DataFrame) -> DataFrame:
-    """AGG-5: files of each repository listed in ``within``, sorted by path.
+def file_catalog(catalog: DataFrame) -> DataFrame:
+    """AGG-5: catalog rows with their place by path in the repository, from 0."""
+    return position(catalog, [KEY], ["path"], "place")
 
-    ``within`` holds repositories that passed ``check_limits``, so no list is
-    longer than the file limit.
-    """
-    row = F.struct("path", "name", "extension", "language", "size_bytes", "line_count")
-    kept = catalog.join(within.select(KEY), KEY, "left_semi")
-    return kept.groupBy(KEY).agg(F.array_sort(F.collect_list(row)).alias("file_catalog"))
+
+@dataclass(frozen=True)
+class Profile:
+    """``runs`` has a row per repository, ``directories`` one per directory, ``files`` one per file."""
+
+    runs: DataFrame
+    directories: DataFrame
+    files: DataFrame
 
 
 def profile_repository(
-    catalog: DataFrame,
-    max_files: int = fixed.MAX_REPOSITORY_FILES,
-    max_bytes: int = fixed.MAX_REPOSITORY_BYTES,
-) -> DataFrame:
-    """RUN-1: one run row per repository from ``scan_files`` rows.
+    catalog: DataFrame, max_files: int | None = None, max_bytes: int | None = None
+) -> Profile:
+    """RUN-1 from ``scan_files`` rows.
 
-    The catalog rows are stored first, so that file contents are read once.
+    The catalog rows are stored first, so that file contents are read once. A
+    repository above a limit is marked ``failed`` and still profiled in full.
     """
     catalog = store(catalog, "catalog")
     totals = check_limits(repository_totals(catalog), max_files, max_bytes)
-    good = totals.where(F.col("error_message").isNull())
-    entry = F.struct("directory", F.col("files").cast("int"))
-    directories = (
-        directory_rows(catalog)
-        .join(good.select(KEY), KEY, "left_semi")
-        .groupBy(KEY)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("directory_summary"))
-    )
-    ok = F.col("error_message").isNull()
-    keep = lambda c: F.when(ok, F.col(c)).alias(c)
-    return (
-        totals.join(language_stats(language_rows(catalog)), KEY, "left")
-        .join(directories, KEY, "left")
-        .join(file_catalog(catalog, good), KEY, "left")
-        .select(
-            KEY,
-            F.when(ok, "completed").otherwise("failed").alias("status"),
-            keep("file_count"),
-            keep("total_size_bytes"),
-            keep("total_lines"),
-            keep("primary_language"),
-            keep("language_stats"),
-            "directory_summary",
-            "file_catalog",
-            "error_message",
-        )
+    runs = totals.join(language_stats(language_rows(catalog)), KEY, "left").select(
+        KEY,
+        F.when(F.col("error_message").isNull(), "completed").otherwise("failed").alias("status"),
+        "file_count",
+        "total_size_bytes",
+        "total_lines",
+        "primary_language",
+        "language_stats",
+        "error_message",
     )
+    return Profile(runs, directory_rows(catalog), catalog)

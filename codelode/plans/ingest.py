@@ -15,8 +15,12 @@ from codelode.sources.archives import expand_archives
 
 @dataclass(frozen=True)
 class Ingested:
+    """Run rows, chunks of completed runs, and directory and file rows of every profiled run."""
+
     runs: DataFrame
     chunks: DataFrame
+    directories: DataFrame
+    files: DataFrame
 
 
 def ingest(
@@ -26,24 +30,29 @@ def ingest(
     apply_filter: bool = True,
     max_files: int = fixed.MAX_REPOSITORY_FILES,
     max_bytes: int = fixed.MAX_REPOSITORY_BYTES,
+    profile_files: int | None = None,
+    profile_bytes: int | None = None,
 ) -> Ingested:
-    """RUN-2 on ``archives(repository_id, ingestion_id, content)``.
+    """RUN-2 on ``archives(repository_id, ingestion_id, content)``, one archive per repository and run.
 
     Every archive gives exactly one run row: ``failed`` with a message for a
-    rejected archive or a breached limit, else ``completed``. Only completed
-    runs give chunks. ``fn`` None leaves the vectors out.
+    rejected archive or a breached limit, else ``completed``. Runs of one
+    repository never mix. Only completed runs give chunks. ``max_files`` and
+    ``max_bytes`` guard the unpacking of an archive; ``profile_files`` and
+    ``profile_bytes`` limit its accepted files. ``fn`` None leaves the vectors out.
     """
-    named = archives.withColumn("archive", F.col("repository_id").cast("string"))
+    run = ["repository_id", "ingestion_id"]
+    named = archives.withColumn("archive", F.to_json(F.struct(*run)))
     files, errors = expand_archives(named, max_bytes=max_bytes, max_files=max_files)
-    ids = named.select("archive", "repository_id", "ingestion_id")
-    tree = files.join(ids, "archive").drop("archive")
-    profiles = profile_repository(
-        scan_files(tree.select("repository_id", "path", "length", "content")), max_files, max_bytes
-    )
+    ids = named.select("archive", *run)
+    scanned = scan_files(files.select(F.col("archive").alias("repository_id"), "path", "length", "content"))
+    profile = profile_repository(scanned, profile_files, profile_bytes)
+    by_run = lambda df: ids.join(df.withColumnRenamed("repository_id", "archive"), "archive")
+    profiles = profile.runs.withColumnRenamed("repository_id", "archive")
     shas = files.groupBy("archive").agg(F.max("commit_sha").alias("commit_sha"))
     rejected = errors.select("archive", F.col("message").alias("_rejected"))
     rows = (
-        ids.join(profiles, "repository_id", "left")
+        ids.join(profiles, "archive", "left")
         .join(shas, "archive", "left")
         .join(rejected, "archive", "left")
     )
@@ -51,7 +60,8 @@ def ingest(
     status = F.when(message.isNotNull(), "failed").otherwise("completed")
     ok = message.isNull()
     # An archive whose files were all filtered out completes with zero totals.
-    zero = lambda c: F.when(ok, F.coalesce(c, F.lit(0))).alias(c)
+    read = F.col("_rejected").isNull()
+    zero = lambda c: F.when(read, F.coalesce(c, F.lit(0))).alias(c)
     runs = rows.select(
         F.col("ingestion_id").alias("id"),
         "repository_id",
@@ -62,15 +72,13 @@ def ingest(
         zero("total_lines"),
         "primary_language",
         "language_stats",
-        "directory_summary",
-        "file_catalog",
         message.alias("error_message"),
         run_ts.alias("completed_at"),
     )
-    done = runs.where(F.col("status") == "completed").select("repository_id")
-    chunks = chunk_corpus(tree.drop("commit_sha"), apply_filter).join(
-        done, "repository_id", "left_semi"
-    )
+    done = rows.where(ok).select("archive", *run)
+    tree = files.drop("commit_sha").join(done, "archive").drop("archive")
+    chunks = chunk_corpus(tree, apply_filter)
     if fn is not None:
         chunks = embed(chunks, "chunk_text", fn)
-    return Ingested(runs, chunks)
+    listed = [by_run(df).drop("archive") for df in (profile.directories, profile.files)]
+    return Ingested(runs, chunks, *listed)

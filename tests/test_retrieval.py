@@ -29,7 +29,7 @@ def ask(i, text, vector=None, k=10, repo=1, run=1, mode="hybrid", low=None, exts
     return (i, repo, run, text, vector, 2 * k, k, low, mode, exts, paths)
 
 
-VOCABULARY = ["image", "images", "encoder", "retrieval", "class", "token", "verify_token", "a/b.py", "naïve", "été", "x", "log", "logger", "re-use", "v1.2", "ñ"]
+VOCABULARY = ["image", "images", "encoder", "retrieval", "class", "token", "verify_token", "a/b.py", "naïve", "été", "x", "log", "logger", "re-use", "v1.2", "ñ", "(the end.)", "end."]
 
 
 def corpus(seed, size=120):
@@ -43,7 +43,7 @@ def corpus(seed, size=120):
         rows.append(chunk(i, path, text, draw.choice([None, "", "Token", "log"]), vector, repo=1 if draw.random() < 0.7 else 2))
     queries = []
     for i in range(24):
-        words = " ".join(draw.choice(VOCABULARY + ["zebra", "the", "how"]) for _ in range(draw.randint(1, 5)))
+        words = " ".join(draw.choice(VOCABULARY + ["zebra", "the", "how", "(see the end.)."]) for _ in range(draw.randint(1, 5)))
         exts = draw.choice([None, None, [], ["py"], [".md", ".ts"]])
         paths = draw.choice([None, None, ["src/"], ["lib/x%", "do_s/"]])
         queries.append(ask(i, draw.choice([words, "log", "TOKEN"]), [draw.uniform(-1, 1) for _ in range(8)], draw.randint(1, 6),

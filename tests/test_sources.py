@@ -99,6 +99,22 @@ def test_ingest_gives_one_run_per_archive(spark):
     assert [(c.repository_id, c.name, len(c.embedding)) for c in chunks] == [(1, "f", 8)]
 
 
+def test_runs_of_one_repository_stay_apart(spark):
+    rows = [(1, 11, pack(("r/a.py", b"x = 1\n"))), (1, 12, pack(("r/b.py", b"y = 2\n"), ("r/c.py", b"z = 3\n")))]
+    df = spark.createDataFrame(rows, "repository_id int, ingestion_id int, content binary")
+    done = ingest(df, None, F.lit("2026-01-01").cast("timestamp"))
+    assert {r.id: r.file_count for r in done.runs.collect()} == {11: 1, 12: 2}
+    assert {(r.ingestion_id, r.path) for r in done.files.collect()} == {(11, "a.py"), (12, "b.py"), (12, "c.py")}
+    assert sorted((r.ingestion_id, r.file_path) for r in done.chunks.collect()) == [(11, "a.py"), (12, "b.py"), (12, "c.py")]
+
+
+def test_profile_limits_fail_a_run_without_hiding_it(spark):
+    df = spark.createDataFrame([(1, 11, pack(("r/a.py", b"x"), ("r/b.py", b"y")))], "repository_id int, ingestion_id int, content binary")
+    done = ingest(df, None, F.lit("2026-01-01").cast("timestamp"), profile_files=1)
+    run = done.runs.first()
+    assert (run.status, run.file_count, done.files.count(), done.chunks.count()) == ("failed", 2, 2, 0)
+
+
 def test_packing(spark):
     def packed(tokens, **limits):
         rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(tokens)], "k int, position long, tokens long")
