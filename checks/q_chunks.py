@@ -118,7 +118,7 @@ def route(spark, sf_dir):
     return _shown(chunking.chunk_files(files), "id")
 
 
-_KEPT = f"NOT {q.ignored_dir('path')} AND ({q.verdict('path', 'length', 2097152)}) IS NULL"
+_KEPT = f"NOT {q.ignored_dir('path')} AND ({q.verdict('path', 'length', 1 << 62)}) IS NULL"  # no size limit
 
 
 @query("chk_6_corpus", f"""{with_tables('files')}, kept AS (SELECT * FROM files WHERE {_KEPT}),

@@ -226,14 +226,23 @@ def chunk_files(
     return split_files(files, rules, size, overlap, python=language == "Python")
 
 
-def chunk_corpus(tree: DataFrame, apply_filter: bool = True) -> DataFrame:
+def rejected_corpus(tree: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files that ``chunk_corpus`` leaves out, with ``reason``, without their content."""
+    from codelode.operators.filters import file_verdict
+
+    reason = F.when(tx.in_ignored_dir(F.col("path")), "ignored_directory").otherwise(F.col("reason"))
+    return file_verdict(tree, max_bytes).withColumn("reason", reason).where("reason IS NOT NULL").drop("content", "ignored")
+
+
+def chunk_corpus(tree: DataFrame, apply_filter: bool = True, max_bytes: int | None = None) -> DataFrame:
     """CHK-6: binary file rows (``path``, ``length``, ``content``) to chunks.
 
-    ``apply_filter=False`` also indexes files that the catalog rejects.
+    Secrets, binaries and ignored directories are left out (``rejected_corpus`` lists them), files of any
+    size are indexed unless ``max_bytes`` says otherwise. ``apply_filter=False`` indexes all files.
     """
     from codelode.operators.filters import accepted_files
 
-    files = accepted_files(tree) if apply_filter else tree
+    files = accepted_files(tree, max_bytes=max_bytes) if apply_filter else tree
     keys = [c for c in files.columns if c not in ("path", "length", "content")]
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return chunk_files(

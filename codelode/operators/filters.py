@@ -9,23 +9,22 @@ from codelode.functions import text as tx
 
 
 def file_verdict(
-    files: DataFrame, max_bytes: int = fixed.MAX_FILE_BYTES, check_content: bool = True
+    files: DataFrame, max_bytes: int | None = fixed.MAX_FILE_BYTES, check_content: bool = True
 ) -> DataFrame:
     """FLT-6: add ``ignored`` and ``reason``; the first matching reason wins.
 
     ``files`` has ``path``, ``length`` and, with ``check_content``, ``content``.
-    A NULL length stands for a file that could not be read.
+    A NULL length stands for a file that could not be read; ``max_bytes`` None sets no size limit.
     """
     path, length = F.col("path"), F.col("length")
     reason = (
         F.when(tx.is_secret_file(path), "secret_or_credential_file")
         .when(tx.has_binary_extension(path), "binary_extension")
         .when(length.isNull(), "stat_error")
-        .when(
-            length > max_bytes,
-            F.concat(F.lit("file_size_exceeded_"), length.cast("string"), F.lit("_bytes")),
-        )
     )
+    if max_bytes is not None:
+        size = F.concat(F.lit("file_size_exceeded_"), length.cast("string"), F.lit("_bytes"))
+        reason = reason.when(length > max_bytes, size)
     if check_content:
         unreadable = F.coalesce(tx.is_binary_content(F.col("content")), F.lit(True))
         reason = reason.when(unreadable, "binary_content")

@@ -101,6 +101,16 @@ def test_corpus_filter_can_be_left_out(spark):
     assert kept == {"src/a.ts": "let a;", "b.txt": "ab�cd"}
     everything = {r.file_path for r in chunking.chunk_corpus(tree, apply_filter=False).collect()}
     assert everything == {"src/a.ts", ".env", "node_modules/x.js", "b.txt"}
+    rejected = {r.path: r.reason for r in chunking.rejected_corpus(tree).collect()}
+    assert rejected == {".env": "secret_or_credential_file", "node_modules/x.js": "ignored_directory"}
+
+
+def test_corpus_keeps_files_of_any_size(spark):
+    text = b"a line of prose\n" * 140_000
+    tree = spark.createDataFrame([("r", "big.txt", len(text), text)], "repository_id string, path string, length bigint, content binary")
+    assert chunking.chunk_corpus(tree).agg({"end_line": "max"}).first()[0] >= 140_000
+    assert chunking.chunk_corpus(tree, max_bytes=1 << 20).count() == 0
+    assert chunking.rejected_corpus(tree, 1 << 20).first().reason == f"file_size_exceeded_{len(text)}_bytes"
 
 
 def test_text_is_split_in_one_pass(spark):
