@@ -1,9 +1,14 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within ``edits`` edits share, for a partition of the shorter into ``edits + 1`` segments, one segment whole, at
-a place that shifts with the difference of their lengths. So each line is indexed under its length and segments, and
-probes the substrings of itself that can be a segment of a line as long or a little shorter. Keys that only one line has
-go at once; for the others the lines' texts are fetched, and pairs are verified by a banded bit-parallel edit distance.
+Two short lines within ``edits`` edits share, for a partition of the shorter into ``edits + 1`` segments, one segment whole,
+at a place that shifts with the difference of their lengths. So each line is indexed under its length and segments, and
+probes the substrings of itself that can be a segment of a line as long or a little shorter. The probes grow with the cube
+of the edits, so longer lines, whose edits grow with their length, have other keys: their substrings of half an ``each``,
+in the order of a hash, up to the one with which more of them than the edits stand apart. An edit spoils one of those that
+stand apart at most, so two lines within their edits share one, at places and lengths that differ by the edits. Keys that
+only one line has go at once; for the others the lines' texts are fetched (of long lines, which have many keys, only their
+letter counts, and their texts once the pairs that pass are known), and pairs are verified by a banded bit-parallel edit
+distance.
 """
 
 from __future__ import annotations
@@ -20,19 +25,27 @@ from codelode.llm.common import Links, components, cut_lineage, segments, tiled
 
 #: Home lines of a tile, and bits of the filter that says which keys are live (4 MB in every task, at any input size).
 TILE, FILTER_BITS = 256, 25
+#: Edits of the longest lines that segments find; growth of a length class, and width of a cell of places in edits.
+FEW, CLASS, CELL = 2, 1.5, 8
+#: Counts above this are not told apart; pairs that a task remembers.
+CLIP, TOLD = 32_000, 200_000
+#: Characters that are hashed at a time, and of a line up to which each of its keys carries the text.
+HASHED, CARRIED = 1 << 20, 400
 BLANKS = b" \t\n\r\x0b\x0c"
 
 
-def allowed(length: int, edits: int, each: int) -> int:
-    """Edits within which a line of this length is a copy: one for every ``each`` characters, at most ``edits``."""
-    return min(edits, length // each)
+def allowed(length: int, edits: int | None, each: int) -> int:
+    """Edits within which a line of this length is a copy: one for every ``each`` characters, at most ``edits`` if given."""
+    return length // each if edits is None else min(edits, length // each)
 
 
 @lru_cache(maxsize=100_000)
-def probes(size: int, edits: int, each: int) -> tuple[tuple[int, int, int], ...]:
-    """(seed, start, end) of the substrings by which a line of this length is found; the seed names length and segment."""
+def probes(size: int, edits: int, each: int, below: int | None = None) -> tuple[tuple[int, int, int], ...]:
+    """(seed, start, end) of the substrings by which a line of this length is found; the seed names length and segment.
+
+    With ``below``, only pairs whose shorter line is not as long as that are found."""
     parts, found = edits + 1, []
-    for shorter in range(max(parts, each, size - edits), size + 1):
+    for shorter in range(max(parts, each, size - edits), size + 1 if below is None else min(size + 1, below)):
         gap = size - shorter
         base, long = divmod(shorter, parts)
         at = 0
@@ -46,15 +59,85 @@ def probes(size: int, edits: int, each: int) -> tuple[tuple[int, int, int], ...]
     return tuple(found)
 
 
-def segment_keys(line: str, edits: int, each: int) -> bytes:
+def segment_keys(line: str, edits: int, each: int, below: int | None = None) -> bytes:
     """The 8-byte keys of one line, joined."""
-    plan, digest = probes(len(line), edits, each), xxhash.xxh64_digest
+    plan, digest = probes(len(line), edits, each, below), xxhash.xxh64_digest
     if line.isascii():
         raw = line.encode()
         return b"".join([digest(raw[a:b], s) for s, a, b in plan])
     return b"".join([digest(line[a:b].encode(), s) for s, a, b in plan])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def _apart(grams: np.ndarray, width: int, many: int) -> np.ndarray:
+    """Places of the least grams, up to the one with which ``many`` of them do not overlap; of all, if they don't come to that."""
+    busy, cover = bytearray(len(grams) + 2 * width), b"\1" * (2 * width - 1)
+    for at in grams.argsort().tolist():
+        if not busy[at + width]:
+            many -= 1
+            if not many:
+                return np.flatnonzero(grams <= grams[at])
+            busy[at + 1 : at + 2 * width] = cover
+    return np.arange(len(grams))
+
+
+def gram_keys(lines: list[str], each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines of at least ``each`` characters that differ in an edit for every ``each`` of them, and each key's line."""
+    width, keys, owners, first = max(1, each // 2), [], [], 0
+    while first < len(lines):
+        last, room = first + 1, HASHED - len(lines[first])
+        while last < len(lines) and len(lines[last]) <= room:
+            room -= len(lines[last])
+            last += 1
+        codes = np.frombuffer("".join(lines[first:last]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        grams = np.zeros(len(codes) - width + 1, np.uint64)
+        for i in range(width):
+            grams = grams * np.uint64(0x100000001B3) + codes[i : i + len(grams)]
+        grams, at = _mixed(grams), 0
+        taken, sizes = [], [len(line) for line in lines[first:last]]
+        for size in sizes:
+            taken.append(_apart(grams[at : at + size - width + 1], width, size // each + 1))
+            at += size
+        count, sizes = [len(x) for x in taken], np.array(sizes)
+        place, owner = np.concatenate(taken), np.repeat(np.arange(len(sizes)), count)
+        gram = grams[place + np.repeat(np.cumsum(sizes) - sizes, count)]
+        size = sizes[owner]
+        # Half the edits to both sides: what differs by the edits at most has a class and a cell in common.
+        half = (size // each + 1) // 2
+        low, high = (np.floor(np.log(size + side) / np.log(CLASS)).astype(np.int64) for side in (-half, half))
+        for step in range(int((high - low).max()) + 1):
+            kind = low + step
+            cell = np.maximum(1, CELL * (CLASS**kind / each).astype(np.int64))
+            begin, end = (place - half) // cell, (place + half) // cell
+            for k in range(int((end - begin).max()) + 1):
+                use = np.flatnonzero((kind <= high) & (begin + k <= end))
+                where = (kind[use] << 40) + begin[use] + k
+                keys.append(_mixed(gram[use] ^ _mixed(where.view(np.uint64))))
+                owners.append(owner[use] + first)
+        first = last
+    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *owners])
+
+
+def line_keys(lines: list[str], edits: int | None, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, place of each key's line); two lines within their allowed edits share a key."""
+    long = (FEW + 1) * each
+    if edits is None:
+        found = [segment_keys(line, FEW, each, long) if len(line) < long + FEW else b"" for line in lines]
+    else:
+        found = [segment_keys(line, edits, each) for line in lines]
+    keys, owner = np.frombuffer(b"".join(found), ">u8").astype(np.uint64), np.repeat(np.arange(len(lines)), [len(k) // 8 for k in found])
+    if edits is None:
+        at = [i for i, line in enumerate(lines) if len(line) >= long]
+        more, of = gram_keys([lines[i] for i in at], each)
+        keys, owner = np.concatenate([keys, more]), np.concatenate([owner, np.array(at, np.int64)[of]])
+    return keys, owner
+
+
 def clean_lines(text: bytes) -> list[str]:
     """Lines without white space at their ends, by which they are compared."""
     return [line.strip(BLANKS).decode("utf-8", "replace") for line in text.split(b"\n")]
@@ -101,6 +184,17 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def may_be_within(a: str, b: str, most: int) -> bool:
+    """False if more pieces of ``a`` than edits are not in ``b`` near their place, as each edit spoils one at most."""
+    width, missing = max(1, len(a) // (2 * most + 2)), 0
+    for at in range(0, len(a) - width + 1, width):
+        if b.find(a[at : at + width], max(0, at - most), at + most + width) < 0:
+            missing += 1
+            if missing > most:
+                return False
+    return True
+
+
 def _shared(a: str, b: str) -> int:
     """Length of the common beginning."""
     low, high = 0, min(len(a), len(b))
@@ -113,16 +207,15 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def _live_keys(slim: DataFrame, edits: int, each: int) -> DataFrame:
+def _live_keys(slim: DataFrame, edits: int | None, each: int) -> DataFrame:
     """Keys that more than one line has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each}
-            found = [(segment_keys(line, edits, each), xxhash.xxh64_intdigest(line.encode(), 1)) for line in seen]
-            keys = np.frombuffer(b"".join([k for k, _ in found]), ">i8").astype(np.int64)
-            tags = np.repeat(np.array([t for _, t in found], np.uint64).view(np.int64), [len(k) // 8 for k, _ in found])
-            yield pa.record_batch([pa.array(keys), pa.array(tags)], names=["key", "tag"])
+            seen = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
+            keys, owner = line_keys(seen, edits, each)
+            tags = np.array([xxhash.xxh64_intdigest(line.encode(), 1) for line in seen], np.uint64).view(np.int64)[owner]
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(tags)], names=["key", "tag"])
 
     rows = slim.select("text").mapInArrow(run, "key bigint, tag bigint")
     return rows.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high").select("key")
@@ -147,39 +240,83 @@ def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return found
 
 
-def _verify(edits: int, each: int):
+def _verify(edits: int | None, each: int):
+    """Edges between lines of a tile, and pairs of which one came without its text (not ``sure``)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, links, homes, shapes = None, Links(), [], np.empty((0, 33), np.int16)
+        told: set = set()  # pairs that lately went out, as long copies share thousands of keys
         for now, at_home, rows in segments(batches, ["key", "tile"], "role"):
             if now != key:
                 key, links, homes, shapes = now, Links(), [], np.empty((0, 33), np.int16)
             texts, size = rows.column("line").to_pylist(), len(homes)
             places = links.add(rows.column("node").to_numpy())
-            mine = np.array([_shape(t) for t in texts], np.int16).reshape(-1, 33)
+            mine = np.frombuffer(b"".join(rows.column("shape").to_pylist()), np.int16).reshape(-1, 33)
             if at_home:
                 homes += texts
                 shapes = np.concatenate([shapes, mine])
             for i, text in enumerate(texts):
                 # Every edit changes the length by one and the counts of letters by two at most.
                 gap = np.abs(shapes - mine[i])
-                near = np.flatnonzero((gap[:, 32] <= edits) & (gap[:, :32].sum(1) <= 2 * edits))
+                # Lengths are clipped where letter counts are; as many edits as the shorter of the pair has, or more.
+                most = edits if text is None and mine[i, 32] == CLIP else allowed(int(mine[i, 32]), edits, each)
+                near = np.flatnonzero((gap[:, 32] <= most) & (gap[:, :32].sum(1) <= 2 * most)) if most is not None else np.arange(len(shapes))
+                doubtful = []
                 for h in near:
-                    if links.root[h] != links.root[places[i]] and within(homes[h], text, allowed(min(len(homes[h]), len(text)), edits, each)):
+                    if links.root[h] == links.root[places[i]]:
+                        continue
+                    if text is None or homes[h] is None:
+                        pair = links.ids[h], links.ids[places[i]]
+                        if pair not in told:
+                            doubtful.append(h)
+                            told.add(pair)
+                    elif _copies(homes[h], text, edits, each):
                         a, b = links.unite(np.array([h]), places[i : i + 1])
-                        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                        yield pa.record_batch([pa.array(a), pa.array(b), pa.array([True] * len(a))], names=["a", "b", "sure"])
+                if doubtful:
+                    others = links.ids[doubtful]
+                    yield pa.record_batch([pa.array(others), pa.array(np.full(len(others), links.ids[places[i]])), pa.array([False] * len(others))], names=["a", "b", "sure"])
+            if len(told) > TOLD:
+                told.clear()
             if not at_home:
                 links.trim(size)
 
     return run
 
 
+def _copies(a: str, b: str, edits: int | None, each: int) -> bool:
+    most = allowed(min(len(a), len(b)), edits, each)
+    return may_be_within(a, b, most) and within(a, b, most)
+
+
+def _doubtful(slim: DataFrame, pairs: DataFrame, edits: int | None, each: int) -> DataFrame:
+    """The pairs whose lines, read again from the texts, are copies."""
+    pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
+            nodes = np.array([xxhash.xxh64_intdigest(t.encode(), 1) for t in lines], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(nodes), pa.array(lines, pa.string())], names=["node", "line"])
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [_copies(x, y, edits, each) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = cut_lineage(slim.select("text").mapInArrow(read, "node bigint, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+
+
 def _shape(text: str) -> np.ndarray:
     """Counts of letters by their code modulo 32, and the length."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 32
-    return np.append(np.bincount(codes, minlength=32), len(text)).clip(0, 32000)
+    return np.append(np.bincount(codes, minlength=32), len(text)).clip(0, CLIP).astype(np.int16)
 
 
-def near_lines(slim: DataFrame, edits: int, each: int) -> DataFrame:
+def near_lines(slim: DataFrame, edits: int | None, each: int) -> DataFrame:
     """(node, component) of the lines (by their 64-bit hash) that have a near copy in another text."""
     live = cut_lineage(_live_keys(slim, edits, each))
     bits = slim.sparkSession.sparkContext.broadcast(_filter(live))
@@ -187,19 +324,23 @@ def near_lines(slim: DataFrame, edits: int, each: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
-            found = [segment_keys(line, edits, each) for line in lines]
-            keys = np.frombuffer(b"".join(found), ">u8").astype(np.uint64)
-            owner = np.repeat(np.arange(len(lines)), [len(k) // 8 for k in found])
+            keys, owner = line_keys(lines, edits, each)
             keep = _passes(keys, bits.value)
-            texts = [lines[i] for i in owner[keep]]
-            nodes = np.array([xxhash.xxh64_intdigest(t.encode(), 1) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(keys[keep].view(np.int64)), pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["key", "node", "line"])
-
-    rows = slim.select("text").mapInArrow(run, "key bigint, node bigint, line string").join(live, "key", "left_semi").dropDuplicates(["key", "node"])
+            keys, owner = keys[keep].view(np.int64), owner[keep]
+            nodes = np.array([xxhash.xxh64_intdigest(t.encode(), 1) for t in lines], np.uint64).view(np.int64)
+            needed = set(owner.tolist())
+            shapes = [_shape(t).tobytes() if i in needed else b"" for i, t in enumerate(lines)]
+            for at in range(0, len(keys), 20_000):
+                of = owner[at : at + 20_000]
+                texts = pa.array([lines[i] if len(lines[i]) <= CARRIED else None for i in of], pa.string())
+                yield pa.record_batch([pa.array(keys[at : at + 20_000]), pa.array(nodes[of]), texts, pa.array([shapes[i] for i in of], pa.binary())], names=["key", "node", "line", "shape"])
+
+    rows = slim.select("text").mapInArrow(run, "key bigint, node bigint, line string, shape binary").join(live, "key", "left_semi").dropDuplicates(["key", "node"])
     rows = cut_lineage(rows)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = tiled(rows, sizes, ["key"], "node", TILE).mapInArrow(_verify(edits, each), "a bigint, b bigint")
-    return components(edges)
+    found = cut_lineage(tiled(rows, sizes, ["key"], "node", TILE).mapInArrow(_verify(edits, each), "a bigint, b bigint, sure boolean"))
+    more = _doubtful(slim, found.where("NOT sure").select("a", "b"), edits, each)
+    return components(found.where("sure").select("a", "b").unionAll(more))
 
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +379,11 @@ def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["doc_id", "text", "n_lines", "n_kept", "carried"])
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, each: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | None = None, each: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text without lines that copy another line, n_lines, n_kept, and ``carry`` columns.
 
     Lines end at ``\n`` and are compared without ASCII white space at their ends. Lines are linked if they are equal or,
-    for every ``each`` characters of the shorter, differ in one edit, at most ``edits``. Of what links connect, the line
+    for every ``each`` characters of the shorter, differ in one edit (with ``edits``, at most so many). Of what links connect, the line
     with the smallest (doc_id, place) stays, in that document once; all others go. Blank lines stay. A null text stays
     null with 0 lines, an empty text has one blank line. Rows that share an id are one document to the choice and each
     keep their lines; lines of rows without an id are compared but never chosen or removed by others. An empty table

@@ -167,6 +167,40 @@ def test_line_dedup_query(spark):
         assert set(map(str.strip, t.split("\n"))) - {""} <= set(exact[d])
 
 
+def long_lines(draw):
+    """Lines of up to 400 characters, each with copies at, below and a little above one edit for every 20 characters."""
+    rows = []
+    for size in (57, 59, 60, 61, 79, 80, 150, 212, 400):
+        line = "".join(draw.choice("abcdeñ ") for _ in range(size)).replace(" ", "_")
+        rows += [edited(draw, line, n) for n in (0, 2, 3, size // 20 - 1, size // 20, size // 20, size // 20 + 2)]
+    return rows
+
+
+def test_long_lines_within_their_edits_share_a_key():
+    draw = random.Random(16)
+    for size in [*range(58, 64), 79, 80, 99, 100, 101, 134, 200, 201] * 10:
+        a = "".join(draw.choice("abcñ") for _ in range(size))
+        b = a
+        for i in range(size // 20):  # evenly spread, which leaves the shortest stretches whole
+            at = min(len(b) - 1, (i + 1) * size // (size // 20 + 1) + draw.randint(-1, 1))
+            b = b[:at] + draw.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
+        if distance(a, b) <= min(len(a), len(b)) // 20:
+            keys, owner = lines.line_keys([a, b], None, 20)
+            assert set(keys[owner == 0]) & set(keys[owner == 1]), (a, b)
+
+
+def test_edits_grow_with_the_line(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TILE", 4)
+    monkeypatch.setattr(lines, "CARRIED", 150)
+    texts = long_lines(random.Random(17))
+    assert sum(2 < distance(a, b) <= min(len(a), len(b)) // 20 for a, b in zip(texts, texts[1:], strict=False)) > 3
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    near = lambda a, b: distance(texts[a], texts[b]) <= min(len(texts[a]), len(texts[b])) // 20
+    of = classes(list(range(len(texts))), lambda a, b: abs(len(texts[a]) - len(texts[b])) <= 20 and near(a, b))
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert found == {i: t if of[i] == i else "" for i, t, _ in rows}
+
+
 def brute_vectors(rows, cosine=0.95):
     fine = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
     good = [(i, np.array(v, float)) for i, v in rows if fine(v)]
