@@ -1,7 +1,8 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraphs pass points for length and commas to the elements above them, less the higher they stand; an element's points
-are discounted by the share of its text that is links. The best container and its related siblings are kept.
+are discounted by the share of its text that is links. The best container, or the article or main part that encloses it, is kept with its
+related siblings and with the headings, paragraphs, lists and sections beside it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ ASIDE_WORDS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
     "recommended related reply replies respond rss share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+BESIDE = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 hgroup ol p pre section table ul".split())
 CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot menu select body html".split())
@@ -161,7 +163,7 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
 
 
 def _best(page: list[tuple[Node, str, int]], root: Node) -> list[Node]:
-    """The container with most points, and the siblings that belong to it."""
+    """The container with most points or the article (else main) around it, and the siblings that belong to it."""
     scored: dict[int, Node] = {}
     for node, text, linked in page:
         up = node
@@ -186,6 +188,12 @@ def _best(page: list[tuple[Node, str, int]], root: Node) -> list[Node]:
     if not scored:
         return [root]
     best = max(scored.values(), key=lambda n: n.score)  # the first in page order of equals
+    # Points thin out with the steps upwards, so a long part of an article may have more of them than the article.
+    around, up = {}, best
+    while up is not None:
+        around[up.name] = up  # the outermost of each name
+        up = up.parent
+    best = around.get("article") or around.get("main") or best
     if best.parent is None:
         return [best]
     kept = []
@@ -193,7 +201,7 @@ def _best(page: list[tuple[Node, str, int]], root: Node) -> list[Node]:
         if isinstance(x, Node) and not x.aside:
             dense = x.linked / max(1, x.chars)
             alike = x.name == best.name and x.words and x.words == best.words
-            if x is best or dense < 0.25 and x.name in BLOCK and x.score + alike * SIBLING * best.score >= max(10, SIBLING * best.score):
+            if x is best or x.name in BESIDE and dense < LINKS or dense < 0.25 and x.name in BLOCK and x.score + alike * SIBLING * best.score >= max(10, SIBLING * best.score):
                 kept.append(x)
     return kept
 
@@ -227,7 +235,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars (code points), from the whole html.
 
     A null or empty page, or one without main text, has an empty text. Pages without a scored paragraph keep all text
-    that does not stand aside; of equal containers the first in the page wins. Repeated rows are kept; an empty table
+    that does not stand aside; of equal containers the first in the page wins. The
+    outermost article around the best container is kept whole, or the outermost main part if there is none; headings,
+    paragraphs, lists and sections beside it stay unless half of their text is links. Repeated rows are kept; an empty table
     gives no rows; other columns are not looked at.
     """
 

@@ -195,6 +195,27 @@ def test_main_text():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_long_articles_stay_whole():
+    many = f"<p>{LONG}</p>" * 40
+    whole = lambda page: html.main_text(page).split("\n\n")
+    nested = whole(f"<body><article><h1>Head</h1><p>Lead</p><div class=content>{many}</div><p>End</p></article><div class=sidebar><p>{LONG}</p></div>")
+    assert nested == ["Head", "Lead", *[LONG.strip()] * 40, "End"]
+    listed = whole(f"<body><main><h2>Head</h2><p>Before</p><ul>{f'<li>{LONG}</li>' * 60}</ul><p>After</p></main>")
+    assert listed == ["Head", "Before", *[LONG.strip()] * 60, "After"]
+    sectioned = whole(f"<body><article><section><h2>One</h2>{many}</section><section><h2>Two</h2><p>Short.</p></section></article>")
+    assert sectioned == ["One", *[LONG.strip()] * 40, "Two", "Short."]
+    inner = whole(f"<body><main><h1>Head</h1><article><p>Lead</p><article>{many}</article></article><p>End</p></main>")
+    assert inner == ["Head", "Lead", *[LONG.strip()] * 40, "End"]
+
+
+def test_text_beside_the_best_container():
+    many = f"<p>{LONG}</p>" * 40
+    page = f"<body><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul><h1>Head</h1><p>Lead</p><div class=content>{many}</div><ol><li>one<li>two</ol><p>End</p><p><a href=/c>Read on</a></p><aside><p>{LONG}</p></aside>"
+    assert html.main_text(page).split("\n\n") == ["Head", "Lead", *[LONG.strip()] * 40, "one", "two", "End"]
+    page = f"<body><section>{many}</section><section><p>Short.</p></section><section class=related><p>{LONG}</p></section>"
+    assert html.main_text(page).split("\n\n") == [*[LONG.strip()] * 40, "Short."]
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "x"), (3, "w", "<p>" + "long text, " * 50_000, "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
