@@ -26,8 +26,8 @@ from codelode.llm.common import cut_lineage
 STATE, CLASSES, IN_CLASS, TAILS = 16, 32, 32, 96
 #: Words whose counts every task holds (the most frequent, at most so many); the rest are joined.
 HELD = 131_072
-#: One of so many training documents, by hash, fits the recurrent weights; tokens of the warm start and of a replica.
-FIT, WARM, REPLICA = 16, 500_000, 2_000_000
+#: One of so many training documents fits the recurrent weights (1: all); tokens of the warm start and of a replica.
+FIT, WARM, REPLICA = 1, 500_000, 2_000_000
 #: Lanes and steps of a window, in training and in scoring.
 TRAIN, SCORE = (64, 16), (256, 32)
 #: Distinct words that a task counts before it hands its counts on.
@@ -308,7 +308,7 @@ def _fit_round(slim: DataFrame, shared, weights: dict, replicas: int) -> dict:
             parts = [flat[a : a + 4096].astype(np.float64) * seen[0] for a in at]
             yield pa.record_batch([pa.array(at, pa.int64()), pa.array(parts, pa.list_(pa.float64())), pa.array(np.full(len(at), float(seen[0])))], names=["at", "part", "n"])
 
-    one = slim.select("text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(replicas)).alias("replica")).repartition(replicas, "replica").select("text")
+    one = slim.select("text", F.pmod(_draw(3), F.lit(replicas)).alias("replica")).repartition(replicas, "replica").select("text")
     learned = one.mapInArrow(run, "at bigint, part array<double>, n double")
     each = learned.select("at", "n", F.posexplode("part").alias("k", "v")).groupBy("at", "k").agg((F.sum("v") / F.sum("n")).alias("v"))
     rows = each.toPandas()  # as many as weights
@@ -319,13 +319,18 @@ def _fit_round(slim: DataFrame, shared, weights: dict, replicas: int) -> dict:
     return _shaped(flat, weights)
 
 
+def _draw(seed: int) -> Column:
+    """A hash of the document; rows without an id differ by their texts."""
+    return F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed))
+
+
 def fit(training: DataFrame, vocab: dict, shared) -> dict:
-    """Weights from the hash sample of the training texts: a warm start on a bounded part, then averaged replicas."""
+    """Weights from all training texts: a warm start on a bounded part, then averaged replicas on the rest."""
     weights = first_weights(vocab)
     tokens = vocab["total"] / FIT
     if not tokens:
         return weights
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(_draw(5), F.lit(1 << 20)) / float(1 << 20)
     edge = min(0.5, WARM / tokens) / FIT
     weights = _fit_round(training.where(place < edge), shared, weights, 1)
     rest = training.where((place >= edge) & (place < 1 / FIT))
@@ -335,8 +340,8 @@ def fit(training: DataFrame, vocab: dict, shared) -> dict:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Training texts are those whose crc32(doc_id) mod 7 is not 2; rows without an id train too. Counts cover all of them;
-    the recurrent weights are fitted on a fixed share (one of ``FIT``). Every text is scored whole; a null or empty text
+    Training texts are those whose crc32(doc_id) mod 7 is not 2; rows without an id train too. Counts cover all of
+    them, and the recurrent weights are fitted on all of them in one pass. Every text is scored whole; a null or empty text
     is one end. Repeated rows are scored each; without training texts all words are unknown. An empty table gives no rows;
     other columns are not looked at.
     """

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from helpers import SF, documents, odd_rows
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codelode.llm import bpe, html, lm, mixing, queries, sharding, topk, toxicity
@@ -291,6 +292,18 @@ def test_language_model(spark, monkeypatch):
     assert lm.score_documents(documents(spark, [])).collect() == []
 
 
+def test_every_training_text_fits_the_weights(spark, monkeypatch):
+    rows = [(i if i % 3 else None, f"word{i} and more", "s") for i in range(300)]
+    training = documents(spark, rows).selectExpr("doc_id", "CAST(text AS BINARY) AS text").where(~lm.held_out(F.col("doc_id")))
+    rounds = []
+    monkeypatch.setattr(lm, "_fit_round", lambda slim, shared, weights, replicas: (rounds.append([bytes(r["text"]) for r in slim.collect()]), weights)[1])
+    vocab = lm.vocabulary(lm.count_words(training))
+    lm.fit(training, vocab, None)
+    assert sorted(sum(rounds, [])) == sorted(bytes(r["text"]) for r in training.collect())
+    nameless = {t.encode() for i, t, _ in rows if i is None}
+    assert all(nameless & set(part) for part in rounds)  # they don't all stand in one part
+
+
 def test_language_model_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.op4_lm_scoring(spark, SF).collect()
