@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import bpe, html, lines, lm, mixing, sharding, simhash, topk, toxicity, vectors
+from codelode.llm import bpe, html, leaks, lines, lm, merkle, mixing, sharding, simhash, spelling, topk, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other document (by CRC-32 of its id) claims to have lost its line ends."""
+    tampered = merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, tampered)
+    return merkle.manifest(_table(spark, sf_dir, "documents"), claimed).verify()
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"), every=199)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_html_extraction, op4_lm_scoring, op5_embedding_dedup, op6_exact_top_k, op7_toxicity, op8_sharding, op9_bpe, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_line_dedup, op3_html_extraction, op4_lm_scoring, op5_embedding_dedup, op6_exact_top_k, op7_toxicity, op8_sharding, op9_bpe, op10_mixing,
+        op11_merkle, op12_spelling, op13_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {
