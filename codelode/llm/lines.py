@@ -1,141 +1,82 @@
 """Line dedup by a segment-partition edit join.
 
-Two short lines within ``edits`` edits share, for a partition of the shorter into ``edits + 1`` segments, one segment whole,
-at a place that shifts with the difference of their lengths. So each line is indexed under its length and segments, and
-probes the substrings of itself that can be a segment of a line as long or a little shorter. The probes grow with the cube
-of the edits, so longer lines, whose edits grow with their length, have other keys: their substrings of half an ``each``,
-in the order of a hash, up to the one with which more of them than the edits stand apart. An edit spoils one of those that
-stand apart at most, so two lines within their edits share one, at places and lengths that differ by the edits. Keys that
-only one line has go at once; for the others the lines' texts are fetched (of long lines, which have many keys, only their
-letter counts, and their texts once the pairs that pass are known), and pairs are verified by a banded bit-parallel edit
-distance.
+A line may differ from another in edits that grow with the root of its length, so that its keys grow with its length only:
+from ``unit * e ** 2`` characters on a line allows ``e`` edits. The shorter line of a pair is split into ``e + 1`` segments,
+half of them counted from its beginning and half from its end. One of them stands in the longer line with at most as many
+edits between it and its end of the line as there are segments, so it is found that many places from its own at most. Every
+line is indexed by its segments and probes the substrings of itself that can be one; a key is a class of lengths, a segment's
+number and a text's hash, and keys meet in one shuffle of (key, line) rows without texts. Keys of one line only go at once.
+Of the others, each key's first line is compared with the rest, which clears groups of copies without their pairs; what is
+left meets in bounded tiles under bounds on length and letters. Pairs fetch their texts and are verified by a banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-
-from codelode.llm.common import Links, components, cut_lineage, segments, tiled
-
-#: Home lines of a tile, and bits of the filter that says which keys are live (4 MB in every task, at any input size).
-TILE, FILTER_BITS = 256, 25
-#: Edits of the longest lines that segments find; growth of a length class, and width of a cell of places in edits.
-FEW, CLASS, CELL = 2, 1.5, 8
-#: Counts above this are not told apart; pairs that a task remembers.
-CLIP, TOLD = 32_000, 200_000
-#: Characters that are hashed at a time, and of a line up to which each of its keys carries the text.
-HASHED, CARRIED = 1 << 20, 400
-BLANKS = b" \t\n\r\x0b\x0c"
+from pyspark.sql import Column, DataFrame, functions as F
 
+from codelode.llm.common import segments, tiled
+from codelode.session import store
 
-def allowed(length: int, edits: int | None, each: int) -> int:
-    """Edits within which a line of this length is a copy: one for every ``each`` characters, at most ``edits`` if given."""
-    return length // each if edits is None else min(edits, length // each)
-
-
-@lru_cache(maxsize=100_000)
-def probes(size: int, edits: int, each: int, below: int | None = None) -> tuple[tuple[int, int, int], ...]:
-    """(seed, start, end) of the substrings by which a line of this length is found; the seed names length and segment.
-
-    With ``below``, only pairs whose shorter line is not as long as that are found."""
-    parts, found = edits + 1, []
-    for shorter in range(max(parts, each, size - edits), size + 1 if below is None else min(size + 1, below)):
-        gap = size - shorter
-        base, long = divmod(shorter, parts)
-        at = 0
-        for i in range(parts):
-            width = base + (i >= parts - long)
-            # The shift at a segment is bounded by the edits before it and, counted from the end, by those behind it.
-            low = max(0, at - i, at + gap - (edits - i))
-            high = min(size - width, at + i, at + gap + (edits - i))
-            found += [(shorter * parts + i, p, p + width) for p in range(low, high + 1)]
-            at += width
+#: Home lines of a tile; counts above this are not told apart.
+TILE, CLIP = 256, 32_000
+#: Rounds after which the order of lines is a hash's.
+IN_ORDER = 5
+#: Characters by which the allowed edits grow: 1 from 30 on, 2 from 120, 3 from 270, 10 from 3,000.
+UNIT = 30
+BLANKS = b" \t\n\r\x0b\x0c"
+#: A line's number in key rows, below the bit that marks a probe.
+NODE, PROBE = (1 << 62) - 1, 1 << 62
+
+
+def allowed(length: int, unit: int = UNIT) -> int:
+    """Edits within which a line of this length is a copy."""
+    return isqrt(length // unit)
+
+
+@lru_cache(maxsize=200_000)
+def plan(size: int, unit: int) -> tuple[tuple[int, int, int, bool], ...]:
+    """(seed, start, end, is a probe) of the substrings by which a line of this length meets others."""
+    own, found = allowed(size, unit), []
+    # A line meets lines of its class, and shorter ones of the class below if they can be that close.
+    for edits in (own, own - 1):
+        if edits < 1 or (edits < own and size - edits >= unit * own * own):
+            continue
+        width, front = unit * edits * edits // (edits + 1), (edits + 2) // 2
+        for i in range(edits + 1):
+            right = i >= front
+            place = i - front if right else i
+            start = size - (place + 1) * width if right else place * width
+            seed = (edits << 1 | right) << 24 | place
+            for shift in range(-place, place + 1):
+                if 0 <= start + shift and start + shift + width <= size:
+                    found.append((seed, start + shift, start + shift + width, edits < own or shift != 0))
     return tuple(found)
 
 
-def segment_keys(line: str, edits: int, each: int, below: int | None = None) -> bytes:
-    """The 8-byte keys of one line, joined."""
-    plan, digest = probes(len(line), edits, each, below), xxhash.xxh64_digest
+def line_keys(line: str, unit: int) -> tuple[bytes, list[bool]]:
+    """The 8-byte keys of one line, joined, and which of them are probes."""
+    mine, digest = plan(len(line), unit), xxhash.xxh64_digest
     if line.isascii():
         raw = line.encode()
-        return b"".join([digest(raw[a:b], s) for s, a, b in plan])
-    return b"".join([digest(line[a:b].encode(), s) for s, a, b in plan])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(32)
-
-
-def _apart(grams: np.ndarray, width: int, many: int) -> np.ndarray:
-    """Places of the least grams, up to the one with which ``many`` of them do not overlap; of all, if they don't come to that."""
-    busy, cover = bytearray(len(grams) + 2 * width), b"\1" * (2 * width - 1)
-    for at in grams.argsort().tolist():
-        if not busy[at + width]:
-            many -= 1
-            if not many:
-                return np.flatnonzero(grams <= grams[at])
-            busy[at + 1 : at + 2 * width] = cover
-    return np.arange(len(grams))
-
-
-def gram_keys(lines: list[str], each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of lines of at least ``each`` characters that differ in an edit for every ``each`` of them, and each key's line."""
-    width, keys, owners, first = max(1, each // 2), [], [], 0
-    while first < len(lines):
-        last, room = first + 1, HASHED - len(lines[first])
-        while last < len(lines) and len(lines[last]) <= room:
-            room -= len(lines[last])
-            last += 1
-        codes = np.frombuffer("".join(lines[first:last]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        grams = np.zeros(len(codes) - width + 1, np.uint64)
-        for i in range(width):
-            grams = grams * np.uint64(0x100000001B3) + codes[i : i + len(grams)]
-        grams, at = _mixed(grams), 0
-        taken, sizes = [], [len(line) for line in lines[first:last]]
-        for size in sizes:
-            taken.append(_apart(grams[at : at + size - width + 1], width, size // each + 1))
-            at += size
-        count, sizes = [len(x) for x in taken], np.array(sizes)
-        place, owner = np.concatenate(taken), np.repeat(np.arange(len(sizes)), count)
-        gram = grams[place + np.repeat(np.cumsum(sizes) - sizes, count)]
-        size = sizes[owner]
-        # Half the edits to both sides: what differs by the edits at most has a class and a cell in common.
-        half = (size // each + 1) // 2
-        low, high = (np.floor(np.log(size + side) / np.log(CLASS)).astype(np.int64) for side in (-half, half))
-        for step in range(int((high - low).max()) + 1):
-            kind = low + step
-            cell = np.maximum(1, CELL * (CLASS**kind / each).astype(np.int64))
-            begin, end = (place - half) // cell, (place + half) // cell
-            for k in range(int((end - begin).max()) + 1):
-                use = np.flatnonzero((kind <= high) & (begin + k <= end))
-                where = (kind[use] << 40) + begin[use] + k
-                keys.append(_mixed(gram[use] ^ _mixed(where.view(np.uint64))))
-                owners.append(owner[use] + first)
-        first = last
-    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *owners])
-
-
-def line_keys(lines: list[str], edits: int | None, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, place of each key's line); two lines within their allowed edits share a key."""
-    long = (FEW + 1) * each
-    if edits is None:
-        found = [segment_keys(line, FEW, each, long) if len(line) < long + FEW else b"" for line in lines]
-    else:
-        found = [segment_keys(line, edits, each) for line in lines]
-    keys, owner = np.frombuffer(b"".join(found), ">u8").astype(np.uint64), np.repeat(np.arange(len(lines)), [len(k) // 8 for k in found])
-    if edits is None:
-        at = [i for i, line in enumerate(lines) if len(line) >= long]
-        more, of = gram_keys([lines[i] for i in at], each)
-        keys, owner = np.concatenate([keys, more]), np.concatenate([owner, np.array(at, np.int64)[of]])
-    return keys, owner
+        return b"".join([digest(raw[a:b], s) for s, a, b, _ in mine]), [p for *_, p in mine]
+    return b"".join([digest(line[a:b].encode(), s) for s, a, b, _ in mine]), [p for *_, p in mine]
+
+
+def mark_of(line: str) -> bytes:
+    """The 128-bit hash that stands for a line."""
+    return xxhash.xxh3_128_digest(line.encode())
+
+
+def node_of(mark: bytes) -> int:
+    return int.from_bytes(mark[:8], "little") & NODE
 
 
 def clean_lines(text: bytes) -> list[str]:
@@ -207,158 +148,201 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def _live_keys(slim: DataFrame, edits: int | None, each: int) -> DataFrame:
-    """Keys that more than one line has."""
+def _distinct(batch: pa.RecordBatch) -> list[str]:
+    return list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if line})
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
-            keys, owner = line_keys(seen, edits, each)
-            tags = np.array([xxhash.xxh64_intdigest(line.encode(), 1) for line in seen], np.uint64).view(np.int64)[owner]
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(tags)], names=["key", "tag"])
 
-    rows = slim.select("text").mapInArrow(run, "key bigint, tag bigint")
-    return rows.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high").select("key")
+def shared_keys(slim: DataFrame, unit: int) -> DataFrame:
+    """(key, node): keys that one line has in the index and another line has too."""
 
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            keys = np.frombuffer(b"".join(parts), ">i8").astype(np.int64)
+            return pa.record_batch([pa.array(keys), pa.array(np.repeat(np.array(nodes, np.int64), sizes) | np.array(probes, np.int64) << 62)], names=["key", "node"])
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys at two places each, in 64-bit words; what it lets through by chance is joined away later."""
-    mask = (1 << FILTER_BITS) - 1
-    place = F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", 64 - FILTER_BITS)))
-    words = keys.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
-    found = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    rows = words.toPandas()  # at most 2^19 rows, whatever the input
-    found[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return found.view(np.uint64)
+        for batch in batches:
+            parts, nodes, sizes, probes = [], [], [], []
+            for line in _distinct(batch):
+                keys, probe = line_keys(line, unit)
+                if probe:
+                    parts.append(keys)
+                    nodes.append(node_of(mark_of(line)))
+                    sizes.append(len(probe))
+                    probes += probe
+                if len(probes) > 100_000:
+                    yield rows()
+                    parts, nodes, sizes, probes = [], [], [], []
+            if probes:
+                yield rows()
+
+    def live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key, those of the index first. Of a key without a second line so far only its first line is kept."""
+        key, opened, first, sent = None, False, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+            probe, nodes = nodes >> 62 & 1, nodes & NODE
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            fine, leads, told = probe[starts] == 0, nodes[starts].copy(), np.zeros(len(starts), bool)
+            if keys[0] == key:
+                fine[0], leads[0], told[0] = opened, first, sent
+            several = np.logical_or.reduceat(nodes != np.repeat(leads, sizes), starts) | told
+            keep = np.repeat(fine & several, sizes)
+            found = [keys[keep]], [nodes[keep]]
+            if keys[0] == key and fine[0] and several[0] and not told[0]:  # the line that waited
+                found[0].append(keys[:1])
+                found[1].append(leads[:1])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], names=["key", "node"])
+            key, opened, first, sent = keys[-1], bool(fine[-1]), int(leads[-1]), bool(several[-1])
+
+    rows = slim.select("text").mapInArrow(emit, "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(live, "key bigint, node bigint").distinct()
+
+
+def _letters(line: str) -> bytes:
+    """Counts of letters by their code modulo 32, and the length, as 2-byte numbers."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32) % 32
+    return np.append(np.bincount(codes, minlength=32), len(line)).clip(0, CLIP).astype(np.int16).tobytes()
+
+
+def _texts(slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(line, text, shape) of the lines with these numbers, once each."""
 
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = _distinct(batch)
+            marks = [mark_of(line) for line in lines]
+            yield pa.record_batch([pa.array([node_of(m) for m in marks], pa.int64()), pa.array(marks, pa.binary()), pa.array(lines, pa.string())], names=["node", "line", "text"])
 
-def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    mask, six = np.uint64((1 << FILTER_BITS) - 1), np.uint64(63)
-    found = np.ones(len(keys), bool)
-    for at in (keys & mask, keys >> np.uint64(64 - FILTER_BITS)):
-        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & six) & np.uint64(1)).astype(bool)
-    return found
+    def shaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = pa.array([_letters(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column("line"), batch.column("text"), shapes], names=["line", "text", "shape"])
 
+    found = slim.select("text").mapInArrow(read, "node bigint, line binary, text string").join(nodes, "node", "left_semi")
+    return found.select("line", "text").dropDuplicates(["line"]).mapInArrow(shaped, "line binary, text string, shape binary")
 
-def _verify(edits: int | None, each: int):
-    """Edges between lines of a tile, and pairs of which one came without its text (not ``sure``)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, links, homes, shapes = None, Links(), [], np.empty((0, 33), np.int16)
-        told: set = set()  # pairs that lately went out, as long copies share thousands of keys
-        for now, at_home, rows in segments(batches, ["key", "tile"], "role"):
-            if now != key:
-                key, links, homes, shapes = now, Links(), [], np.empty((0, 33), np.int16)
-            texts, size = rows.column("line").to_pylist(), len(homes)
-            places = links.add(rows.column("node").to_numpy())
-            mine = np.frombuffer(b"".join(rows.column("shape").to_pylist()), np.int16).reshape(-1, 33)
-            if at_home:
-                homes += texts
-                shapes = np.concatenate([shapes, mine])
-            for i, text in enumerate(texts):
-                # Every edit changes the length by one and the counts of letters by two at most.
-                gap = np.abs(shapes - mine[i])
-                # Lengths are clipped where letter counts are; as many edits as the shorter of the pair has, or more.
-                most = edits if text is None and mine[i, 32] == CLIP else allowed(int(mine[i, 32]), edits, each)
-                near = np.flatnonzero((gap[:, 32] <= most) & (gap[:, :32].sum(1) <= 2 * most)) if most is not None else np.arange(len(shapes))
-                doubtful = []
-                for h in near:
-                    if links.root[h] == links.root[places[i]]:
-                        continue
-                    if text is None or homes[h] is None:
-                        pair = links.ids[h], links.ids[places[i]]
-                        if pair not in told:
-                            doubtful.append(h)
-                            told.add(pair)
-                    elif _copies(homes[h], text, edits, each):
-                        a, b = links.unite(np.array([h]), places[i : i + 1])
-                        yield pa.record_batch([pa.array(a), pa.array(b), pa.array([True] * len(a))], names=["a", "b", "sure"])
-                if doubtful:
-                    others = links.ids[doubtful]
-                    yield pa.record_batch([pa.array(others), pa.array(np.full(len(others), links.ids[places[i]])), pa.array([False] * len(others))], names=["a", "b", "sure"])
-            if len(told) > TOLD:
-                told.clear()
-            if not at_home:
-                links.trim(size)
+def _verified(pairs: DataFrame, texts: DataFrame, unit: int) -> DataFrame:
+    """The pairs (a, b: lines) that are within their edits."""
 
-    return run
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [_copies(x, y, unit) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    x, y = (texts.select(F.col("line").alias(end), F.col("text").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
-def _copies(a: str, b: str, edits: int | None, each: int) -> bool:
-    most = allowed(min(len(a), len(b)), edits, each)
+def _copies(a: str, b: str, unit: int) -> bool:
+    most = allowed(min(len(a), len(b)), unit)
     return may_be_within(a, b, most) and within(a, b, most)
 
 
-def _doubtful(slim: DataFrame, pairs: DataFrame, edits: int | None, each: int) -> DataFrame:
-    """The pairs whose lines, read again from the texts, are copies."""
-    pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _meet(unit: int, across: bool):
+    """Links (a, b) of a tile, the earlier line first. A line that follows an earlier one of its tile meets no others there.
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
-            nodes = np.array([xxhash.xxh64_intdigest(t.encode(), 1) for t in lines], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(nodes), pa.array(lines, pa.string())], names=["node", "line"])
+    ``across`` links lines that stay (``open`` 0) with open ones only, which go.
+    """
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [_copies(x, y, edits, each) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for now, at_home, rows in segments(batches, ["key", "tile"], "role"):
+            if now != key:
+                key, homes, shapes = now, [], np.empty((0, 33), np.int16)
+            mine = np.frombuffer(b"".join(rows.column("shape").to_pylist()), np.int16).reshape(-1, 33)
+            found = []
+            for i, row in enumerate(zip(*[rows.column(c).to_pylist() for c in ("line", "text", "open", "at")], strict=True)):
+                # Every edit changes the length by one and the counts of letters by two at most; clipped lengths say nothing.
+                gap = np.abs(shapes - mine[i])
+                most = np.sqrt(np.minimum(shapes[:, 32], mine[i, 32]) // unit).astype(np.int64)
+                close = (gap[:, 32] <= most) & (gap[:, :32].sum(1, np.int64) <= 2 * most) | (np.maximum(shapes[:, 32], mine[i, 32]) == CLIP)
+                follows = False
+                for h in np.flatnonzero(close).tolist():
+                    other = homes[h]
+                    if other[0] == row[0] or across and other[2] == row[2] or not _copies(other[1], row[1], unit):
+                        continue
+                    first, second = sorted((other, row), key=lambda x: (x[2], tuple(x[3].values())))
+                    found.append((first[0], second[0]))
+                    if not across and second is row:
+                        follows = True
+                        break
+                if at_home and not follows:
+                    homes.append(row)
+                    shapes = np.concatenate([shapes, mine[i : i + 1]])
+            yield pa.record_batch([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], names=["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = cut_lineage(slim.select("text").mapInArrow(read, "node bigint, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    return run
 
 
-def _shape(text: str) -> np.ndarray:
-    """Counts of letters by their code modulo 32, and the length."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 32
-    return np.append(np.bincount(codes, minlength=32), len(text)).clip(0, CLIP).astype(np.int16)
+def _tile_links(rows: DataFrame, texts: DataFrame, unit: int, across: bool) -> DataFrame:
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = tiled(rows.join(texts, "line"), sizes, ["key"], "line", TILE).sortWithinPartitions("key", "tile", "role", "open", "at")
+    return store(dealt.select("key", "tile", "role", "line", "text", "shape", "open", "at").mapInArrow(_meet(unit, across), "a binary, b binary").distinct(), "line-links")
 
 
-def near_lines(slim: DataFrame, edits: int | None, each: int) -> DataFrame:
-    """(node, component) of the lines (by their 64-bit hash) that have a near copy in another text."""
-    live = cut_lineage(_live_keys(slim, edits, each))
-    bits = slim.sparkSession.sparkContext.broadcast(_filter(live))
+def near_copies(slim: DataFrame, lines: DataFrame, unit: int) -> DataFrame:
+    """(line): lines to remove, each within its edits of a line that stays.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if len(line) >= each})
-            keys, owner = line_keys(lines, edits, each)
-            keep = _passes(keys, bits.value)
-            keys, owner = keys[keep].view(np.int64), owner[keep]
-            nodes = np.array([xxhash.xxh64_intdigest(t.encode(), 1) for t in lines], np.uint64).view(np.int64)
-            needed = set(owner.tolist())
-            shapes = [_shape(t).tobytes() if i in needed else b"" for i, t in enumerate(lines)]
-            for at in range(0, len(keys), 20_000):
-                of = owner[at : at + 20_000]
-                texts = pa.array([lines[i] if len(lines[i]) <= CARRIED else None for i in of], pa.string())
-                yield pa.record_batch([pa.array(keys[at : at + 20_000]), pa.array(nodes[of]), texts, pa.array([shapes[i] for i in of], pa.binary())], names=["key", "node", "line", "shape"])
-
-    rows = slim.select("text").mapInArrow(run, "key bigint, node bigint, line string, shape binary").join(live, "key", "left_semi").dropDuplicates(["key", "node"])
-    rows = cut_lineage(rows)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = cut_lineage(tiled(rows, sizes, ["key"], "node", TILE).mapInArrow(_verify(edits, each), "a bigint, b bigint, sure boolean"))
-    more = _doubtful(slim, found.where("NOT sure").select("a", "b"), edits, each)
-    return components(found.where("sure").select("a", "b").unionAll(more))
+    ``lines(line, node, first_doc, place)`` are the distinct lines; earlier ones are preferred to stay. In a round, open lines
+    that are near to a line that stays go. Of the others each key's first line is compared with the rest of the key; those near
+    to it follow it. All that follow none meet in tiles. What follows no line then stays, what follows a line that stays
+    goes, and what follows others only is looked at in the next round. The first open line follows none, so each round
+    decides some; after ``IN_ORDER`` rounds a hash gives the order, so that chains end in a number of rounds that grows with
+    the logarithm of their length.
+    """
+    live = store(shared_keys(slim, unit), "line-keys")
+    texts = store(_texts(slim, live.select("node").distinct()), "line-texts")
+    at = F.struct("first_doc", "place", "line")
+    rows = store(live.join(lines.select("node", "line", at.alias("at")), "node").select("key", "line", F.lit(1).alias("open"), "at"), "line-entries")
+    gone, turn = [], 0
+    while True:
+        turn += 1
+        if turn > 1:
+            gone.append(_tile_links(rows, texts, unit, across=True).select(F.col("b").alias("line")).distinct())
+            rows = rows.join(gone[-1], "line", "left_anti")
+        fresh = store(rows.where("open = 1"), "line-open")
+        leaders = fresh.groupBy("key").agg(F.min("at").alias("lead"))
+        pairs = fresh.join(leaders, "key").where(F.col("line") != F.col("lead.line")).select(F.col("lead.line").alias("a"), F.col("line").alias("b")).distinct()
+        near = store(_verified(pairs, texts, unit), "line-links")
+        links = near.unionAll(_tile_links(fresh.join(near.select(F.col("b").alias("line")).distinct(), "line", "left_anti"), texts, unit, across=False))
+        follow = store(links.select(F.col("b").alias("line")).distinct(), "line-follow")
+        gone.append(store(links.join(follow.select(F.col("line").alias("a")), "a", "left_anti").select(F.col("b").alias("line")).distinct(), "line-gone"))
+        left = store(follow.join(gone[-1], "line", "left_anti"), "line-left")
+        if left.isEmpty():
+            break
+        keys = fresh.join(left, "line", "left_semi").select("key").distinct()
+        marked = rows.join(keys, "key", "left_semi").join(gone[-1], "line", "left_anti").join(left.withColumn("_left", F.lit(1)), "line", "left")
+        order = F.col("at") if turn < IN_ORDER else F.struct(F.xxhash64("line", F.lit(turn)).alias("first_doc"), F.lit(0).alias("place"), "line")
+        rows = store(marked.select("key", "line", F.coalesce("_left", F.lit(0)).alias("open"), order.alias("at")), "line-entries")
+    found = gone[0]
+    for more in gone[1:]:
+        found = found.unionAll(more)
+    return found.distinct()
 
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first place of each line in its document."""
     for batch in batches:
-        ids, lines, nodes, places = [], [], [], []
+        ids, marks, places = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen = {}
             for place, line in enumerate(clean_lines(text or b"")):
                 if line:
                     seen.setdefault(line, place)
-            for line, place in seen.items():
-                raw = line.encode()
-                ids.append(doc)
-                lines.append(xxhash.xxh3_128_digest(raw))
-                nodes.append(xxhash.xxh64_intdigest(raw, 1))
-                places.append(place)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(places, pa.int32())], names=["doc_id", "line", "node", "place"])
+            ids += [doc] * len(seen)
+            marks += [mark_of(line) for line in seen]
+            places += seen.values()
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(places, pa.int32())], names=["doc_id", "line", "place"])
+
+
+def _node() -> Column:
+    """``node_of`` as an expression: the first eight bytes of the mark, last one first."""
+    byte = lambda i: F.shiftleft(F.conv(F.hex(F.substring("line", i + 1, 1)), 16, 10).cast("bigint"), 8 * i)
+    return sum((byte(i) for i in range(1, 8)), byte(0)).bitwiseAND(F.lit(NODE))
 
 
 def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,27 +363,25 @@ def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["doc_id", "text", "n_lines", "n_kept", "carried"])
 
 
-def dedup_lines(docs: DataFrame, edits: int | None = None, each: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text without lines that copy another line, n_lines, n_kept, and ``carry`` columns.
 
-    Lines end at ``\n`` and are compared without ASCII white space at their ends. Lines are linked if they are equal or,
-    for every ``each`` characters of the shorter, differ in one edit (with ``edits``, at most so many). Of what links connect, the line
-    with the smallest (doc_id, place) stays, in that document once; all others go. Blank lines stay. A null text stays
-    null with 0 lines, an empty text has one blank line. Rows that share an id are one document to the choice and each
-    keep their lines; lines of rows without an id are compared but never chosen or removed by others. An empty table
-    gives no rows; other columns are not looked at.
+    Lines end at ``\n`` and are compared without ASCII white space at their ends. Of equal lines the one with the smallest
+    (doc_id, place) stays, in that document once. A line also goes, wherever it stands, if it is within ``allowed`` edits
+    (by the shorter one's length) of another line that stays, and of two lines as close as that one goes; earlier lines are
+    preferred to stay. Blank lines stay. A null text stays null with 0 lines, an empty text has one blank line. Rows that
+    share an id are one document to the choice and each keep their lines; lines of rows without an id are not compared with
+    those of others. An empty table gives no rows; other columns are not looked at.
     """
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    slim = whole.select("doc_id", "text")
-    near = near_lines(slim, edits, each)
-    spots = slim.where("doc_id IS NOT NULL").mapInArrow(_occurrences, "doc_id bigint, line binary, node bigint, place int")
-    lines = spots.groupBy("line", "node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.min_by("place", "doc_id").alias("place"))
-    lines = cut_lineage(lines.join(near.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").where("n > 1 OR component IS NOT NULL"))
-    equal = lines.where("component IS NULL").select("line", "first_doc", F.col("line").alias("first_line"))
-    firsts = lines.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first_doc", "place", "line")).alias("first"))
-    alike = lines.where("component IS NOT NULL").select("line", "component").join(firsts, "component").select("line", F.col("first.first_doc").alias("first_doc"), F.col("first.line").alias("first_line"))
-    gone = spots.join(equal.unionAll(alike), "line").where("doc_id <> first_doc OR line <> first_line")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    slim = whole.select("doc_id", "text").where("doc_id IS NOT NULL")
+    spots = slim.mapInArrow(_occurrences, "doc_id bigint, line binary, place int")
+    firsts = spots.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    lines = store(firsts.select("line", F.col("n"), F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("place")), "lines")
+    removed = near_copies(slim, lines.withColumn("node", _node()), unit).withColumn("removed", F.lit(True))
+    dropped = lines.join(removed, "line", "left").where("n > 1 OR removed").select("line", "first_doc", "removed")
+    gone = spots.join(dropped, "line").where("removed OR doc_id <> first_doc")
+    gone = store(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "line-gone")
     kind = whole.schema["carried"].dataType.simpleString()
     rebuilt = whole.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "carried").mapInArrow(_rebuild, f"doc_id bigint, text string, n_lines bigint, n_kept bigint, carried {kind}")
     return rebuilt.select("doc_id", "text", "n_lines", "n_kept", *[F.col(f"carried.{c}").alias(c) for c in carry])

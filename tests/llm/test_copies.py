@@ -99,38 +99,64 @@ def test_banded_distance():
 
 def test_lines_within_the_edits_share_a_key():
     draw = random.Random(6)
-    for _ in range(1500):
-        a = "".join(draw.choice("abñ") for _ in range(draw.randint(20, 60)))
-        b = edited(draw, a, draw.randint(0, 2))
-        if len(b) >= 20:
-            cut = lambda s: {s[i : i + 8] for i in range(0, len(s), 8)}
-            assert cut(lines.segment_keys(a, 2, 20)) & cut(lines.segment_keys(b, 2, 20))
-
-
-def brute_lines(rows, edits=2, each=20):
-    """(doc_id, kept text) by comparing all lines with all lines."""
-    spots = [(d, p, line.strip(" \t\n\r\x0b\x0c")) for d, t, _ in rows for p, line in enumerate((t or "").split("\n"))]
-    texts = sorted({s[2] for s in spots if s[2]})
-    near = lambda a, b: distance(texts[a], texts[b]) <= lines.allowed(min(len(texts[a]), len(texts[b])), edits, each)
-    close = lambda a, b: abs(len(texts[a]) - len(texts[b])) <= edits and min(len(texts[a]), len(texts[b])) >= each and near(a, b)
-    of = classes(list(range(len(texts))), close)
-    group = {t: of[i] for i, t in enumerate(texts)}
-    first = {}
-    for d, p, line in sorted((s for s in spots if s[0] is not None and s[2]), key=lambda s: s[:2]):
-        first.setdefault(group[line], (d, line))
-    out = []
+    cut = lambda pair: [(pair[0][i * 8 : i * 8 + 8], p) for i, p in enumerate(pair[1])]
+    met = 0
+    for size in [*range(30, 60), 119, 120, 121, 122, 200, 268, 269, 270, 271, 272, 273, 481, 484, 1_100] * 12:
+        a = "".join(draw.choice("abñ") for _ in range(size))
+        most = lines.allowed(size)
+        b = edited(draw, a, draw.randint(0, most))
+        if draw.random() < 0.5:  # evenly spread, which leaves the shortest stretches whole
+            b = a
+            for i in range(most):
+                at = min(len(b) - 1, (i + 1) * size // (most + 1) + draw.randint(-1, 1))
+                b = b[:at] + draw.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
+        short, long = sorted((a, b), key=len)
+        if a != b and distance(a, b) <= lines.allowed(len(short)):
+            index = {k for k, probe in cut(lines.line_keys(short, lines.UNIT)) if not probe}
+            assert index & {k for k, _ in cut(lines.line_keys(long, lines.UNIT))}, (a, b)
+            met += 1
+    assert met > 300
+
+
+def bare(line: str) -> str:
+    return line.strip(" \t\n\r\x0b\x0c")
+
+
+def near(a: str, b: str) -> bool:
+    """``within`` equals the plain distance in test_banded_distance."""
+    return lines.within(a, b, lines.allowed(min(len(a), len(b))))
+
+
+def check_lines(rows, found):
+    """What goes is a copy of what stays, and nothing that stays is a copy of something else that stays."""
+    assert sorted((str(d), len((t or "").split("\n")) if t is not None else 0) for d, t, _ in rows) == sorted((str(r["doc_id"]), r["n_lines"]) for r in found)
+    given = {}
     for d, t, _ in rows:
-        if t is None:
-            out.append((d, None))
+        if d is not None:
+            given.setdefault(d, set()).update(bare(x) for x in (t or "").split("\n"))
+    stays, first = {}, {}
+    for r in found:
+        if r["doc_id"] is None:
             continue
-        keep, seen = [], set()
-        for line in t.split("\n"):
-            bare = line.strip(" \t\n\r\x0b\x0c")
-            if not bare or bare not in seen and (d is None or first[group[bare]] == (d, bare)):
-                keep.append(line)
-                seen.add(bare)
-        out.append((d, "\n".join(keep)))
-    return out
+        kept = [bare(x) for x in (r["text"] or "").split("\n")]
+        assert set(kept) <= given[r["doc_id"]] | {""}
+        kept = [x for x in kept if x]
+        assert len(kept) == len(set(kept))
+        for x in kept:
+            assert stays.setdefault(x, r["doc_id"]) == r["doc_id"], x
+    for d in sorted(given):
+        for x in given[d] - {""}:
+            first.setdefault(x, d)
+    assert all(first[x] == d for x, d in stays.items())
+    all_kept = sorted(stays, key=len)
+    for x in first.keys() - stays.keys():
+        assert any(near(x, y) for y in all_kept), x
+    for i, x in enumerate(all_kept):
+        for y in all_kept[i + 1 :]:
+            if len(y) - len(x) > lines.allowed(len(x)):
+                break
+            assert not near(x, y), (x, y)
+    return stays
 
 
 def line_rows():
@@ -146,59 +172,58 @@ def line_rows():
 
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(lines, "TILE", 16)
+    monkeypatch.setattr(lines, "IN_ORDER", 2)
     rows = line_rows()
     found = lines.dedup_lines(documents(spark, rows), carry=("source", "kept")).collect()
-    key = lambda r: (str(r[0]), str(r[1]))
-    assert sorted([(r["doc_id"], r["text"]) for r in found], key=key) == sorted(brute_lines(rows), key=key)
+    stays = check_lines(rows, found)
+    assert len(stays) < len({bare(x) for d, t, _ in rows if d is not None for x in (t or "").split("\n")}) - 100
     by_id = {r["doc_id"]: r for r in found}
     assert (by_id[400]["n_lines"], by_id[400]["n_kept"], by_id[401]["n_kept"], by_id[402]["n_lines"], by_id[402]["kept"]) == (0, 0, 1, 5, "x")
+    unnamed = next(r for r in found if r["doc_id"] is None)
+    assert unnamed["n_kept"] == 2
     assert lines.dedup_lines(documents(spark, [])).collect() == []
 
 
 def test_line_dedup_query(spark):
-    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").where("doc_id < 1000000").collect()]
-    found = {r["doc_id"]: r["text"] for r in queries.op2_line_dedup(spark, SF).collect()}
-    # Equal lines by brute force; the edit join is compared above.
-    seen, exact = set(), {}
-    for d, t, _ in sorted(docs):
-        exact[d] = [line.strip() for line in (t or "").split("\n") if line.strip() and not (line.strip() in seen or seen.add(line.strip()))]
-    assert found.keys() == exact.keys()
-    for d, t in found.items():
-        assert set(map(str.strip, t.split("\n"))) - {""} <= set(exact[d])
-
-
-def long_lines(draw):
-    """Lines of up to 400 characters, each with copies at, below and a little above one edit for every 20 characters."""
-    rows = []
-    for size in (57, 59, 60, 61, 79, 80, 150, 212, 400):
-        line = "".join(draw.choice("abcdeñ ") for _ in range(size)).replace(" ", "_")
-        rows += [edited(draw, line, n) for n in (0, 2, 3, size // 20 - 1, size // 20, size // 20, size // 20 + 2)]
-    return rows
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    check_lines(docs, queries.op2_line_dedup(spark, SF).collect())
 
 
-def test_long_lines_within_their_edits_share_a_key():
-    draw = random.Random(16)
-    for size in [*range(58, 64), 79, 80, 99, 100, 101, 134, 200, 201] * 10:
-        a = "".join(draw.choice("abcñ") for _ in range(size))
-        b = a
-        for i in range(size // 20):  # evenly spread, which leaves the shortest stretches whole
-            at = min(len(b) - 1, (i + 1) * size // (size // 20 + 1) + draw.randint(-1, 1))
-            b = b[:at] + draw.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
-        if distance(a, b) <= min(len(a), len(b)) // 20:
-            keys, owner = lines.line_keys([a, b], None, 20)
-            assert set(keys[owner == 0]) & set(keys[owner == 1]), (a, b)
+def test_a_chain_of_edits_goes_only_by_true_copies(spark):
+    """Each line two edits from the one before: what goes is near to a line that stays, not to the first of the chain."""
+    draw = random.Random(12)
+    chain = ["".join(draw.choice("abcdefgh") for _ in range(130))]
+    for step in range(15):
+        at = 8 * step
+        chain.append(chain[-1][:at] + "XY" + chain[-1][at + 2 :])
+    rows = [(i, t, "s") for i, t in enumerate(chain)]
+    stays = check_lines(rows, lines.dedup_lines(documents(spark, rows)).collect())
+    assert chain[0] in stays and 5 <= len(stays) <= 10
 
 
 def test_edits_grow_with_the_line(spark, monkeypatch):
     monkeypatch.setattr(lines, "TILE", 4)
-    monkeypatch.setattr(lines, "CARRIED", 150)
-    texts = long_lines(random.Random(17))
-    assert sum(2 < distance(a, b) <= min(len(a), len(b)) // 20 for a, b in zip(texts, texts[1:], strict=False)) > 3
-    rows = [(i, t, "s") for i, t in enumerate(texts)]
-    near = lambda a, b: distance(texts[a], texts[b]) <= min(len(texts[a]), len(texts[b])) // 20
-    of = classes(list(range(len(texts))), lambda a, b: abs(len(texts[a]) - len(texts[b])) <= 20 and near(a, b))
-    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, rows)).collect()}
-    assert found == {i: t if of[i] == i else "" for i, t, _ in rows}
+    draw, rows = random.Random(17), []
+    for size in (29, 30, 57, 119, 120, 121, 269, 270, 400, 1_000):
+        line = "".join(draw.choice("abcdeñ_") for _ in range(size))
+        rows += [edited(draw, line, n) for n in (0, 1, lines.allowed(size), lines.allowed(size), lines.allowed(size) + 2)]
+    rows = [(i, t, "s") for i, t in enumerate(rows)]
+    stays = check_lines(rows, lines.dedup_lines(documents(spark, rows)).collect())
+    assert len(stays) < len(rows) - 15
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Thousands of copies behind a beginning that other lines share are told by their first line, not pair by pair."""
+    draw = random.Random(3)
+    start = "".join(draw.choice("abcdefgh ") for _ in range(90)).replace(" ", "_")
+    line = start + "".join(draw.choice("abcdefgh") for _ in range(90))
+    rows = [(i, start + "".join(draw.choice("mnopqrst") for _ in range(90)), "s") for i in range(30)]
+    for i in range(700):
+        at = draw.randrange(100, 170)
+        rows.append((100 + i, line[:at] + draw.choice("uvwxyz") + line[at + 1 :], "s"))
+    found = lines.dedup_lines(documents(spark, rows)).collect()
+    stays = check_lines(rows, found)
+    assert len(stays) == 31
 
 
 def brute_vectors(rows, cosine=0.95):
