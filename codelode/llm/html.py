@@ -24,12 +24,15 @@ PARAGRAPH = frozenset("p pre td blockquote li dd div section article main".split
 NO_TEXT = frozenset("head title script style noscript template svg math iframe object canvas audio video select textarea button input datalist".split())
 PAGE_PARTS = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
-    "recommended related reply replies respond rss share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+# Parts of a page that such a word names wherever it stands in a class name, and those that it names as the last word.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
+    "menu nav navbar navigation newsletter recommended related replies respond share sharing sidebar sponsor sponsored subscribe".split()
 )
-BESIDE = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 hgroup ol p pre section table ul".split())
+LAST_WORDS = frozenset("banner login masthead modal notice notices pager pagination popup promo promotion reply rss signup social toolbar widget".split())
+MODIFIERS = frozenset("has is js no with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BESIDE = frozenset("blockquote dl figure hgroup ol p pre table ul".split()) | HEADINGS
 CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot menu select body html".split())
@@ -42,6 +45,17 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIBLING, LINKS = 0.2, 0.5
 
 
+def names_of(attrs: dict) -> list[list[str]]:
+    """The words of each class name and of the id."""
+    given = [*attrs.get("class", "").split(), attrs.get("id", "")]
+    return [words for name in given if (words := NAME.findall(CAMEL.sub(" ", name).lower()))]
+
+
+def stands_aside(names: list[list[str]]) -> bool:
+    """Whether a name says so: ``post-comments`` and ``comments-content`` are comments, ``has-sidebar`` is no sidebar."""
+    return any(words[0] not in MODIFIERS and (not STRONG_WORDS.isdisjoint(words) or words[-1] in LAST_WORDS) for words in names)
+
+
 class Node:
     __slots__ = ("name", "words", "parent", "inside", "aside", "score", "chars", "linked")
 
@@ -68,13 +82,17 @@ class TreeBuilder(HTMLParser):
         if name in ("html", "body") and self.at is not self.root:
             return
         found = {k: v or "" for k, v in attrs}
-        words = frozenset(NAME.findall(CAMEL.sub(" ", found.get("class", "") + " " + found.get("id", "")).lower())) if "class" in found or "id" in found else frozenset()
-        aside = name in NO_TEXT or name in PAGE_PARTS or found.get("role", "").lower() in ROLES or bool(words & ASIDE_WORDS and not words & CONTENT_WORDS)
-        aside = aside or "hidden" in found or found.get("aria-hidden") == "true" or bool("style" in found and HIDDEN.search(found["style"].lower()))
-        if name == "header" and not self._within("article", "main"):
-            aside = True
-        if name in ("html", "body", "main", "article") and found.get("role", "") not in ROLES:
-            aside = "hidden" in found
+        names = names_of(found) if "class" in found or "id" in found else []
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool("style" in found and HIDDEN.search(found["style"].lower()))
+        role = found.get("role", "").lower() in ROLES
+        if name in ("html", "body", "main"):
+            aside = "hidden" in found or name == "main" and role
+        else:
+            aside = hidden or role or name in NO_TEXT or name in PAGE_PARTS or stands_aside(names)
+            # A page's header stands aside, that of its article has the headline.
+            heads = name == "header" or any(words[-1] == "header" and words[0] not in MODIFIERS for words in names)
+            aside = aside or heads and name not in HEADINGS and not self._within("article", "main")
+        words = frozenset(w for part in names for w in part)
         if name == "br":
             self.at.inside.append((" ", False))
         if name in VOID:
@@ -194,18 +212,38 @@ def _best(page: list[tuple[Node, str, int]], root: Node) -> list[Node]:
         around[up.name] = up  # the outermost of each name
         up = up.parent
     best = around.get("article") or around.get("main") or best
-    if best.parent is None:
+    if best.parent is None or best.name == "main":
         return [best]
     kept = []
     for x in best.parent.inside:
         if isinstance(x, Node) and not x.aside:
             dense = x.linked / max(1, x.chars)
-            alike = x.name == best.name and x.words and x.words == best.words
-            if x is best or x.name in BESIDE and dense < LINKS or dense < 0.25 and x.name in BLOCK and x.score + alike * SIBLING * best.score >= max(10, SIBLING * best.score):
+            if x is best:
                 kept.append(x)
+            elif x.name == "article":
+                # The next part of the same story has no headline of its own; another story's teaser has one.
+                if x.words == best.words and dense < LINKS and not _has_heading(x):
+                    kept.append(x)
+            elif x.name in BESIDE:
+                if dense < LINKS:
+                    kept.append(x)
+            elif best.name != "article":
+                alike = x.name == best.name and x.words and x.words == best.words
+                if x.name == "section" and dense < LINKS or dense < 0.25 and x.name in BLOCK and x.score + alike * SIBLING * best.score >= max(10, SIBLING * best.score):
+                    kept.append(x)
     return kept
 
 
+def _has_heading(top: Node) -> bool:
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.name in HEADINGS:
+            return True
+        stack += [x for x in node.inside if isinstance(x, Node) and not x.aside]
+    return False
+
+
 def main_text(html: str) -> str:
     """Blocks of the main text, joined by an empty line; empty if the page has none."""
     root = parse(html)
@@ -236,8 +274,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null or empty page, or one without main text, has an empty text. Pages without a scored paragraph keep all text
     that does not stand aside; of equal containers the first in the page wins. The
-    outermost article around the best container is kept whole, or the outermost main part if there is none; headings,
-    paragraphs, lists and sections beside it stay unless half of their text is links. Repeated rows are kept; an empty table
+    outermost article around the best container is kept whole, or the outermost main part, and nothing beside it, if there is
+    none; headings, paragraphs and lists beside an article stay unless half of their text is links, and so does an article of
+    the same class without a headline of its own; beside another container related sections and blocks stay too. Repeated rows are kept; an empty table
     gives no rows; other columns are not looked at.
     """
 

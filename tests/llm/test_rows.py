@@ -217,6 +217,37 @@ def test_text_beside_the_best_container():
     assert html.main_text(page).split("\n\n") == [*[LONG.strip()] * 40, "Short."]
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="post-comments"><p>{}</p></div>', '<section class="story-comments"><p>{}</p></section>', '<div class="main-menu"><p>{}</p></div>',
+        '<div class="sidebar-content"><p>{}</p></div>', '<div class="page-footer"><p>{}</p></div>', '<div class="article-share"><p>{}</p></div>',
+        '<div id="commentsContent"><p>{}</p></div>', '<article class="comment"><p>{}</p></article>', '<ul class="related-stories"><li>{}</li></ul>',
+        '<div class="story cookie-notice"><p>{}</p></div>', '<div class="ad-slot"><p>{}</p></div>', '<div class="content-banner"><p>{}</p></div>',
+    ],
+)
+def test_html_parts_that_go(part):
+    other = "Not of the story, and yet a long paragraph, with commas, and words, " * 4
+    inside = f"<body><article><h1>Head</h1><p>{LONG}</p>{part.format(other)}<p>{LONG}</p></article></body>"
+    beside = f"<body><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article>{part.format(other)}</body>"
+    for page in (inside, beside):
+        assert html.main_text(page).split("\n\n") == ["Head", LONG.strip(), LONG.strip()], page
+
+
+def test_html_headlines_and_neighbours():
+    story = ["Head", LONG.strip(), LONG.strip()]
+    whole = lambda page: html.main_text(page).split("\n\n")
+    for head in ('<h1 class="header">Head</h1>', '<div class="header"><h1>Head</h1></div>', '<header><h1>Head</h1></header>', '<div class="post-header"><h2>Head</h2></div>'):
+        assert whole(f"<body><article>{head}<p>{LONG}</p><p>{LONG}</p></article></body>") == story, head
+    assert whole(f'<body class="has-sidebar"><div class="content with-sidebar"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div></body>') == story
+    # A teaser of another story goes, the next part of this one stays.
+    assert whole(f"<body><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article><article><h2>Other</h2><p>Teaser, of another story.</p></article></body>") == story
+    assert whole(f'<body><article class="part"><h1>Head</h1><p>{LONG}</p></article><article class="part"><p>{LONG}</p></article></body>') == story
+    # Nothing beside the main part belongs to it.
+    assert whole(f'<body><main><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></main><section class="more"><p>We use cookies, as all do.</p></section></body>') == story
+    assert whole(f'<body><div class="header"><p>{LONG}</p></div><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article></body>') == story
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "x"), (3, "w", "<p>" + "long text, " * 50_000, "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
