@@ -28,13 +28,15 @@ STATE, CLASSES, IN_CLASS, TAILS = 16, 32, 32, 96
 HELD = 131_072
 #: One of so many training documents fits the recurrent weights (1: all); tokens of the warm start and of a replica.
 FIT, WARM, REPLICA = 1, 500_000, 2_000_000
-#: Lanes and steps of a window, in training and in scoring.
-TRAIN, SCORE = (64, 16), (256, 32)
+#: Lanes and steps of a window, in training and in scoring; texts that are laid out in lanes together, in training and in scoring.
+TRAIN, SCORE, TOGETHER, GROUP = (256, 16), (256, 32), 1_024, 8_192
+#: Tokens of a piece of a text in training; in scoring the state goes through whole texts.
+PIECE = 512
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 400_000
 #: The end of a text, which no word can equal.
 END = b" "
-RATE = 0.08
+RATE = 0.15
 
 
 def held_out(id_col: Column) -> Column:
@@ -133,8 +135,20 @@ def places(vocab: dict, text: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return at, inp, out, ins
 
 
-def lanes(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, first: int):
-    """Texts laid end to end in lanes of near-equal length, longest lane first: inputs, outputs, inside, owner, starts."""
+def pieces(texts: list, most: int, first: int) -> tuple[list, list[int]]:
+    """Texts in pieces of at most ``most`` tokens, and the input at the beginning of each."""
+    found, heads = [], []
+    for a, b, c in texts:
+        for at in range(0, len(a), most):
+            found.append((a[at : at + most], b[at : at + most], c[at : at + most]))
+            heads.append(int(a[at - 1]) if at else first)
+    return found, heads
+
+
+def lanes(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, first: int, heads: list[int] | None = None):
+    """Texts laid end to end in lanes of near-equal length, longest lane first: inputs, outputs, inside, owner, starts.
+
+    A text's first input is ``first``, or what ``heads`` says."""
     width = min(width, len(texts))
     heap, dealt = [(0, i) for i in range(width)], [[] for _ in range(width)]
     for k in sorted(range(len(texts)), key=lambda k: -len(texts[k][0])):
@@ -151,7 +165,7 @@ def lanes(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, fi
         for k in dealt[lane]:
             a, b, c = texts[k]
             stop = at + len(a)
-            inp[at, column], inp[at + 1 : stop, column] = first, a[:-1]
+            inp[at, column], inp[at + 1 : stop, column] = heads[k] if heads else first, a[:-1]
             out[at:stop, column], ins[at:stop, column], owner[at:stop, column] = b, c, k
             starts[at, column] = True
             at = stop
@@ -159,7 +173,7 @@ def lanes(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, fi
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
 def forward(w: dict, inp: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
@@ -171,7 +185,7 @@ def forward(w: dict, inp: np.ndarray, starts: np.ndarray, state: np.ndarray, kee
         across = state @ w["u"]
         gates = _sigmoid(x[t, :, : 2 * STATE] + across[:, : 2 * STATE])
         z, r, inner = gates[:, :STATE], gates[:, STATE:], across[:, 2 * STATE :]
-        new = 2 * _sigmoid(2 * (x[t, :, 2 * STATE :] + r * inner)) - 1
+        new = np.tanh(x[t, :, 2 * STATE :] + r * inner)
         if keep:
             trail.append((state, z, r, inner, new))
         state = new + z * (state - new)
@@ -179,19 +193,19 @@ def forward(w: dict, inp: np.ndarray, starts: np.ndarray, state: np.ndarray, kee
     return states, state, trail
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
 def log_probabilities(w: dict, states: np.ndarray, out: np.ndarray, ins: np.ndarray) -> np.ndarray:
     """Natural log probability of the classes, and of the words inside the classes that have a softmax."""
     logits = states @ w["o"] + w["ob"]
     top = logits.max(1)
     found = logits[np.arange(len(out)), out] - top - np.log(np.exp(logits - top[:, None]).sum(1))
     at = np.flatnonzero(ins >= 0)
-    inner = _log_softmax(np.einsum("nkh,nh->nk", w["i"][out[at]], states[at]) + w["ib"][out[at]])
-    found[at] += inner[np.arange(len(at)), ins[at]]
+    order = at[np.argsort(out[at], kind="stable")]
+    classes, begin = np.unique(out[order], return_index=True)
+    for k, start, end in zip(classes, begin, [*begin[1:], len(order)], strict=False):
+        mine = order[start:end]
+        inner = states[mine] @ w["i"][k].T + w["ib"][k]
+        top = inner.max(1)
+        found[mine] += inner[np.arange(len(mine)), ins[mine]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
     return found
 
 
@@ -221,6 +235,68 @@ def _step(w: dict, speed: dict, name: str, grad: np.ndarray, rows: np.ndarray |
     w[name][at] -= RATE * grad / np.sqrt(speed[name][at])
 
 
+def _inner_loss(w: dict, h: np.ndarray, of: np.ndarray, ins: np.ndarray, scale: np.float32):
+    """Gradients of the words inside their classes: towards the states, and by class the rows of its weights.
+
+    Positions are sorted by class, so that each class is two matrix products.
+    """
+    order = np.argsort(of, kind="stable")
+    classes, begin = np.unique(of[order], return_index=True)
+    into, di, dib = np.empty_like(h), np.empty((len(classes), IN_CLASS, STATE), np.float32), np.empty((len(classes), IN_CLASS), np.float32)
+    for j, (k, start, end) in enumerate(zip(classes, begin, [*begin[1:], len(order)], strict=False)):
+        at = order[start:end]
+        mine = h[at]
+        back = mine @ w["i"][k].T + w["ib"][k]
+        back -= back.max(1, keepdims=True)
+        np.exp(back, out=back)
+        back /= back.sum(1, keepdims=True)
+        back[np.arange(len(at)), ins[at]] -= 1
+        back *= scale
+        into[at] = back @ w["i"][k]
+        di[j], dib[j] = back.T @ mine, back.sum(0)
+    return into, classes, di, dib
+
+
+def gradients(w: dict, x: np.ndarray, first_of: np.ndarray, o: np.ndarray, ins: np.ndarray, real: np.ndarray, state: np.ndarray):
+    """One window: gradients by weight as (rows or None, values), and the state behind it.
+
+    ``o`` and ``ins`` belong to the ``real`` positions. The gradient stops at the window's beginning.
+    """
+    states, after, trail = forward(w, x, first_of, state, True)
+    flat = states.reshape(-1, STATE)
+    h = flat[real]
+    scale = np.float32(1 / np.sqrt(max(1, len(real))))
+    back = h @ w["o"] + w["ob"]
+    back -= back.max(1, keepdims=True)
+    np.exp(back, out=back)
+    back /= back.sum(1, keepdims=True)
+    back[np.arange(len(o)), o] -= 1
+    back *= scale
+    into = back @ w["o"].T
+    at = np.flatnonzero(ins >= 0)
+    inner, classes, di, dib = _inner_loss(w, h[at], o[at], ins[at], scale)
+    into[at] += inner
+    dh = np.zeros_like(flat)
+    dh[real] = into
+    dh, carried = dh.reshape(*x.shape, STATE), np.zeros((x.shape[1], STATE), np.float32)
+    dx, gates = np.empty((*x.shape, 3 * STATE), np.float32), np.empty((*x.shape, 3 * STATE), np.float32)
+    for t in range(len(x) - 1, -1, -1):
+        before, z, r, across, new = trail[t]
+        d = dh[t] + carried
+        dn = d * (1 - z) * (1 - new * new)
+        dx[t, :, :STATE] = d * (before - new) * z * (1 - z)
+        dx[t, :, STATE : 2 * STATE] = dn * across * r * (1 - r)
+        dx[t, :, 2 * STATE :] = dn
+        gates[t, :, : 2 * STATE] = dx[t, :, : 2 * STATE]
+        gates[t, :, 2 * STATE :] = dn * r
+        carried = (d * z + gates[t] @ w["u"].T) * ~first_of[t][:, None]
+    du = np.concatenate([step[0] for step in trail]).T @ gates.reshape(-1, 3 * STATE)
+    order = np.argsort(x, axis=None, kind="stable")
+    rows, begin = np.unique(x.ravel()[order], return_index=True)
+    gx = np.add.reduceat(dx.reshape(-1, 3 * STATE)[order], begin, axis=0)
+    return {"o": (None, h.T @ back), "ob": (None, back.sum(0)), "i": (classes, di), "ib": (classes, dib), "u": (None, du), "x": (rows, gx)}, after
+
+
 def train(w: dict, batches: Iterable[list], first: int) -> dict:
     """One pass of truncated backpropagation over texts; the gradient stops at a window, the state goes on."""
     w = {k: v.copy() for k, v in w.items()}
@@ -229,49 +305,17 @@ def train(w: dict, batches: Iterable[list], first: int) -> dict:
     for texts in batches:
         if not texts:
             continue
-        inp, out, ins, owner, starts, loads = lanes(texts, width, first)
+        # A long text is learned in pieces, so that no lane is left alone at the end of the windows.
+        parts, heads = pieces(texts, PIECE, first)
+        inp, out, ins, owner, starts, loads = lanes(parts, width, first, heads)
         state = np.zeros((inp.shape[1], STATE), np.float32)
         for begin in range(0, len(inp), steps):
             live = int((loads > begin).sum())
             part = np.s_[begin : begin + steps, :live]
-            x, first_of = inp[part], starts[part]
-            states, state, trail = forward(w, x, first_of, state[:live], True)
-            flat, real = states.reshape(-1, STATE), np.flatnonzero(owner[part].ravel() >= 0)
-            h, o, i = flat[real], out[part].ravel()[real], ins[part].ravel()[real]
-            n = np.float32(1 / np.sqrt(len(real)))
-            back = np.exp(_log_softmax(h @ w["o"] + w["ob"]))
-            back[np.arange(len(o)), o] -= 1
-            back *= n
-            dh = np.zeros_like(flat)
-            into = back @ w["o"].T
-            at = np.flatnonzero(i >= 0)
-            of = o[at]
-            inner = np.exp(_log_softmax(np.einsum("nkh,nh->nk", w["i"][of], h[at]) + w["ib"][of]))
-            inner[np.arange(len(at)), i[at]] -= 1
-            inner *= n
-            into[at] += np.einsum("nk,nkh->nh", inner, w["i"][of])
-            dh[real] = into
-            di, dib = np.zeros_like(w["i"]), np.zeros_like(w["ib"])
-            for k in np.unique(of):
-                mine = of == k
-                di[k], dib[k] = inner[mine].T @ h[at[mine]], inner[mine].sum(0)
-            du, dx = np.zeros_like(w["u"]), np.empty((*x.shape, 3 * STATE), np.float32)
-            dh, carried = dh.reshape(*x.shape, STATE), np.zeros((live, STATE), np.float32)
-            for t in range(len(x) - 1, -1, -1):
-                before, z, r, across, new = trail[t]
-                d = dh[t] + carried
-                dn = d * (1 - z) * (1 - new * new)
-                dz, dr = d * (before - new) * z * (1 - z), dn * across * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], 1)
-                gates = np.concatenate([dz, dr, dn * r], 1)
-                du += before.T @ gates
-                carried = (d * z + gates @ w["u"].T) * ~first_of[t][:, None]
-            rows, which = np.unique(x.ravel(), return_inverse=True)
-            gx = np.zeros((len(rows), 3 * STATE), np.float32)
-            np.add.at(gx, which, dx.reshape(-1, 3 * STATE))
-            for name, grad in (("o", h.T @ back), ("ob", back.sum(0)), ("i", di), ("ib", dib), ("u", du)):
-                _step(w, speed, name, np.clip(grad, -5, 5))
-            _step(w, speed, "x", np.clip(gx, -5, 5), rows)
+            real = np.flatnonzero(owner[part].ravel() >= 0)
+            found, state = gradients(w, inp[part], starts[part], out[part].ravel()[real], ins[part].ravel()[real], real, state[:live])
+            for name, (rows, grad) in found.items():
+                _step(w, speed, name, np.clip(grad, -5, 5), rows)
     return w
 
 
@@ -297,8 +341,8 @@ def _fit_round(slim: DataFrame, shared, weights: dict, replicas: int) -> dict:
         def texts() -> Iterator[list]:
             for batch in batches:
                 column = batch.column("text")
-                for at in range(0, len(column), 256):
-                    found = [places(vocab, words(t.as_py()))[1:] for t in column[at : at + 256]]
+                for at in range(0, len(column), TOGETHER):
+                    found = [places(vocab, words(t.as_py()))[1:] for t in column[at : at + TOGETHER]]
                     seen[0] += sum(len(t[0]) for t in found)
                     yield found
 
@@ -308,7 +352,8 @@ def _fit_round(slim: DataFrame, shared, weights: dict, replicas: int) -> dict:
             parts = [flat[a : a + 4096].astype(np.float64) * seen[0] for a in at]
             yield pa.record_batch([pa.array(at, pa.int64()), pa.array(parts, pa.list_(pa.float64())), pa.array(np.full(len(at), float(seen[0])))], names=["at", "part", "n"])
 
-    one = slim.select("text", F.pmod(_draw(3), F.lit(replicas)).alias("replica")).repartition(replicas, "replica").select("text")
+    # One replica a task: its number is the partition's.
+    one = slim.select("text", F.pmod(_draw(3), F.lit(replicas)).cast("int").alias("replica")).repartitionById(replicas, "replica").select("text")
     learned = one.mapInArrow(run, "at bigint, part array<double>, n double")
     each = learned.select("at", "n", F.posexplode("part").alias("k", "v")).groupBy("at", "k").agg((F.sum("v") / F.sum("n")).alias("v"))
     rows = each.toPandas()  # as many as weights
@@ -361,10 +406,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         log_c = np.log10(vocab["c"] + 1)
         for batch in batches:
             ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for begin in range(0, len(ids), 2048):
-                some = ids[begin : begin + 2048]
+            for begin in range(0, len(ids), GROUP):
+                some = ids[begin : begin + GROUP]
                 texts, tokens, known, base, score, new = [], [], [], [], [], []
-                for k, text in enumerate(column[begin : begin + 2048]):
+                for k, text in enumerate(column[begin : begin + GROUP]):
                     found = words(text.as_py())
                     at, inp, out, ins = places(vocab, found)
                     texts.append((inp, out, ins))

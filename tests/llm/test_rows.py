@@ -356,6 +356,77 @@ def test_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def tiny_model():
+    """Weights in double precision of a small vocabulary, and some encoded texts."""
+    draw = np.random.default_rng(5)
+    outputs, inputs = lm.CLASSES + lm.TAILS, lm.CLASSES * lm.IN_CLASS + lm.TAILS
+    shapes = {"x": (inputs, 3 * lm.STATE), "u": (lm.STATE, 3 * lm.STATE), "o": (lm.STATE, outputs), "ob": (outputs,), "i": (lm.CLASSES, lm.IN_CLASS, lm.STATE), "ib": (lm.CLASSES, lm.IN_CLASS)}
+    weights = {k: draw.normal(0, 0.4, s) for k, s in shapes.items()}
+
+    def text(n):
+        out = draw.integers(0, outputs, n)
+        return draw.integers(0, inputs, n), out, np.where(out < lm.CLASSES, draw.integers(0, lm.IN_CLASS, n), -1)
+
+    return weights, [text(n) for n in (9, 4, 1, 6, 13)], draw
+
+
+def plain_score(w, text, first):
+    """One token after the other, as the equations of the gated unit say."""
+    state, total = np.zeros(lm.STATE), 0.0
+    previous = first
+    for inp, out, ins in zip(*text, strict=True):
+        x, across, n = w["x"][previous], state @ w["u"], lm.STATE
+        z, r = 1 / (1 + np.exp(-(x[:n] + across[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + across[n : 2 * n])))
+        new = np.tanh(x[2 * n :] + r * across[2 * n :])
+        state = z * state + (1 - z) * new
+        logits = state @ w["o"] + w["ob"]
+        total += logits[out] - np.log(np.exp(logits).sum())
+        if ins >= 0:
+            inside = w["i"][out] @ state + w["ib"][out]
+            total += inside[ins] - np.log(np.exp(inside).sum())
+        previous = inp
+    return total
+
+
+def test_scores_equal_a_plain_pass(monkeypatch):
+    monkeypatch.setattr(lm, "SCORE", (3, 4))
+    weights, texts, _ = tiny_model()
+    assert lm.score_texts(weights, texts, 7) == pytest.approx([plain_score(weights, t, 7) for t in texts], rel=1e-4)
+
+
+def test_gradients_equal_finite_differences():
+    weights, texts, draw = tiny_model()
+    inp, out, ins, owner, starts, _ = lm.lanes(texts, 3, 7)
+    real = np.flatnonzero(owner.ravel() >= 0)
+    o, i = out.ravel()[real], ins.ravel()[real]
+    state = draw.normal(0, 0.3, (inp.shape[1], lm.STATE))
+    scale = 1 / math.sqrt(len(real))
+
+    def loss(w):
+        states = lm.forward(w, inp, starts, state)[0].astype(float).reshape(-1, lm.STATE)[real]
+        return -scale * lm.log_probabilities(w, states, o, i).sum()
+
+    found, _ = lm.gradients(weights, inp, starts, o, i, real, state)
+    for name, (rows, grad) in found.items():
+        whole = np.zeros_like(weights[name])
+        whole[slice(None) if rows is None else rows] = grad
+        places = np.argwhere(np.abs(whole) > 1e-3)
+        for at in map(tuple, draw.permutation(places)[:12]):
+            sides = []
+            for step in (1e-2, -1e-2):
+                moved = {k: v.copy() for k, v in weights.items()}
+                moved[name][at] += step
+                sides.append(loss(moved))
+            assert (sides[0] - sides[1]) / 2e-2 == pytest.approx(whole[at], rel=0.03, abs=2e-4), (name, at)
+
+
+def test_long_texts_are_learned_in_pieces_that_follow_each_other():
+    _, texts, _ = tiny_model()
+    parts, heads = lm.pieces(texts, 4, 7)
+    assert np.concatenate([p[0] for p in parts]).tolist() == np.concatenate([t[0] for t in texts]).tolist()
+    assert max(len(p[0]) for p in parts) == 4 and heads[0] == 7 and heads[1] == texts[0][0][3]
+
+
 def test_state_goes_over_windows(spark):
     vocab = lm.vocabulary(lm.count_words(documents(spark, odd_rows()).selectExpr("CAST(text AS BINARY) AS text")))
     weights = lm.first_weights(vocab)
