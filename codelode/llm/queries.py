@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import bpe, html, leaks, lines, lm, merkle, mixing, sharding, simhash, spelling, topk, toxicity, vectors
+from codelode.llm import bpe, html, leaks, lines, lm, merkle, mixing, sharding, simhash, spelling, sql, topk, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,4 +125,7 @@ ORACLES: dict[str, str] = {
           CAST(size * least(3, whole + CASE WHEN upto <= budget OR (upto - here <= budget AND upto - budget < budget - (upto - here)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM r
     """,
+    "op11_merkle": sql.MERKLE,
+    "op12_spelling": sql.SPELLING,
+    "op13_decontamination": sql.LEAKS,
 }
