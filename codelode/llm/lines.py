@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codelode.llm.common import segments, tiled
 from codelode.session import store
 
-#: Home lines of a tile; counts above this are not told apart.
-TILE, CLIP = 256, 32_000
+#: Home lines of a tile; counts above this are not told apart; bytes of texts whose lines are cut out together.
+TILE, CLIP, PORTION = 256, 32_000, 1 << 21
 #: Rounds after which the order of lines is a hash's.
 IN_ORDER = 5
 #: Characters by which the allowed edits grow: 1 from 30 on, 2 from 120, 3 from 270, 10 from 3,000.
@@ -148,8 +148,18 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def _distinct(batch: pa.RecordBatch) -> list[str]:
-    return list({line for text in batch.column("text").to_pylist() for line in clean_lines(text or b"") if line})
+def _portions(batch: pa.RecordBatch) -> Iterator[list[str]]:
+    """Distinct lines of some texts at a time, so that short lines do not fill the memory as objects."""
+    found: set[str] = set()
+    size = 0
+    for text in batch.column("text"):
+        raw = text.as_py() or b""
+        found.update(clean_lines(raw))
+        size += len(raw)
+        if size > PORTION:
+            yield list(found - {""})
+            found, size = set(), 0
+    yield list(found - {""})
 
 
 def shared_keys(slim: DataFrame, unit: int) -> DataFrame:
@@ -162,7 +172,7 @@ def shared_keys(slim: DataFrame, unit: int) -> DataFrame:
 
         for batch in batches:
             parts, nodes, sizes, probes = [], [], [], []
-            for line in _distinct(batch):
+            for line in (line for some in _portions(batch) for line in some):
                 keys, probe = line_keys(line, unit)
                 if probe:
                     parts.append(keys)
@@ -211,8 +221,7 @@ def _texts(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """(line, text, shape) of the lines with these numbers, once each."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = _distinct(batch)
+        for lines in (some for batch in batches for some in _portions(batch)):
             marks = [mark_of(line) for line in lines]
             yield pa.record_batch([pa.array([node_of(m) for m in marks], pa.int64()), pa.array(marks, pa.binary()), pa.array(lines, pa.string())], names=["node", "line", "text"])
 
@@ -295,7 +304,8 @@ def near_copies(slim: DataFrame, lines: DataFrame, unit: int) -> DataFrame:
     the logarithm of their length.
     """
     live = store(shared_keys(slim, unit), "line-keys")
-    texts = store(_texts(slim, live.select("node").distinct()), "line-texts")
+    # Stored by itself, its size is known: while it is small the texts of other lines are not shuffled.
+    texts = store(_texts(slim, store(live.select("node").distinct(), "line-nodes")), "line-texts")
     at = F.struct("first_doc", "place", "line")
     rows = store(live.join(lines.select("node", "line", at.alias("at")), "node").select("key", "line", F.lit(1).alias("open"), "at"), "line-entries")
     gone, turn = [], 0
@@ -308,7 +318,10 @@ def near_copies(slim: DataFrame, lines: DataFrame, unit: int) -> DataFrame:
         leaders = fresh.groupBy("key").agg(F.min("at").alias("lead"))
         pairs = fresh.join(leaders, "key").where(F.col("line") != F.col("lead.line")).select(F.col("lead.line").alias("a"), F.col("line").alias("b")).distinct()
         near = store(_verified(pairs, texts, unit), "line-links")
-        links = near.unionAll(_tile_links(fresh.join(near.select(F.col("b").alias("line")).distinct(), "line", "left_anti"), texts, unit, across=False))
+        # A key's first line has met all others of the key by now.
+        others = fresh.join(leaders, "key").where(F.col("line") != F.col("lead.line")).drop("lead")
+        core = store(others.join(near.select(F.col("b").alias("line")).distinct(), "line", "left_anti"), "line-core")
+        links = near.unionAll(_tile_links(core, texts, unit, across=False))
         follow = store(links.select(F.col("b").alias("line")).distinct(), "line-follow")
         gone.append(store(links.join(follow.select(F.col("line").alias("a")), "a", "left_anti").select(F.col("b").alias("line")).distinct(), "line-gone"))
         left = store(follow.join(gone[-1], "line", "left_anti"), "line-left")
@@ -326,17 +339,24 @@ def near_copies(slim: DataFrame, lines: DataFrame, unit: int) -> DataFrame:
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first place of each line in its document."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(places, pa.int32())], names=["doc_id", "line", "place"])
+
     for batch in batches:
         ids, marks, places = [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             seen = {}
-            for place, line in enumerate(clean_lines(text or b"")):
+            for place, line in enumerate(clean_lines(text.as_py() or b"")):
                 if line:
                     seen.setdefault(line, place)
             ids += [doc] * len(seen)
             marks += [mark_of(line) for line in seen]
             places += seen.values()
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(places, pa.int32())], names=["doc_id", "line", "place"])
+            if len(ids) > 20_000:
+                yield rows()
+                ids, marks, places = [], [], []
+        yield rows()
 
 
 def _node() -> Column:
@@ -346,13 +366,14 @@ def _node() -> Column:
 
 
 def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
         texts, before, after = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            out, seen = [], set(gone or ())
-            given = (text or b"").split(b"\n") if text is not None else []
-            for line, bare in zip(given, clean_lines(text or b""), strict=False):
-                mark = xxhash.xxh3_128_digest(bare.encode())
+        for text, gone in zip(batch.column("text"), batch.column("gone"), strict=True):
+            text, seen, out = text.as_py(), set(gone.as_py() or ()), []
+            given = text.split(b"\n") if text is not None else []
+            for line in given:
+                bare = line.strip(BLANKS).decode("utf-8", "replace")
+                mark = mark_of(bare)
                 if not bare or mark not in seen:
                     out.append(line)
                     seen.add(mark)
