@@ -36,10 +36,10 @@ _column("flt_11_non_evidence", "chunk_id",
         lambda: tx.is_non_evidence(
             F.col("chunk_text"), F.col("file_path"),
             F.when(F.col("chunk_id") % 2 == 0, F.lit("what does the gitignore doc exclude"))
-            .otherwise(F.left("chunk_text", F.lit(60)))),
+            .otherwise(F.col("chunk_text"))),
         q.non_evidence("chunk_text", "file_path",
                        "CASE WHEN chunk_id % 2 = 0 THEN 'what does the gitignore doc exclude' "
-                       "ELSE left(chunk_text, 60) END"), "chunks")
+                       "ELSE chunk_text END"), "chunks")
 _column("flt_15_overview_chunk", "chunk_id",
         lambda: tx.is_overview_chunk(F.col("file_path"), F.col("name"), F.col("start_line")),
         q.overview("file_path", "name", "start_line"), "chunks")
@@ -55,15 +55,15 @@ _column("fn_5_query_words", "query_id",
         lambda: F.array_join(F.array_sort(tx.path_match_terms(F.col("query"))), " "),
         f"array_to_string(list_sort(list_distinct({q.path_terms('query')})), ' ')", "requests")
 _column("fn_6_path_matches", "doc_id",
-        lambda: tx.path_matches_query(F.col(PATH), F.left(TEXT, F.lit(200))),
-        q.path_matches(PATH, "left(text, 200)"))
+        lambda: tx.path_matches_query(F.col(PATH), F.col(TEXT)),
+        q.path_matches(PATH, "text"))
 _column("fn_7_lexical_terms", "conv_id, turn".split(",")[0],
         lambda: F.array_join(F.array_sort(F.transform(tx.lexical_terms(F.col(TEXT)), F.lower)), " "),
         f"array_to_string(list_sort(list_distinct({q.terms(TEXT)})), ' ')", "conversations")
 _column("set_2_distinct_terms", "query_id", lambda: F.size(tx.lexical_terms(F.col("query"))),
         f"CAST(len(list_distinct({q.terms('query')})) AS INT)", "requests")
-_column("fn_9_fold", "doc_id", lambda: tx.fold(F.lower(F.substring_index(TEXT, " ", 1))),
-        q.fold("lower(split_part(text, ' ', 1))"))
+_column("fn_9_fold", "doc_id", lambda: F.array_join(F.transform(F.split(F.lower(F.col(TEXT)), " "), tx.fold), " "),
+        f"array_to_string(list_transform(string_split(lower(text), ' '), lambda w: {q.fold('w')}), ' ')")
 _column("fn_10_estimate_tokens", "doc_id", lambda: tx.estimate_tokens(F.col(TEXT)), q.tokens(TEXT))
 _column("fn_11_embedding_tokens", "doc_id", lambda: tx.estimate_embedding_tokens(F.col(TEXT)),
         "greatest(1, CAST(floor(length(text) / 3.5) AS BIGINT) + 1)")

@@ -18,9 +18,10 @@ from codelode import fixed
 
 from codelode.operators import embedding as emb, lifecycle, ranking
 
-from codelode.plans.ingest import ingest
-from codelode.session import shared_folder
+from codelode.plans.ingest import ingest, ingest_into
+from codelode.session import shared_folder, store
 from codelode.sources import archives as arc, metadata, sinks, trees
+from codelode.sources.commits import CommitLog
 from codelode.streaming.index_stream import index_stream, read_index
 from codelode.streaming.status_stream import run_status_stream
 
@@ -99,7 +100,7 @@ def emb_1(spark, sf_dir):
 
 
 _COORDINATES = """SELECT doc_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM (
-  SELECT doc_id, i, CAST('0x' || md5(concat(i, ':', text))[1:8] AS BIGINT) / 2147483648.0::DOUBLE - 1 AS x
+  SELECT doc_id, i, CAST('0x' || md5(concat(i, ':', sha256(text)))[1:8] AS BIGINT) / 2147483648.0::DOUBLE - 1 AS x
   FROM documents, unnest(range(16)) AS r(i))"""
 
 
@@ -154,14 +155,18 @@ def src_1_rejected(spark, sf_dir):
     return errors.select("archive", "error_class")
 
 
-@query("src_2_source_tree")
+@query("src_2_source_tree", with_tables("files") + """ SELECT concat(repository_id, '/', doc_id, '.txt') AS path, length, sha256(text) AS content FROM files""")
 def src_2(spark, sf_dir):
-    return trees.read_source_tree(spark, sf_dir).select("path", "length")
+    """Every document as a file below its repository's folder, read back as a tree."""
+    root = _folder(spark, "tree")
+    docs = table(spark, sf_dir, "files").select("repository_id", "doc_id", F.col("text").cast("binary").alias("content"))
+    trees.write_source_tree(docs.select(F.concat("repository_id", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "content"), root)
+    return trees.read_source_tree(spark, root).select("path", "length", F.sha2("content", 256).alias("content"))
 
 
 _META = """to_json(struct(CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS id,
   struct(concat('o', doc_id) AS login, 1 AS x) AS owner, source AS name, concat('o', doc_id, '/', source) AS full_name,
-  left(text, 30) AS description, 'main' AS default_branch, CASE WHEN doc_id % 2 = 0 THEN lang END AS language,
+  text AS description, 'main' AS default_branch, CASE WHEN doc_id % 2 = 0 THEN lang END AS language,
   CASE WHEN doc_id % 3 = 0 THEN n_chars END AS stargazers_count, '2024-05-01T10:00:00Z' AS updated_at))"""
 
 
@@ -175,7 +180,7 @@ _PARSED = """SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'malformed' WHEN
 
 
 @query("src_3_repo_metadata", f"""SELECT id, error, CASE WHEN ok THEN concat('o', id) END AS owner_login, CASE WHEN ok THEN source END AS name,
-  CASE WHEN ok THEN left(text, 30) END AS description, CASE WHEN ok AND id % 2 = 0 THEN lang END AS language,
+  CASE WHEN ok THEN text END AS description, CASE WHEN ok AND id % 2 = 0 THEN lang END AS language,
   CASE WHEN ok THEN CAST(CASE WHEN id % 3 = 0 THEN n_chars ELSE 0 END AS INT) END AS stargazers_count,
   CASE WHEN ok THEN 0 END AS forks_count FROM ({_PARSED})""")
 def src_3(spark, sf_dir):
@@ -390,6 +395,61 @@ def run_2_chunks(spark, sf_dir):
     return _ingested(spark, sf_dir).chunks.select("file_path", "start_line", "end_line", "content_hash")
 
 
+def _committed(spark, sf_dir):
+    """Every archive as run 1, those of even repositories again as run 2, and a third of the repositories deleted."""
+    log = CommitLog(spark, _folder(spark, "store"))
+    rows = archives(spark, sf_dir).select(F.col("archive").alias("repository_id"), F.lit(1).alias("ingestion_id"), "content")
+    rows = store(rows, "archives")
+    number = F.col("repository_id").cast("int")
+    ingest_into(log, rows, None, now())
+    ingest_into(log, rows.where(number % 2 == 0).withColumn("ingestion_id", F.lit(2)), None, now())
+    log.commit({}, gone=rows.where(number % 3 == 0).select("repository_id"))
+    return log
+
+
+@query("run_2_committed_chunks", f"""{_A}, kept AS (SELECT * FROM a WHERE {_KEPT} AND n % 5 <> 1 AND n % 7 <> 3 AND n % 3 <> 0),
+  w AS ({windows('kept', 'path', 50, 10)}) SELECT CAST(n AS VARCHAR) AS repository_id, CAST(2 - n % 2 AS INT) AS ingestion_id, path AS file_path,
+    start_line, end_line, sha256({q.strip('chunk_text')}) AS content_hash FROM w JOIN (SELECT path, n FROM a) USING (path)""")
+def run_2_committed_chunks(spark, sf_dir):
+    return _committed(spark, sf_dir).current("chunks").select("repository_id", "ingestion_id", "file_path", "start_line", "end_line", "content_hash")
+
+
+@query("run_2_committed_status", f"""{_A}, ids AS (SELECT DISTINCT n FROM a WHERE n % 3 <> 0)
+  SELECT CAST(n AS VARCHAR) AS repository_id, CASE WHEN n % 5 = 1 OR n % 7 = 3 THEN 'failed' ELSE 'ready' END AS status FROM ids""")
+def run_2_committed_status(spark, sf_dir):
+    log = _committed(spark, sf_dir)
+    log.compact()
+    return log.current("repository_status").select("repository_id", "status")
+
+
+_DEAD = "(SELECT repository_id FROM runs WHERE status = 'failed' AND id % 50 = 0)"
+
+
+@query("snk_4_tombstones", with_tables("runs", "files", "messages") + f""" SELECT 'repositories' AS name, repository_id AS key FROM runs WHERE repository_id NOT IN {_DEAD}
+  GROUP BY repository_id UNION ALL SELECT 'runs', CAST(id AS VARCHAR) FROM runs WHERE repository_id NOT IN {_DEAD}
+  UNION ALL SELECT 'chunks', CAST(doc_id AS VARCHAR) FROM files WHERE repository_id NOT IN {_DEAD}
+  UNION ALL SELECT 'conversations', CAST(conversation_id AS VARCHAR) FROM messages WHERE concat('src', conversation_id % 20) NOT IN {_DEAD} GROUP BY conversation_id
+  UNION ALL SELECT 'messages', CAST(id AS VARCHAR) FROM messages WHERE concat('src', conversation_id % 20) NOT IN {_DEAD}""")
+def snk_4_tombstones(spark, sf_dir):
+    """The cascade over all five tables of the store, row by row."""
+    log, past = CommitLog(spark, _folder(spark, "store")), runs(spark, sf_dir)
+    messages = table(spark, sf_dir, "messages")
+    owner = F.concat(F.lit("src"), F.col("conversation_id") % 20).alias("repository_id")
+    log.commit({
+        "repositories": past.select(F.col("repository_id").alias("id")).distinct(),
+        "runs": past,
+        "chunks": table(spark, sf_dir, "files").select("repository_id", F.col("doc_id").alias("id")),
+        "conversations": messages.select(F.col("conversation_id").alias("id"), owner).distinct(),
+        "messages": messages.select("id", "conversation_id"),
+    })
+    log.commit({}, gone=past.where((F.col("status") == "failed") & (F.col("id") % 50 == 0)).select("repository_id"))
+    out = None
+    for name in ("repositories", "runs", "chunks", "conversations", "messages"):
+        rows = log.current(name).select(F.lit(name).alias("name"), F.col("id").cast("string").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("str_1_index_stream", f"""{with_tables('files')}, w AS ({windows('files', 'path', 50, 10)}) SELECT path AS file_path, start_line, end_line FROM w""")
 def str_1(spark, sf_dir):
     source, target, state = (_folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))

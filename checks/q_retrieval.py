@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sqltext as q
 from checks.corpus import table, with_tables
 from checks.registry import query
-from codelode.operators import approximate, fusion, keyword, overview, ranking, semantic
+from codelode.operators import approximate, fusion, inverted, keyword, overview, ranking, semantic
 from codelode.plans.search import not_indexed, resolve_runs, search, with_defaults
-from codelode.session import pin_small
+from codelode.session import pin_small, shared_folder
 
 # ---- the same retrieval written in SQL -------------------------------------
 
@@ -138,6 +140,18 @@ def ret_2(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.round("lex_score", 6).alias("lex_score"), "rank")
 
 
+@query("ret_2_keyword_index", ASKED + LEXICAL + " SELECT query_id, chunk_id, round(lex_score, 6) AS lex_score, rank FROM lex")
+def ret_2_index(spark, sf_dir):
+    """The same from an index that is written and read back; the search gets no chunk text."""
+    stored, target = chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    inverted.write_index(inverted.posting_lists(keyword.build_postings(stored), stored), target)
+    found = keyword.keyword_search(
+        asked(spark, sf_dir, "hybrid", "keyword"), stored.withColumn("chunk_text", F.lit(None).cast("string")),
+        index=inverted.read_index(spark, target),
+    )
+    return found.select("query_id", "chunk_id", F.round("lex_score", 6).alias("lex_score"), "rank")
+
+
 @query("ret_3_overview", ASKED + OVERVIEW + " SELECT query_id, chunk_id, round(sem_score, 6) AS sem_score, rank FROM over")
 def ret_3(spark, sf_dir):
     queries = asked(spark, sf_dir)
@@ -246,14 +260,10 @@ def agg_7(spark, sf_dir):
     return keyword.document_frequency(terms, matches, stored).select("repository_id", "term", "df", "n")
 
 
-@query("agg_8_term_coverage", ASKED + LEXICAL + """ SELECT query_id, count(*) AS chunks, round(max(lex_score), 6) AS best,
-  round(min(lex_score), 6) AS worst FROM lex_pairs GROUP BY 1""")
+@query("agg_8_term_coverage", ASKED + LEXICAL + " SELECT query_id, chunk_id, round(lex_score, 6) AS lex_score FROM lex_pairs")
 def agg_8(spark, sf_dir):
     scored = keyword.keyword_scores(asked(spark, sf_dir, "hybrid", "keyword"), chunks(spark, sf_dir))
-    return scored.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.round(F.max("lex_score"), 6).alias("best"),
-        F.round(F.min("lex_score"), 6).alias("worst"),
-    )
+    return scored.select("query_id", "chunk_id", F.round("lex_score", 6).alias("lex_score"))
 
 
 @query("agg_9_max_merge", MERGED + """ SELECT query_id, count(*) AS candidates, round(max(sem_score), 6) AS sem,

@@ -144,6 +144,21 @@ def _quoted(text: Column, kept: str = "") -> Column:
     return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{kept}]", r"\\$0")
 
 
+def passes_filters(path: Column, extensions: Column, prefixes: Column) -> Column:
+    """FLT-7 and FLT-8 of one request on a path; NULL or empty arrays filter nothing.
+
+    Only a prefix with wildcards (``_``, ``%``) needs a regular expression.
+    """
+    ends = F.exists(extensions, lambda e: F.endswith(path, dotted(e)))
+
+    def begins(prefix: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?s)\A"), F.replace(F.replace(_quoted(prefix, "_%"), F.lit("_"), F.lit(".")), F.lit("%"), F.lit(".*")))
+        return F.when(prefix.contains("_") | prefix.contains("%"), F.rlike(path, pattern)).otherwise(F.startswith(path, prefix))
+
+    none = lambda values: F.coalesce(F.size(values), F.lit(0)) <= 0
+    return (none(extensions) | ends) & (none(prefixes) | F.exists(prefixes, begins))
+
+
 def path_filter_pattern(extensions: Column, prefixes: Column) -> Column:
     """FLT-7 and FLT-8 of one request as a pattern for ``rlike`` on a path.
 

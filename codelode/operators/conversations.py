@@ -20,13 +20,13 @@ def owned(requests: DataFrame, conversations: DataFrame) -> DataFrame:
     return requests.join(mine, keys, "left_semi")
 
 
-def record_turns(answers: DataFrame, now: Column) -> DataFrame:
+def record_turns(answers: DataFrame, now: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """SNK-3: the user and the assistant message of each answered request.
 
     ``answers(conversation_id, user_content, answer, evidence, model,
     input_tokens, output_tokens)``; a failed answer has a NULL ``answer`` and
     adds no message. ``position`` orders the two messages of a turn, which share
-    one time stamp.
+    one time stamp. ``carry`` names further columns that both messages keep.
     """
     done = answers.where(F.col("answer").isNotNull())
     stored = evidence_snapshot(F.col("evidence"))
@@ -54,8 +54,8 @@ def record_turns(answers: DataFrame, now: Column) -> DataFrame:
     turn = F.array(
         message("user", "user_content", nothing, 0), message("assistant", "answer", given, 1)
     )
-    rows = done.select("conversation_id", F.explode(turn).alias("m"), now.alias("created_at"))
-    return rows.select("conversation_id", "m.*", "created_at").select(*MESSAGE_COLUMNS)
+    rows = done.select("conversation_id", *carry, F.explode(turn).alias("m"), now.alias("created_at"))
+    return rows.select("conversation_id", *carry, "m.*", "created_at").select(*MESSAGE_COLUMNS, *carry)
 
 
 def touch_conversations(conversations: DataFrame, answers: DataFrame, now: Column) -> DataFrame:

@@ -20,15 +20,19 @@ _VECTOR = T.ArrayType(T.FloatType())
 def hash_coordinates(text: Column, width: int = fixed.EMBEDDING_WIDTH) -> Column:
     """EMB-2: a unit vector of doubles that depends on nothing but the text.
 
-    A coordinate is a hash of its index and the text, spread evenly over -1 to 1.
+    The text is hashed once; a coordinate is a hash of its index and that
+    digest, spread evenly over -1 to 1.
     """
 
-    def coordinate(index: Column) -> Column:
-        digest = F.md5(F.concat(index.cast("string"), F.lit(":"), text).cast("binary"))
+    def coordinate(index: Column, whole: Column) -> Column:
+        digest = F.md5(F.concat(index.cast("string"), F.lit(":"), whole).cast("binary"))
         number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
         return number / F.lit(2.0**31) - F.lit(1.0)
 
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), coordinate)
+    # The digest is an element of an array, so that it is worked out once a row and not once a coordinate.
+    indexes = F.sequence(F.lit(0), F.lit(width - 1))
+    whole = F.array(F.sha2(text.cast("binary"), 256))
+    raw = F.flatten(F.transform(whole, lambda d: F.transform(indexes, lambda i: coordinate(i, d))))
     length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
     return F.transform(raw, lambda x: x / length)
 
@@ -37,7 +41,8 @@ def hash_embedding(width: int = fixed.EMBEDDING_WIDTH) -> Embedder:
     """EMB-2 as a function on texts, for callers that need an embedder."""
 
     def many(texts: list[str]) -> list[list[float]]:
-        digests = [[hashlib.md5(f"{i}:{t}".encode()).digest()[:4] for i in range(width)] for t in texts]
+        whole = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        digests = [[hashlib.md5(f"{i}:{d}".encode()).digest()[:4] for i in range(width)] for d in whole]
         raw = np.array([[int.from_bytes(d, "big") for d in row] for row in digests], float).reshape(len(texts), width)
         raw = raw / 2.0**31 - 1.0
         return (raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).tolist()
@@ -69,6 +74,33 @@ def embed(
     return df.withColumn(into, vectors(F.col(text_col)))
 
 
+def try_embed(
+    df: DataFrame,
+    text_col: str,
+    fn: Embedder,
+    batch: int = fixed.EMBEDDING_SLICE,
+) -> DataFrame:
+    """EMB-1 for tables that must survive ``fn``: ``embedding``, and ``embed_error`` where a slice failed."""
+
+    @F.pandas_udf("embedding array<float>, embed_error string")
+    def vectors(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            out, errors = [], []
+            for start in range(0, len(texts), batch):
+                part = texts.iloc[start : start + batch].tolist()
+                try:
+                    found, error = fn(part), None
+                    if len(found) != len(part):
+                        found, error = [None] * len(part), "the embedding function must return one vector per text"
+                except Exception as failure:  # whatever the caller's function raises is reported, not passed on
+                    found, error = [None] * len(part), f"{type(failure).__name__}: {failure}"
+                out += found
+                errors += [error] * len(part)
+            yield pd.DataFrame({"embedding": out, "embed_error": errors})
+
+    return df.withColumn("_v", vectors(F.col(text_col))).select("*", "_v.embedding", "_v.embed_error").drop("_v")
+
+
 def check_dimension(
     df: DataFrame, width: int = fixed.EMBEDDING_WIDTH, column: str = "embedding"
 ) -> tuple[DataFrame, DataFrame]:

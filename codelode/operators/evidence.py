@@ -121,6 +121,7 @@ def build_context(
             questions = questions.withColumn(name, default)
     evidence = select_evidence(results, lowest)
     qualifying = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("qualifying"))
+    considered = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("considered"))
     fitted = fit_evidence(evidence, questions, system_text, budget)
     snapshot = F.struct(
         "evidence_rank", "chunk_id", "file_path", "start_line", "end_line", "language", "name",
@@ -133,6 +134,7 @@ def build_context(
     rows = (
         questions.withColumn("base", base_tokens(system_text, F.col("question")))
         .join(qualifying, "query_id", "left")
+        .join(considered, "query_id", "left")
         .join(packed, "query_id", "left")
         .withColumn("qualifying", F.coalesce("qualifying", F.lit(0)))
         .withColumn("fitted", F.coalesce(F.size("evidence"), F.lit(0)))
@@ -183,6 +185,7 @@ def build_context(
         "qualifying",
         F.when(ready, F.col("fitted")).alias("evidence_used"),
         F.when(ready, F.size(past)).alias("history_used"),
+        F.when(ready, F.coalesce("considered", F.lit(0))).alias("evidence_considered"),
     )
 
 

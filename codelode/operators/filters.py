@@ -79,7 +79,7 @@ def _too_long(name: str, limit: int) -> tuple[Column, str]:
     return F.length(name) > limit, f"{name}_too_long"
 
 
-def _request_rules(columns: set[str]) -> list[tuple[Column, str]]:
+def _request_rules(columns: set[str], max_top_k: int) -> list[tuple[Column, str]]:
     rules: list[tuple[Column, str]] = []
 
     def col(name: str) -> Column:
@@ -89,7 +89,7 @@ def _request_rules(columns: set[str]) -> list[tuple[Column, str]]:
         if name in columns:
             rules += [(col(name).isNull() | (col(name) == ""), f"{name}_empty"), _too_long(name, limit)]
     if "top_k" in columns:
-        rules.append((~col("top_k").between(1, fixed.MAX_TOP_K), "top_k_out_of_range"))
+        rules.append((~col("top_k").between(1, max_top_k), "top_k_out_of_range"))
     if "min_score" in columns:
         rules.append((~col("min_score").between(0.0, 1.0), "min_score_out_of_range"))
     if "mode" in columns:
@@ -112,8 +112,8 @@ def _request_rules(columns: set[str]) -> list[tuple[Column, str]]:
     return rules
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
+def validate_requests(requests: DataFrame, max_top_k: int = fixed.MAX_TOP_K) -> DataFrame:
     """FLT-14: add ``errors`` and ``valid``, checking whichever columns exist."""
-    rules = _request_rules(set(requests.columns))
+    rules = _request_rules(set(requests.columns), max_top_k)
     errors = F.array_compact(F.array(*[F.when(bad, code) for bad, code in rules]))
     return requests.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)

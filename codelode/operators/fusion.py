@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from codelode import fixed
 from codelode.functions import text as tx
 from codelode.operators.ranking import top_k
-from codelode.session import maybe_broadcast
+from codelode.session import maybe_broadcast, store
+
+SCOPE = ["repository_id", "ingestion_id"]
+# Candidate keys that a filter may have: 16 MB of bits in every task.
+FILTER_KEYS = 1 << 23
 
 # Lists are merged in this order; a chunk's place is where it is first seen.
 SEMANTIC, OVERVIEW, KEYWORD = 0, 1, 2
-# Two lists of 2 x top_k and the overview list.
-MOST_CANDIDATES = 2 * fixed.CANDIDATE_FACTOR * fixed.MAX_TOP_K + fixed.OVERVIEW_LIMIT
 
 
 def candidate_list(found: DataFrame, source: int) -> DataFrame:
@@ -41,16 +45,47 @@ def merge_candidates(*lists: DataFrame) -> DataFrame:
     )
 
 
+def with_candidate_keys(chunks: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """Rows of ``chunks`` whose id may be among ``count`` candidate ``keys(chunk_id)``: all of those and about one in 50 others.
+
+    A bit map of 16 bits a key, two of them set for each, goes to every task; only ids go to the Python worker, texts stay.
+    """
+    bits = 1 << max(10, (16 * count - 1).bit_length())
+    hashed = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("chunk_id", F.lit(i)), F.lit(bits)) for i in (1, 2)])).alias("at"))
+    words = hashed.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toPandas()
+    found = np.zeros(bits >> 6, np.int64)
+    found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = chunks.sparkSession.sparkContext.broadcast(found.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def may_be(first: pd.Series, second: pd.Series) -> pd.Series:
+        held, passed = shared.value, np.ones(len(first), bool)
+        for at in (first.to_numpy(np.int64), second.to_numpy(np.int64)):
+            passed &= (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(passed)
+
+    places = [F.pmod(F.xxhash64("chunk_id", F.lit(i)), F.lit(bits)) for i in (1, 2)]
+    return chunks.where(may_be(*places))
+
+
 def fuse(merged: DataFrame, queries: DataFrame, chunks: DataFrame, small: bool = False) -> DataFrame:
     """RET-4: scored, filtered and ranked candidates with their chunk columns.
 
-    ``chunks`` text is read only here, for the few candidate rows.
-    ``small`` says that the number of queries has been checked.
+    ``chunks`` text is read only here, for the few candidate rows: candidates
+    meet chunks on repository, run and id. With few queries (``small``, checked)
+    they are copied to every task; else they are stored, and a filter of their
+    keys keeps the text of other chunks out of the shuffle, up to ``FILTER_KEYS``.
     """
-    asked = queries.select("query_id", "query", "top_k", "min_score")
-    rows = chunks.join(maybe_broadcast(merged, small), "chunk_id").join(
-        maybe_broadcast(asked, small), "query_id"
-    )
+    asked = queries.select("query_id", *SCOPE, "query", "top_k", "min_score")
+    if small:
+        placed = maybe_broadcast(merged.join(maybe_broadcast(asked, True), "query_id"), True)
+    else:
+        placed = store(merged.join(asked, "query_id"), "candidates")
+        keys = placed.select("chunk_id").distinct()
+        count = keys.count()
+        if count <= FILTER_KEYS:
+            chunks = with_candidate_keys(chunks, keys, count)
+    rows = chunks.join(placed, [*SCOPE, "chunk_id"])
     path, name, query = F.col("file_path"), F.col("name"), F.col("query")
     lowered = F.lower(tx.strip(query))
     symbol = F.coalesce((name != "") & (F.lower(name) == lowered), F.lit(False))
@@ -81,7 +116,8 @@ def fuse(merged: DataFrame, queries: DataFrame, chunks: DataFrame, small: bool =
         .where(F.col("min_score").isNull() | (F.col("raw_score") >= F.col("min_score")))
     )
     order = [F.col("raw_score").desc(), F.col("first_seen"), F.col("chunk_id")]
-    best = top_k(scored, ["query_id"], order, fixed.MAX_TOP_K, F.col("top_k"))
+    # A query has two lists of twice its limit and the overview list, no more.
+    best = top_k(scored, ["query_id"], order, None, F.col("top_k"))
     return best.select(
         "query_id", "rank", "chunk_id", "file_path", "start_line", "end_line", "language",
         F.coalesce("chunk_type", F.lit("block")).alias("chunk_type"),

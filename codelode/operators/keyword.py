@@ -5,7 +5,9 @@ two-character pairs around characters outside ``a-z0-9`` together with the
 token they stand in. A query term has exactly one key, so terms meet chunks in
 an equi-join on (repository, run, key); a term that is not a plain word is then
 confirmed as a substring of the token. Terms hold no white space, so a
-substring of the text is always inside one white-space token.
+substring of the text is always inside one white-space token. What a term meets
+goes on as packed lists of chunk ids (``inverted``), and the best chunks of a
+query come from its lists, heaviest term first, until no other can catch up.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode import fixed
 from codelode.functions import scores, text as tx
+from codelode.operators import inverted
 from codelode.operators.ranking import top_k
 from codelode.session import is_small, maybe_broadcast, store
 
 SCOPE = ["repository_id", "ingestion_id"]
 # Distinct terms that may be copied to every task; most take under 100 bytes.
 TERM_ROWS = 500_000
+# Distinct keys that may be named one by one in a filter of the kept index.
+NAMED_KEYS = 2_000
 _SPECIAL = "[^a-z0-9]"
 _PAIR = rf".{_SPECIAL}|{_SPECIAL}."
 _WORD = r"\A[a-z0-9]+\z"
@@ -106,7 +111,12 @@ def term_matches(terms: DataFrame, postings: DataFrame, small: bool) -> DataFram
 def document_frequency(terms: DataFrame, matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """AGG-7: df and N of every asked term over the whole run; absent terms have df 0."""
     sizes = chunks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
-    found = matches.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
+    return _frequencies(terms, matches.select(*SCOPE, "term", F.lit(1).alias("df")), sizes)
+
+
+def _frequencies(terms: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """df and N of every asked term from partial counts ``found(scope, term, df)``."""
+    found = found.groupBy(*SCOPE, "term").agg(F.sum("df").alias("df"))
     asked = terms.select(*SCOPE, "term", "match_key").distinct().drop("match_key")
     return (
         asked.join(found, [*SCOPE, "term"], "left")
@@ -135,39 +145,88 @@ def symbol_matches(queries: DataFrame, chunks: DataFrame, small: bool) -> DataFr
     return named.join(maybe_broadcast(asked, small), [*SCOPE, "symbol"]).drop("symbol")
 
 
+def term_lists(
+    terms: DataFrame,
+    chunks: DataFrame,
+    postings: DataFrame | None = None,
+    index: DataFrame | None = None,
+    small: bool = False,
+) -> DataFrame:
+    """One packed list of chunk ids per asked (scope, term, shard), from the kept ``index`` or from ``postings``."""
+    if index is None:
+        matches = term_matches(terms, build_postings(chunks) if postings is None else postings, small)
+        shards = chunks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("_n"))
+        rows = matches.join(shards, SCOPE).withColumn("shard", inverted.shard_of("chunk_id", "_n"))
+        return inverted.pack(rows, ["term"])
+    wanted = terms.select(*SCOPE, "term", "match_key").distinct()
+    small = small or is_small(wanted, TERM_ROWS)
+    if small:
+        # Keys named one by one reach the reader, which skips the row groups of all others.
+        keys = [r.match_key for r in wanted.select("match_key").distinct().limit(NAMED_KEYS + 1).collect()]
+        if len(keys) <= NAMED_KEYS:
+            index = index.where(F.col("match_key").isin(*keys))
+    met = index.join(maybe_broadcast(wanted, small), [*SCOPE, "match_key"])
+    return inverted.merge_lists(met.where(F.col("token").isNull() | F.contains("token", "term")))
+
+
+def _lexical(
+    queries: DataFrame,
+    chunks: DataFrame,
+    postings: DataFrame | None,
+    index: DataFrame | None,
+    small: bool,
+    best_only: bool,
+) -> DataFrame:
+    """(query_id, chunk_id, lex_score) of chunks that match a term or are the named symbol.
+
+    With ``best_only``, of the chunks that pass a request's filters the ``candidate_k`` best of each shard.
+    """
+    asked_scopes = queries.select(*SCOPE).distinct()
+    chunks = chunks.join(maybe_broadcast(asked_scopes, small), SCOPE, "left_semi")
+    terms = query_terms(queries)
+    # Read twice below; stored, so that the text of all chunks is read once.
+    lists = store(term_lists(terms, chunks, postings, index, small), "term-lists")
+    found = lists.select(*SCOPE, "term", F.col("n").alias("df"))
+    sizes = chunks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
+    weighted = weighted_terms(terms, _frequencies(terms, found, sizes))
+    filtered = F.lit(False)
+    k, passing = F.lit(2**31 - 1), None
+    if best_only:
+        k = F.col("candidate_k")
+        filtered = (F.coalesce(F.size("file_extensions"), F.lit(0)) > 0) | (F.coalesce(F.size("file_paths"), F.lit(0)) > 0)
+        asked = queries.where(filtered).select("query_id", *SCOPE, "file_extensions", "file_paths")
+        paths = chunks.select(*SCOPE, "chunk_id", "file_path").join(sizes, SCOPE)
+        met = paths.join(maybe_broadcast(asked, small), SCOPE).where(
+            tx.passes_filters(F.col("file_path"), F.col("file_extensions"), F.col("file_paths"))
+        )
+        shard = inverted.shard_of("chunk_id", "n")
+        passing = met.groupBy("query_id", shard.alias("shard")).agg(
+            F.array_sort(F.collect_list(F.col("chunk_id").cast("bigint"))).alias("allowed")
+        )
+    limits = queries.select("query_id", k.alias("candidate_k"), filtered.alias("filtered"))
+    weighted = weighted.join(maybe_broadcast(limits, small), "query_id")
+    by_term = inverted.best_chunks(weighted, lists, passing)
+    exact = symbol_matches(queries, chunks, small)
+    if best_only:
+        filters = queries.select("query_id", "file_extensions", "file_paths")
+        exact = exact.join(maybe_broadcast(filters, small), "query_id").where(
+            tx.passes_filters(F.col("file_path"), F.col("file_extensions"), F.col("file_paths"))
+        )
+    scored = by_term.select("query_id", "chunk_id", scores.coverage(F.col("units"), F.col("total_units")).alias("lex_score"))
+    named = exact.select("query_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.lit(1.0).alias("lex_score"))
+    return scored.unionByName(named).groupBy("query_id", "chunk_id").agg(F.max("lex_score").alias("lex_score"))
+
+
 def keyword_scores(
     queries: DataFrame,
     chunks: DataFrame,
     postings: DataFrame | None = None,
     small: bool | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-8 for every chunk that matches a term or is the named symbol."""
     small = is_small(queries) if small is None else small
-    asked_scopes = queries.select(*SCOPE).distinct()
-    chunks = chunks.join(maybe_broadcast(asked_scopes, small), SCOPE, "left_semi")
-    if postings is None:
-        postings = build_postings(chunks)
-    terms = query_terms(queries)
-    # Read twice below; stored, so that the text of all chunks is read once.
-    matches = store(term_matches(terms, postings, small), "term-matches")
-    weighted = weighted_terms(terms, document_frequency(terms, matches, chunks))
-    by_term = matches.join(maybe_broadcast(weighted, small), [*SCOPE, "term"]).select(
-        "query_id", "chunk_id", "file_path", "units", "total_units", F.lit(False).alias("exact")
-    )
-    exact = symbol_matches(queries, chunks, small).select(
-        "query_id", "chunk_id", "file_path",
-        F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("total_units"),
-        F.lit(True).alias("exact"),
-    )
-    pairs = by_term.unionByName(exact).groupBy("query_id", "chunk_id", "file_path").agg(
-        F.sum("units").alias("units"),
-        F.max("total_units").alias("total_units"),
-        F.bool_or("exact").alias("exact"),
-    )
-    score = F.when(F.col("exact"), F.lit(1.0)).otherwise(
-        scores.coverage(F.col("units"), F.col("total_units"))
-    )
-    return pairs.select("query_id", "chunk_id", "file_path", score.alias("lex_score"))
+    return _lexical(queries, chunks, postings, index, small, best_only=False)
 
 
 def keyword_search(
@@ -175,20 +234,18 @@ def keyword_search(
     chunks: DataFrame,
     postings: DataFrame | None = None,
     small: bool | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """RET-2: ``(query_id, chunk_id, lex_score, rank)``, the best ``candidate_k`` per query.
 
     Path and extension filters narrow the result rows only; df and N count
-    the whole run.
+    the whole run. With ``index`` (``inverted.read_index``) no chunk text is
+    read. ``chunk_id`` is a whole number.
     """
     small = is_small(queries) if small is None else small
-    found = keyword_scores(queries, chunks, postings, small)
-    pattern = tx.path_filter_pattern(F.col("file_extensions"), F.col("file_paths"))
-    limits = queries.select("query_id", "candidate_k", pattern.alias("path_pattern"))
-    rows = found.join(maybe_broadcast(limits, small), "query_id").where(
-        F.rlike("file_path", "path_pattern")
-    )
+    found = _lexical(queries, chunks, postings, index, small, best_only=True)
+    limits = queries.select("query_id", "candidate_k")
+    rows = found.join(maybe_broadcast(limits, small), "query_id")
     order = [F.col("lex_score").desc(), F.col("chunk_id")]
-    most = fixed.CANDIDATE_FACTOR * fixed.MAX_TOP_K
-    best = top_k(rows, ["query_id"], order, most, F.col("candidate_k"))
+    best = top_k(rows, ["query_id"], order, None, F.col("candidate_k"))
     return best.select("query_id", "chunk_id", "lex_score", "rank")

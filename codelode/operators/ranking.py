@@ -24,7 +24,7 @@ def top_k(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    most: int,
+    most: int | None,
     limit: Column | None = None,
     rank: str = "rank",
 ) -> DataFrame:
@@ -32,10 +32,14 @@ def top_k(
 
     ``most`` is a literal upper bound of ``limit``; a row with a higher limit
     fails the query. Spark cuts every task's rows at the literal before the
-    shuffle, so a hot key sends little.
+    shuffle, so a hot key sends little. ``most`` None takes any limit, for rows
+    that their source has already cut to a few times the limit of each key.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    cut = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= most)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    if most is None:
+        return ranked.where(F.col(rank) <= limit)
+    cut = ranked.where(F.col(rank) <= most)
     if limit is None:
         return cut
     fail = F.raise_error(F.lit(f"a limit exceeds the bound of {most} rows")).cast("int")

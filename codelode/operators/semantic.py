@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from codelode import fixed
 from codelode.functions.text import dotted
 from codelode.operators.ranking import top_k
 from codelode.session import BROADCAST_ROWS, is_small, maybe_broadcast
@@ -27,7 +26,6 @@ SCOPE = ["repository_id", "ingestion_id"]
 CHUNK_CELL_ROWS = 32_768
 QUERY_CELL_ROWS = 4_096
 SCOPE_ROWS = 100_000
-_MOST = fixed.CANDIDATE_FACTOR * fixed.MAX_TOP_K
 # Scores are compared to 12 places: the last bits of a matrix product depend on
 # where a row falls in its block.
 _PLACES = 12
@@ -246,14 +244,11 @@ def semantic_search(
 ) -> DataFrame:
     """RET-1 (exact): ``(query_id, chunk_id, sem_score, rank)``.
 
-    ``queries`` has ``query_vector``, ``candidate_k`` (at most 100) and the
-    filter arrays; filters apply before the limit.
+    ``queries`` has ``query_vector``, ``candidate_k`` and the filter arrays;
+    filters apply before the limit.
     """
     partial = semantic_scores(queries, chunks, broadcast_rows)
-    limits = queries.select("query_id", "candidate_k")
-    best = top_k(
-        partial, ["query_id"], [F.col("sem_score").desc(), F.col("chunk_id")], _MOST
-    )
-    return best.join(limits, "query_id").where(F.col("rank") <= F.col("candidate_k")).drop(
-        "candidate_k"
-    )
+    limited = partial.join(queries.select("query_id", "candidate_k"), "query_id")
+    order = [F.col("sem_score").desc(), F.col("chunk_id")]
+    # Every task or cell has cut its rows to the query's own limit.
+    return top_k(limited, ["query_id"], order, None, F.col("candidate_k")).drop("candidate_k")

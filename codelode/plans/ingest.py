@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode import fixed
+from codelode.operators import inverted
 from codelode.operators.chunking import chunk_corpus
-from codelode.operators.embedding import Embedder, embed
+from codelode.operators.embedding import Embedder, embed, try_embed
+from codelode.operators.keyword import build_postings
 from codelode.operators.profile import profile_repository, scan_files
+from codelode.session import store
 from codelode.sources.archives import expand_archives
+from codelode.sources.commits import CommitLog
 
 
 @dataclass(frozen=True)
@@ -82,3 +86,44 @@ def ingest(
         chunks = embed(chunks, "chunk_text", fn)
     listed = [by_run(df).drop("archive") for df in (profile.directories, profile.files)]
     return Ingested(runs, chunks, *listed)
+
+
+def chunk_ids(chunks: DataFrame) -> DataFrame:
+    """Add ``chunk_id``, which a repeated ingest of the same run gives again."""
+    named = ("repository_id", "ingestion_id", "file_path", "start_line", "end_line", "chunk_type", "name", "content_hash")
+    return chunks.withColumn("chunk_id", F.xxhash64(*named))
+
+
+def ingest_into(
+    log: CommitLog, archives: DataFrame, fn: Embedder | None, run_ts: Column, **options
+) -> DataFrame:
+    """RUN-2 with its writes: runs, repository status, chunks and their inverted index, in one commit.
+
+    A run whose texts could not be embedded is completed all the same, without
+    chunks, and its repository keeps the chunks that it has; a repository is
+    ``ready`` after a completed run and ``failed`` after another. Returns
+    ``(repository_id, ingestion_id, error)`` of the runs left without chunks.
+    """
+    run = ["repository_id", "ingestion_id"]
+    made = ingest(archives, None, run_ts, **options)
+    chunks = chunk_ids(made.chunks)
+    runs = store(made.runs, "runs")
+    if fn is None:
+        chunks = store(chunks, "chunks")
+        failed = chunks.select(*run, F.lit(None).cast("string").alias("error")).limit(0)
+    else:
+        chunks = store(try_embed(chunks, "chunk_text", fn), "chunks")
+        failed = chunks.where("embed_error IS NOT NULL").groupBy(*run).agg(F.min("embed_error").alias("error"))
+        failed = store(failed, "not-embedded")
+        chunks = chunks.drop("embed_error").join(failed.select(*run), run, "left_anti")
+    newest = runs.groupBy("repository_id").agg(F.max_by("status", "id").alias("status"))
+    status = F.when(F.col("status") == "completed", "ready").otherwise("failed")
+    log.commit(
+        {
+            "runs": runs,
+            "repository_status": newest.select("repository_id", status.alias("status")),
+            "chunks": chunks,
+            "postings": inverted.posting_lists(build_postings(chunks), chunks),
+        }
+    )
+    return failed

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode import fixed
 from codelode.operators import fusion
+from codelode.operators.filters import validate_requests
 from codelode.operators.keyword import keyword_search
 from codelode.operators.overview import overview_search
 from codelode.operators.ranking import latest_run
@@ -50,18 +51,38 @@ def not_indexed(queries: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.select("query_id", "repository_id", F.lit("not_indexed").alias("status"))
 
 
+def answer_requests(
+    queries: DataFrame,
+    chunks: DataFrame,
+    runs: DataFrame,
+    max_top_k: int = fixed.MAX_TOP_K,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """RET-5 for requests of any kind: (ranked chunks, refused requests).
+
+    FLT-14 decides which requests are valid; the others come back as
+    ``(query_id, repository_id, errors)`` and keep no valid one from its answer.
+    """
+    checked = validate_requests(with_defaults(queries), max_top_k)
+    refused = checked.where(~F.col("valid")).select("query_id", "repository_id", "errors")
+    good = checked.where("valid").drop("errors", "valid", "candidate_k")
+    return search(good, chunks, runs, **options), refused
+
+
 def search(
     queries: DataFrame,
     chunks: DataFrame,
     runs: DataFrame,
     postings: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """RET-5: ranked chunks per query.
 
     ``queries(query_id, repository_id, query, query_vector, ...)`` holds valid
-    requests; see ``filters.validate_requests``. ``not_indexed`` lists the
-    queries that cannot be answered.
+    requests; see ``answer_requests``. ``not_indexed`` lists the queries that
+    cannot be answered. With ``index`` (``inverted.read_index`` or the
+    ``postings`` of a commit log) words are looked up, not read from the texts.
     """
     resolved = resolve_runs(with_defaults(queries), runs)
     asked, small = pin_small(
@@ -79,7 +100,7 @@ def search(
     )
     wants = lambda *modes: asked.where(F.col("mode").isin(*modes))
     semantic = semantic_search(wants("hybrid", "semantic"), scoped, broadcast_rows)
-    keyword = keyword_search(wants("hybrid", "keyword"), scoped, postings, small)
+    keyword = keyword_search(wants("hybrid", "keyword"), scoped, postings, small, index)
     # A keyword-only search has no query vector, so its overview rows score 0.
     vector = F.when(F.col("mode") != "keyword", F.col("query_vector"))
     overview = overview_search(asked.withColumn("query_vector", vector), scoped)

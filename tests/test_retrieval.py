@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from codelode import fixed
 from codelode.functions import text as tx
-from codelode.operators import approximate, fusion, keyword, overview, semantic
-from codelode.plans.search import not_indexed, search, with_defaults
+from codelode.operators import approximate, fusion, inverted, keyword, overview, semantic, vector_lists
+from codelode.plans.search import answer_requests, not_indexed, search, with_defaults
 
 CHUNK = (
     "chunk_id long, repository_id int, ingestion_id int, file_path string, language string, chunk_type string, name string, "
@@ -221,3 +221,146 @@ def test_approximate_search_recall(spark):
     some = pairs(approximate.approx_semantic_search(asked, chunks, groups, 2))
     assert len(exact & some) / len(exact) >= 0.9
     assert pairs(approximate.approx_semantic_search(asked, chunks, groups, 6)) == exact
+
+
+def test_posting_lists_round_trip():
+    draw = random.Random(8)
+    for size in (0, 1, 127, 128, 129, 1000):
+        for most in (300, 70_000, 1 << 33, (1 << 62) - 1):
+            ids = np.array(sorted({draw.randint(-most, most) for _ in range(size)}), np.int64)
+            stored = inverted.PostingList(*inverted.encode(ids))
+            assert stored.ids().tolist() == ids.tolist()
+            wanted = np.array(sorted({*draw.sample(ids.tolist(), len(ids) // 3), *(draw.randint(-most, most) for _ in range(20))}), np.int64)
+            assert stored.contains(wanted).tolist() == [i in set(ids.tolist()) for i in wanted.tolist()]
+    far = inverted.PostingList(*inverted.encode(np.arange(0, 100_000, 7)))
+    far.contains(np.array([7, 8, 99_995]))
+    assert far.decoded - 0 == 2  # two of 112 blocks
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_best_of_shard_equals_all_sums(k):
+    draw = random.Random(k)
+    for _ in range(60):
+        units = [draw.choice([1, 2, 5, 40, 40, 300]) for _ in range(draw.randint(1, 8))]
+        lists = [sorted(draw.sample(range(400), draw.randint(0, 1 + 1200 // u % 399))) for u in units]
+        allowed = None if draw.random() < 0.5 else sorted(draw.sample(range(400), 150))
+        sums = {}
+        for u, ids in zip(units, lists, strict=True):
+            for i in ids:
+                if allowed is None or i in allowed:
+                    sums[i] = sums.get(i, 0) + u
+        want = sorted(sums.items(), key=lambda s: (-s[1], s[0]))[:k]
+        packed = [inverted.PostingList(*inverted.encode(np.array(ids, np.int64))) for ids in lists]
+        ids, got, formed = inverted.best_of_shard(packed, units, k, None if allowed is None else np.array(allowed))
+        assert list(zip(ids.tolist(), got.tolist(), strict=True)) == want
+        assert formed <= len(sums)
+
+
+def test_the_threshold_keeps_chunks_of_frequent_terms_from_being_formed():
+    rare, common = np.arange(0, 400, 10), np.arange(20_000)
+    packed = [inverted.PostingList(*inverted.encode(x)) for x in (common, rare)]
+    ids, _sums, formed = inverted.best_of_shard(packed, [3, 50], 10, None)
+    # The k-th best score is 53 after the rare term; a chunk with the common term alone has 3 and is never formed.
+    assert formed == len(rare) and ids.tolist() == list(range(0, 100, 10))
+    assert packed[0].decoded <= 4
+
+
+@pytest.mark.parametrize("seed, small", [(1, True), (2, False)])
+def test_the_kept_index_gives_the_same_result(spark, tmp_path, monkeypatch, seed, small):
+    monkeypatch.setattr(inverted, "SHARD", 16)
+    monkeypatch.setattr(inverted, "BLOCK", 4)
+    rows, queries = corpus(seed)
+    chunks, asked = spark.createDataFrame(rows, CHUNK), spark.createDataFrame(queries, QUERY)
+    inverted.write_index(inverted.posting_lists(keyword.build_postings(chunks), chunks), str(tmp_path / "index"))
+    index = inverted.read_index(spark, str(tmp_path / "index"))
+    assert index.select("shard").distinct().count() > 3
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(keyword.keyword_search(asked, chunks, small=small))
+    blind = chunks.withColumn("chunk_text", F.lit("the index is read, not this"))
+    assert order(keyword.keyword_search(asked, blind, small=small, index=index)) == want
+    terms = {r.query_id: sorted({t.lower() for t in r.t}) for r in asked.select("query_id", tx.lexical_terms(F.col("query")).alias("t")).collect()}
+    got = {}
+    for q, c, s, _r in sorted(want, key=lambda r: (r[0], r[3])):
+        got.setdefault(q, []).append((c, pytest.approx(s, abs=1e-9)))
+    for q in queries:
+        assert keyword_by_hand(rows, q, terms[q[0]]) == got.get(q[0], [])
+
+
+def test_a_new_run_replaces_the_lists_of_its_repository_only(spark, tmp_path):
+    target = str(tmp_path / "index")
+    write = lambda rows: inverted.write_index(inverted.posting_lists(keyword.build_postings(df := spark.createDataFrame(rows, CHUNK)), df), target)
+    write([chunk(1, "a.py", "old words", run=1), chunk(2, "b.py", "other", repo=2, run=1)])
+    write([chunk(3, "a.py", "new words", run=2)])
+    found = {(r.repository_id, r.ingestion_id, r.match_key) for r in inverted.read_index(spark, target).collect()}
+    assert (1, 2, "new") in found and (2, 1, "other") in found and not any(r == 1 and i == 1 for r, i, _ in found)
+
+
+def test_each_request_has_its_own_limit_and_invalid_ones_get_their_reasons(spark):
+    from datetime import datetime as dt
+
+    rows = [chunk(i, f"f{i}.py", f"verify token {i}") for i in range(80)]
+    runs = spark.createDataFrame([(1, 1, "completed", dt(2026, 1, 1))], RUN)
+    asked = spark.createDataFrame(
+        [(1, 1, "verify token", "keyword", 70), (2, 1, "", "keyword", 5), (3, 1, "token", "keyword", 3), (4, 1, "token", "odd", 0), (5, 1, "token", "keyword", 71)],
+        "query_id long, repository_id int, query string, mode string, top_k int",
+    )
+    found, refused = answer_requests(asked, spark.createDataFrame(rows, CHUNK), runs, max_top_k=70)
+    counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    assert counts == {1: 70, 3: 3}
+    reasons = {r["query_id"]: sorted(r["errors"]) for r in refused.collect()}
+    assert reasons == {2: ["query_empty"], 4: ["mode_unknown", "top_k_out_of_range"], 5: ["top_k_out_of_range"]}
+
+
+def clustered(seed=3, n=600, width=32):
+    draw = random.Random(seed)
+    centers = [[draw.gauss(0, 1) for _ in range(width)] for _ in range(8)]
+    near = lambda: [x + draw.gauss(0, 0.4) for x in draw.choice(centers)]
+    rows = [chunk(i, draw.choice(["src/", "docs/"]) + f"f{i}.py", "t", None, near() if i % 9 else None, repo=1 + (i % 5 == 0)) for i in range(n)]
+    asked = [ask(i, "q", near(), 5, repo=1 + i % 2, paths=["src/"] if i % 3 == 0 else None) for i in range(24)]
+    return rows, asked
+
+
+def test_stored_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_lists, "TOGETHER", 10)
+    rows, queries = clustered()
+    chunks, asked = spark.createDataFrame(rows, CHUNK), spark.createDataFrame(queries, QUERY)
+    lists = vector_lists.fit_lists(chunks, 8, 8)
+    vector_lists.write_lists(vector_lists.coded(chunks, lists), str(tmp_path / "lists"))
+    stored = vector_lists.read_lists(spark, str(tmp_path / "lists"))
+    pairs = lambda df: {(r.query_id, r.chunk_id, round(r.sem_score, 9), r.rank) for r in df.collect()}
+    exact = pairs(semantic.semantic_search(asked, chunks))
+    assert pairs(vector_lists.lists_search(asked, stored, lists, 8, None)) == exact
+    some = {(q, c) for q, c, *_ in pairs(vector_lists.lists_search(asked, stored, lists, 3))}
+    assert len(some & {(q, c) for q, c, *_ in exact}) / len(exact) >= 0.9
+    assert vector_lists.lists_search(asked.limit(0), stored, lists, 3).collect() == []
+
+
+def test_a_search_opens_only_the_lists_that_it_probes(spark, tmp_path):
+    rows, queries = clustered(5)
+    chunks = spark.createDataFrame(rows, CHUNK)
+    lists = vector_lists.fit_lists(chunks, 8, 4)
+    vector_lists.write_lists(vector_lists.coded(chunks, lists), str(tmp_path / "lists"))
+    stored = vector_lists.read_lists(spark, str(tmp_path / "lists"))
+    one = spark.createDataFrame(queries[1:2], QUERY)
+    plan = vector_lists.lists_search(one, stored, lists, 2)._jdf.queryExecution().toString()
+    filters = re.findall(r"PartitionFilters: \[[^\]]*list#\d+ IN \((\d+),(\d+)\)", plan)
+    assert filters and all(a != b for a, b in filters) and "code" in plan
+
+
+def test_fused_rows_are_fetched_by_their_keys(spark, monkeypatch):
+    """Beyond the broadcast only rows that a filter of candidate keys lets pass meet the join; the result is the same."""
+    rows, queries = corpus(21)
+    chunks = spark.createDataFrame(rows, CHUNK)
+    asked = spark.createDataFrame(queries, QUERY)
+    merged = fusion.merge_candidates(
+        fusion.candidate_list(semantic.semantic_search(asked, chunks), fusion.SEMANTIC),
+        fusion.candidate_list(keyword.keyword_search(asked, chunks), fusion.KEYWORD),
+    )
+    order = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    want = order(fusion.fuse(merged, asked, chunks, small=True))
+    assert order(fusion.fuse(merged, asked, chunks, small=False)) == want
+    monkeypatch.setattr(fusion, "FILTER_KEYS", 3)  # more candidates than a filter may have
+    assert order(fusion.fuse(merged, asked, chunks, small=False)) == want
+    keys = spark.createDataFrame([(i,) for i in range(0, 4000, 40)], "chunk_id long")
+    passed = fusion.with_candidate_keys(spark.range(4000).withColumnRenamed("id", "chunk_id"), keys, 100)
+    assert 100 <= passed.count() < 250 and passed.join(keys, "chunk_id", "left_semi").count() == 100
