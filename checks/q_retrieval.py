@@ -144,7 +144,7 @@ def ret_2(spark, sf_dir):
 def ret_2_index(spark, sf_dir):
     """The same from an index that is written and read back; the search gets no chunk text."""
     stored, target = chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    inverted.write_index(inverted.posting_lists(keyword.build_postings(stored), stored), target)
+    inverted.write_index(inverted.posting_lists(keyword.build_postings(stored, by_chunk=True), stored), target)
     found = keyword.keyword_search(
         asked(spark, sf_dir, "hybrid", "keyword"), stored.withColumn("chunk_text", F.lit(None).cast("string")),
         index=inverted.read_index(spark, target),

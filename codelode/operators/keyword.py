@@ -77,10 +77,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.withColumn("match_key", _term_key(F.col("term")))
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
+def build_postings(chunks: DataFrame, by_chunk: bool = False) -> DataFrame:
     """Distinct match keys of name, path and text, one row each.
 
-    The result may be kept as a table and handed to ``keyword_search``.
+    The result may be kept as a table and handed to ``keyword_search``. With
+    ``by_chunk`` a chunk keeps its one row, with ``keys`` and ``tokens``, the
+    tokens of the first keys; the other keys have none.
     """
     blob = F.lower(
         F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), F.col("file_path"), F.col("chunk_text"))
@@ -93,10 +95,11 @@ def build_postings(chunks: DataFrame) -> DataFrame:
         _special_keys(F.col("_blob")).alias("_special"),
     )
     # Words hold only a-z0-9 and special keys never do, so the two cannot meet.
+    keys, tokens = F.concat(F.col("_special.key"), F.col("_words")), F.col("_special.token")
+    if by_chunk:
+        return rows.select(*kept, keys.alias("keys"), tokens.alias("tokens"))
     # The word part has no token: zipping pads it with NULL.
-    keys = F.concat(F.col("_special.key"), F.col("_words"))
-    zipped = F.arrays_zip(keys, F.col("_special.token"))
-    return rows.select(*kept, F.inline(zipped).alias("match_key", "token"))
+    return rows.select(*kept, F.inline(F.arrays_zip(keys, tokens)).alias("match_key", "token"))
 
 
 def term_matches(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
