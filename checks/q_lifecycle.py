@@ -457,10 +457,12 @@ def str_1(spark, sf_dir):
         "repository_id", F.lit(2).alias("ingestion_id"), F.col("path").alias("file_path"),
         F.lit(None).cast("string").alias("language"), "text",
     )
-    # An older run that goes, then every repository's files in four batches, the last seen once more.
-    files.where("length < 2000").withColumn("ingestion_id", F.lit(1)).coalesce(1).write.parquet(source)
-    files.repartition(4).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # An older run that goes, then every repository's files in four batches, the last seen once more. A batch has as many
+    # files as there are cores: a file of one row group goes to one task.
+    cores = spark.sparkContext.defaultParallelism
+    files.where("length < 2000").withColumn("ingestion_id", F.lit(1)).repartition(cores).write.parquet(source)
+    files.repartition(4 * cores).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", cores).parquet(source)
     index_stream(stream, target, state).awaitTermination()
     index_stream(stream, target, state + "-again").awaitTermination()
     return read_index(spark, target).select("file_path", "start_line", "end_line")
