@@ -12,8 +12,8 @@ from codelode.operators.chunking import chunk_corpus
 from codelode.operators.embedding import Embedder, embed, try_embed
 from codelode.operators.keyword import build_postings
 from codelode.operators.profile import profile_repository, scan_files
-from codelode.session import store
-from codelode.sources.archives import expand_archives
+from codelode.session import is_small, maybe_broadcast, store
+from codelode.sources.archives import ARCHIVE_ROWS, unpack
 from codelode.sources.commits import CommitLog
 
 
@@ -47,8 +47,7 @@ def ingest(
     """
     run = ["repository_id", "ingestion_id"]
     named = archives.withColumn("archive", F.to_json(F.struct(*run)))
-    files, errors = expand_archives(named, max_bytes=max_bytes, max_files=max_files)
-    ids = named.select("archive", *run)
+    files, errors, ids = unpack(named, run, max_bytes, max_files)
     scanned = scan_files(files.select(F.col("archive").alias("repository_id"), "path", "length", "content"))
     profile = profile_repository(scanned, profile_files, profile_bytes)
     by_run = lambda df: ids.join(df.withColumnRenamed("repository_id", "archive"), "archive")
@@ -80,6 +79,7 @@ def ingest(
         run_ts.alias("completed_at"),
     )
     done = rows.where(ok).select("archive", *run)
+    done = maybe_broadcast(done, is_small(done, ARCHIVE_ROWS))
     tree = files.drop("commit_sha").join(done, "archive").drop("archive")
     chunks = chunk_corpus(tree, apply_filter)
     if fn is not None:

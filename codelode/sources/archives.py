@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codelode import fixed
-from codelode.session import store
+from codelode.session import is_small, maybe_broadcast, store
 
 _ROW = T.StructType(
     [
         T.StructField("archive", T.StringType()),
         T.StructField("member", T.StringType()),
         T.StructField("is_dir", T.BooleanType()),
+        T.StructField("is_file", T.BooleanType()),
         T.StructField("length", T.LongType()),
         T.StructField("content", T.BinaryType()),
         T.StructField("error_class", T.StringType()),
@@ -32,11 +33,14 @@ _ROW = T.StructType(
 _ARROW = pa.schema(
     [
         ("archive", pa.string()), ("member", pa.string()), ("is_dir", pa.bool_()),
+        ("is_file", pa.bool_()),
         ("length", pa.int64()), ("content", pa.binary()), ("error_class", pa.string()),
         ("message", pa.string()),
     ]
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
+# Archives whose root or fault may be copied to every task; most take under 100 bytes.
+ARCHIVE_ROWS = 500_000
 
 
 class Rejected(Exception):
@@ -91,16 +95,18 @@ def _members(archive: str, payload: bytes, max_bytes: int, max_files: int) -> It
             for m in last.values():
                 body = tar.extractfile(m).read() if m.isfile() else None
                 # Links take part in finding the root but give no file.
-                yield archive, m.name, m.isdir(), m.size, body, None, None
+                yield archive, m.name, m.isdir(), m.isfile(), m.size, body, None, None
     except Rejected as bad:
-        yield archive, None, None, None, None, bad.error_class, str(bad)
+        yield archive, None, None, None, None, None, bad.error_class, str(bad)
     except (tarfile.TarError, EOFError, OSError) as bad:
-        yield archive, None, None, None, None, "corrupt", f"Unreadable archive: {bad}"
+        yield archive, None, None, None, None, None, "corrupt", f"Unreadable archive: {bad}"
 
 
-def _expand(max_bytes: int, max_files: int):
+def _expand(max_bytes: int, max_files: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if carried:
+                yield _listed(batch, carried)
             for archive, content in zip(batch.column("archive"), batch.column("content")):
                 rows: list[tuple] = []
                 size = 0
@@ -110,19 +116,28 @@ def _expand(max_bytes: int, max_files: int):
                     # A member damaged halfway rejects the rows read before it too,
                     # see ``expand_archives``.
                     rows.append(row)
-                    size += row[3] or 0
+                    size += row[4] or 0
                     if size > _FLUSH_BYTES:
-                        yield _batch(rows)
+                        yield _batch(rows, batch, carried)
                         rows, size = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, batch, carried)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], source: pa.RecordBatch, carried: list[str]) -> pa.RecordBatch:
+    members = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)]
+    empty = [pa.nulls(len(rows), source.column(c).type) for c in carried]
+    return pa.RecordBatch.from_arrays([*members, *empty], names=[*_ARROW.names, *carried])
+
+
+def _listed(batch: pa.RecordBatch, carried: list[str]) -> pa.RecordBatch:
+    """A row per archive, with neither member nor error, that holds the carried columns."""
+    n = batch.num_rows
+    empty = [pa.nulls(n, f.type) for f in _ARROW if f.name != "archive"]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW
+        [batch.column("archive"), *empty, *[batch.column(c) for c in carried]], names=[*_ARROW.names, *carried]
     )
 
 
@@ -156,16 +171,28 @@ def expand_archives(
     folder removed; ``errors(archive, error_class, message)`` has one row per
     rejected archive.
     """
-    rows = archives.select("archive", "content").mapInArrow(_expand(max_bytes, max_files), _ROW)
-    # Both outputs read the unpacked rows, so unpack once.
+    files, errors, _listing = unpack(archives, [], max_bytes, max_files)
+    return files, errors
+
+
+def unpack(
+    archives: DataFrame, carried: list[str], max_bytes: int, max_files: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC-1 with the listing ``(archive, *carried)`` of all archives; ``archives`` is read once."""
+    extra = [archives.schema[c] for c in carried]
+    schema = T.StructType([*_ROW.fields, *[T.StructField(f.name, f.dataType) for f in extra]])
+    rows = archives.select("archive", "content", *carried).mapInArrow(_expand(max_bytes, max_files, carried), schema)
+    # All outputs read the unpacked rows, so unpack once.
     rows = store(rows, "archive-members")
     errors = rows.where(F.col("error_class").isNotNull()).select("archive", "error_class", "message")
-    members = rows.where(F.col("error_class").isNull()).join(
-        errors.select("archive"), "archive", "left_anti"
-    )
-    files = members.where(F.col("content").isNotNull()).join(
-        archive_root(members), "archive", "left"
-    )
+    members = rows.where(F.col("error_class").isNull() & F.col("member").isNotNull())
+    listing = rows.where(F.col("error_class").isNull() & F.col("member").isNull()).select("archive", *carried)
+    # What is known of an archive goes to its files; the contents stay where they are.
+    few = is_small(errors.select("archive"), ARCHIVE_ROWS)
+    members = members.join(maybe_broadcast(errors.select("archive"), few), "archive", "left_anti")
+    roots = archive_root(members)
+    few = is_small(roots, ARCHIVE_ROWS)
+    files = members.where("is_file").join(maybe_broadcast(roots, few), "archive", "left")
     inner = F.when(
         F.col("root").isNotNull() & F.col("member").startswith(F.concat("root", F.lit("/"))),
         F.substring(F.col("member"), F.length("root") + 2, F.length("member")),
@@ -173,6 +200,7 @@ def expand_archives(
     return (
         files.select("archive", inner.alias("path"), "length", "content", "commit_sha"),
         errors,
+        listing,
     )
 
 
