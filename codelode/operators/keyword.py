@@ -56,6 +56,8 @@ def _special_keys(blob: Column) -> Column:
     def keys(token: Column) -> Column:
         pairs = F.regexp_extract_all(token, F.lit(f"(?s)(?=({_PAIR}))"), 1)
         alone = F.regexp_extract_all(token, F.lit(r"[^\x00-\x7f]"), 0)
+        # Only a token with more bytes than characters has any.
+        alone = F.when(F.octet_length(token) > F.length(token), alone).otherwise(F.array().cast("array<string>"))
         return F.transform(
             F.array_distinct(F.concat(pairs, alone)),
             lambda g: F.struct(g.alias("key"), token.alias("token")),

@@ -109,8 +109,7 @@ def ingest_into(
     chunks = chunk_ids(made.chunks)
     runs = store(made.runs, "runs")
     if fn is None:
-        chunks = store(chunks, "chunks")
-        failed = chunks.select(*run, F.lit(None).cast("string").alias("error")).limit(0)
+        failed = runs.select("repository_id", F.col("id").alias("ingestion_id"), F.lit(None).cast("string").alias("error")).limit(0)
     else:
         chunks = store(try_embed(chunks, "chunk_text", fn), "chunks")
         failed = chunks.where("embed_error IS NOT NULL").groupBy(*run).agg(F.min("embed_error").alias("error"))
@@ -123,7 +122,9 @@ def ingest_into(
             "runs": runs,
             "repository_status": newest.select("repository_id", status.alias("status")),
             "chunks": chunks,
-            "postings": inverted.posting_lists(build_postings(chunks), chunks),
-        }
+            # From the chunks as this commit has written them.
+            "postings": lambda made: inverted.posting_lists(build_postings(made["chunks"], by_chunk=True), made["chunks"]),
+        },
+        dealt=["postings"],
     )
     return failed

@@ -9,10 +9,16 @@ change at once, and a crash between any two writes leaves the old state. Deletes
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from codelode.session import is_small, maybe_broadcast
+
+Rows = Callable[[dict[str, DataFrame]], DataFrame]
+# Repositories whose newest change or delete may be copied to every task.
+REPOSITORY_ROWS = 500_000
 #: How a table's rows supersede each other: by id, the newest commit counts ("latest"); by repository, the newest commit with
 #: rows of it counts ("replace"); or all count ("append").
 KINDS = {
@@ -59,23 +65,31 @@ class CommitLog:
         base = max((r["version"] for r in rows if r["base"]), default=0)
         return sorted((r["version"], r["commit"], list(r["tables"])) for r in rows if r["version"] >= base)
 
-    def commit(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, base: bool = False) -> int:
+    def commit(
+        self, tables: dict[str, DataFrame | Rows], gone: DataFrame | None = None, base: bool = False, dealt: Collection[str] = ()
+    ) -> int:
         """Add rows to ``tables`` and delete everything of the repositories in ``gone(repository_id)``; the version.
 
         ``latest`` tables hold one row per id in a commit. Rows that are read from this store may be written to it.
-        Deletes touch rows of earlier commits only.
+        Deletes touch rows of earlier commits only. A table's rows may be a function of the tables that stand before it, as
+        this commit has written them. The rows of tables in ``dealt`` lie together by repository and key already and are
+        written as they are.
         """
         seen = self.visible()
         version, name = (seen[-1][0] if seen else 0) + 1, uuid.uuid4().hex
+        made: dict[str, DataFrame] = {}
         for table, rows in tables.items():
             kind, key = KINDS[table]
             folder = f"{self.path}/data/{table}/{name}"
+            if callable(rows):
+                rows = rows(made)
             if kind == "replace":
-                rows = rows.hint("rebalance", key).sortWithinPartitions(key, *(["match_key"] if "match_key" in rows.columns else []))
+                if table not in dealt:
+                    rows = rows.hint("rebalance", key).sortWithinPartitions(key, *(["match_key"] if "match_key" in rows.columns else []))
             _write(rows, folder)
+            made[table] = self.spark.read.schema(rows.schema).parquet(folder)
             if kind == "replace":
-                written = self.spark.read.schema(rows.schema).parquet(folder)
-                _write(written.select(key).distinct(), f"{self.path}/changes/{table}/{name}")
+                _write(made[table].select(key).distinct(), f"{self.path}/changes/{table}/{name}")
         if gone is not None:
             _write(gone.select("repository_id").distinct(), f"{self.path}/data/tombstones/{name}")
         listed = [*tables, *(["tombstones"] if gone is not None else [])]
@@ -99,6 +113,7 @@ class CommitLog:
         if dead is None:
             return rows
         last = dead.groupBy(F.col("repository_id").alias("_owner")).agg(F.max("_version").alias("_dead"))
+        last = maybe_broadcast(last, is_small(last, REPOSITORY_ROWS))
         joined = rows.join(last, F.col(owner) == F.col("_owner"), "left")
         return joined.where(F.col("_dead").isNull() | (F.col("_version") > F.col("_dead"))).drop("_owner", "_dead")
 
@@ -115,6 +130,7 @@ class CommitLog:
         if kind == "replace":
             changes = self._rows(table, "changes")
             newest = changes.groupBy(F.col(key).alias("_key")).agg(F.max("_version").alias("_newest"))
+            newest = maybe_broadcast(newest, is_small(newest, REPOSITORY_ROWS))
             return rows.join(newest, (F.col(key) == F.col("_key")) & (F.col("_version") == F.col("_newest"))).select(*columns)
         row: Column = F.max_by(F.struct(*columns), F.col("_version"))
         return rows.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")

@@ -1,10 +1,16 @@
 """The stored posting lists: coded together, joined to lists before the shuffle."""
 
+import io
+import tarfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import inverted, keyword
+from codelode.plans.ingest import ingest_into
+from codelode.sources import commits
+from codelode.sources.commits import CommitLog
 
 CHUNK = "repository_id string, ingestion_id int, chunk_id long, file_path string, name string, chunk_text string"
 
@@ -18,6 +24,16 @@ def test_ids_further_apart_than_2_to_the_63_come_back():
         assert (blocks, directory) == inverted.encode(np.array(ids, np.int64))
 
 
+def tar(files):
+    payload = io.BytesIO()
+    with tarfile.open(fileobj=payload, mode="w:gz") as out:
+        for name, data in files.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            out.addfile(info, io.BytesIO(data))
+    return bytearray(payload.getvalue())
+
+
 def chunks(spark):
     words = ["image", "images", "a/b.py", "naïve", "été", "log", "v1.2", "re-use", "end."]
     rows = [
@@ -48,3 +64,28 @@ def test_no_posting_is_a_row_of_the_shuffle(spark):
     df = chunks(spark)
     plan = inverted.posting_lists(keyword.build_postings(df, by_chunk=True), df)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "collect_set" not in plan
+
+
+def test_a_commit_reads_archives_once_and_chunks_as_written(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    items = [("a", 1, tar({"m.txt": b"alpha one"})), ("b", 2, bytearray(b"no archive")), ("c", 3, tar({})), ("a", 4, tar({"x/m.txt": b"beta", "x/n.txt": b"two"}))]
+    schema = "repository_id string, ingestion_id int, content binary"
+    rows = spark.createDataFrame(items, schema).mapInArrow(seen, schema)
+    log = CommitLog(spark, str(tmp_path))
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    assert ingest_into(log, rows, None, now).collect() == []
+    assert reads.value == len(items)
+    runs = sorted(map(tuple, log.current("runs").select("id", "repository_id", "status", "file_count").collect()))
+    assert runs == [(1, "a", "completed", 1), (2, "b", "failed", None), (3, "c", "completed", 0), (4, "a", "completed", 2)]
+    chunks, lists = log.current("chunks"), log.current("postings")
+    ids = {r.chunk_id for r in chunks.collect()}
+    found = lists.collect()
+    assert len(ids) == 3 and {i for r in found for i in inverted.PostingList(r.blocks, r.directory).ids().tolist()} == ids
+    log.compact()
+    assert sorted(map(str, log.current("postings").collect())) == sorted(map(str, found))
