@@ -149,4 +149,5 @@ class CommitLog:
     def compact(self) -> int:
         """Write the present state as a new base; earlier folders are no longer read."""
         names = {table for _, _, tables in self.visible() for table in tables} - {"tombstones"}
-        return self.commit({table: self.current(table) for table in KINDS if table in names}, base=True)
+        # Every commit has dealt out its rows by repository, and they are read in the order of its files.
+        return self.commit({table: self.current(table) for table in KINDS if table in names}, base=True, dealt=KINDS)

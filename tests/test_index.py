@@ -89,3 +89,20 @@ def test_a_commit_reads_archives_once_and_chunks_as_written(spark, tmp_path):
     assert len(ids) == 3 and {i for r in found for i in inverted.PostingList(r.blocks, r.directory).ids().tolist()} == ids
     log.compact()
     assert sorted(map(str, log.current("postings").collect())) == sorted(map(str, found))
+
+
+def test_compaction_shuffles_no_rows(spark, tmp_path, monkeypatch):
+    log, plans = CommitLog(spark, str(tmp_path)), []
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "z")], "repository_id string, ingestion_id int, chunk_text string")
+    log.commit({"chunks": rows})
+    log.commit({"chunks": rows.where("repository_id = 'a'")}, gone=rows.where("repository_id = 'b'"))
+    write = commits._write
+
+    def noted(df, path, mode="errorifexists"):
+        if "/data/chunks/" in path:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, path, mode)
+
+    monkeypatch.setattr(commits, "_write", noted)
+    log.compact()
+    assert len(plans) == 1 and "Rebalance" not in plans[0] and [tuple(r) for r in log.current("chunks").collect()] == [("a", 1, "x")]
