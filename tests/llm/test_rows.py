@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import SF, documents, odd_rows
 from hypothesis import given, settings, strategies as st
@@ -440,3 +441,48 @@ def test_state_goes_over_windows(spark):
     starts = np.zeros((len(inp), 1), bool)
     h, _, _ = lm.forward(weights, inp, starts, states)
     assert lm.log_probabilities(weights, h[:, 0], long[1], long[2]).sum() == pytest.approx(together[0], rel=1e-4)
+
+
+def test_words_told_apart_together_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 40)
+    texts = [None, b"", b"   ", b" A b\tA\n", b"\xc3\x89 \xff\x85 d\x1cx\x0b\x0c\xc2\xa0 ", b"x" * 200, b"x", b"Y x Y " * 30]
+    found = []
+    for part in lm.slices(pa.array([b"before", *texts], pa.binary())[1:]):
+        names, codes, lengths = lm.tokens(part)
+        own = names.take(pa.array(codes)).to_pylist()
+        stops = np.cumsum(lengths)
+        found += [own[stop - n : stop] for n, stop in zip(lengths, stops, strict=True)]
+    assert found == [lm.words(t) for t in texts]
+    assert lm.tails_of(pa.array([b"", b"a", b"abcd"], pa.binary())).tolist() == [lm.tail_of(w) for w in (b"", b"a", b"abcd")]
+    assert list(lm.tokens(pa.array([], pa.binary()))[1]) == []
+
+
+def test_windows_use_the_same_arrays_again(monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN", (3, 4))
+    weights, texts, _ = tiny_model()
+    weights = {k: v.astype(np.float32) for k, v in weights.items()}
+    gradients, seen = lm.gradients, []
+
+    def watched(*args):
+        found = gradients(*args)
+        seen.append({name: id(kept) for name, kept in args[-1].kept.items()})
+        return found
+
+    monkeypatch.setattr(lm, "gradients", watched)
+    lm.train(weights, [texts[:2]] * 3, 7)
+    assert len(seen) > 3 and seen[-1] == seen[-2]
+
+
+def test_logits_out_of_the_range_of_exponentials():
+    weights, texts, draw = tiny_model()
+    wild = {k: v * (400 if k in ("ob", "ib", "o") else 1) for k, v in weights.items()}
+    inp, out, ins = texts[4]
+    states = draw.uniform(-1, 1, (len(out), lm.STATE))
+    want = []
+    for h, o, i in zip(states, out, ins, strict=True):
+        logits = h @ wild["o"] + wild["ob"]
+        want.append(logits[o] - np.logaddexp.reduce(logits))
+        if i >= 0:
+            logits = wild["i"][o] @ h + wild["ib"][o]
+            want[-1] += logits[i] - np.logaddexp.reduce(logits)
+    assert lm.log_probabilities(wild, states, out, ins) == pytest.approx(want, rel=1e-9)
