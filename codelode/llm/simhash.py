@@ -152,7 +152,8 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     rows = nodes.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(_chain_keys(F.col("fp"), max_bits)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     pairs = sizes.where("n = 2").where(_chain_holds(F.col("a").bitwiseXOR(F.col("b")), max_bits)).select("a", "b")
-    more = tiled(rows, sizes.where("n > 2"), ["key"], "fp", TILE)
+    # Spark sizes an explode by its input, and would copy all keys of a few MB of fingerprints to every task.
+    more = tiled(rows.hint("merge"), sizes.where("n > 2"), ["key"], "fp", TILE)
     return pairs.unionAll(more.mapInArrow(_find_links(max_bits), "a bigint, b bigint"))
 
 

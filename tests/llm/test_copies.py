@@ -46,6 +46,15 @@ def test_simhash_query(spark):
     check_prints([tuple(r) for r in docs], queries.op1_simhash(spark, SF).collect())
 
 
+def test_fingerprint_keys_are_not_broadcast(spark):
+    """The keys are 64 times their fingerprints, which Spark's estimate of an explode does not show."""
+    nodes = spark.createDataFrame([(1 << i,) for i in range(40)] + [(0,)], "fp bigint")
+    found = simhash.links(nodes)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("max_bits", [3, 4, 7])
 def test_fingerprint_links(spark, max_bits, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)  # hot keys fall into many tiles
