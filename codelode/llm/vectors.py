@@ -1,28 +1,33 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
+"""Embedding near-duplicates by short codes that meet in a bounded number of cells.
 
-Unit vectors with a cosine of c or more are at most 2 - 2c apart (squared). Cut into blocks, some block of the pair differs
-by no more than that block's share of the distance. So the vectors are rotated to spread their variance over the blocks,
-and each block is range-joined within its share: its leading coordinates fall into cells as wide as the radius, and a
-vector visits half of the neighbouring cells. Candidates pass the block's distance and are verified exactly.
+Unit vectors with a cosine of c or more are at most 2 - 2c apart (squared). The vectors are rotated so that the strongest axes
+come first and rounded to 2-byte codes whose error is kept beside them. Nodes fall by hash into groups, and each two groups
+meet in one cell: a matrix product over the leading coordinates drops most pairs, the distance of the codes tells of nearly
+all others whether they are linked, and only pairs that it can't tell are handed out and verified on the vectors themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from codelode.llm.common import Links, about, components, cut_lineage, segments
+from codelode.llm.common import Links, about, components, segments
+from codelode.session import store
 
-#: Home vectors of a tile, visitors compared at once, and about so many rows that the rotation is fitted on.
-TILE, VISITORS, FITTED = 2048, 512, 10_000
-#: Dimensions of a block, and how many of them make a cell.
-BLOCK, CELL = 8, 2
-#: Slack of bounds that are computed in rounded numbers.
-SLACK = 1e-6
+#: Vectors of a group from which there are several, visitors compared at once, and about so many rows that the rotation is fitted on.
+TILE, VISITORS, FITTED = 2048, 256, 10_000
+#: Groups while their codes stay below ``HOME`` bytes each; a vector has a copy for each group.
+GROUPS, HOME = 5, 96 << 20
+#: Leading coordinates that the first test sees, and home vectors of one matrix product.
+LEAD, SLICE = 16, 2048
+#: Steps of a code from 0 to 1.
+STEPS = 32_767
+#: Slack of bounds that are computed in rounded numbers: in doubles, and in floats.
+SLACK, LEAD_SLACK = 1e-9, 1e-5
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -47,111 +52,108 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(fine, e).alias("v"), F.size(e).alias("width"))
 
 
-def _turned(v: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors, rounded so that a vector has the same coordinates in whichever batch it comes."""
-    return np.round(_unit(v) @ turn, 7)
+def _marks(v: Column) -> list[Column]:
+    """128 bits of a vector; negative zeros are zeros."""
+    plain = F.transform(v, lambda x: x + F.lit(0).cast("tinyint"))
+    return [F.when(v.isNotNull(), F.xxhash64(F.lit(seed), plain)).alias(name) for seed, name in ((1, "mark"), (2, "more"))]
 
 
-def rotation(nodes: DataFrame, width: int) -> np.ndarray:
-    """Principal axes of a bounded sample, dealt to the blocks in turn, so that each block leads with a strong one."""
-    of_width = nodes.where(F.col("width") == width)
-    sample = about(of_width, "rep", FITTED, of_width.count()).select("v").toArrow()
+def rotation(rows: DataFrame, width: int) -> np.ndarray:
+    """Principal axes of a bounded sample, strongest first."""
+    sample = about(rows, "mark", FITTED, rows.count()).select("v").limit(4 * FITTED).toArrow()
     x = _unit(_matrix(sample.column(0).combine_chunks())) if sample.num_rows else np.eye(width)
     _, axes = np.linalg.eigh(np.atleast_2d(x.T @ x))
-    axes = axes[:, ::-1]
-    blocks = -(-width // BLOCK)
-    return axes[:, [i for b in range(blocks) for i in range(b, width, blocks)]]
+    return axes[:, ::-1]
 
 
-def _block_starts(width: int) -> list[int]:
-    blocks = -(-width // BLOCK)
-    sizes = [len(range(b, width, blocks)) for b in range(blocks)]
-    return [0, *np.cumsum(sizes).tolist()]
-
-
-def _half() -> list[tuple[int, ...]]:
-    """The neighbours of a cell, one of each opposite pair."""
-    around = list(product((-1, 0, 1), repeat=CELL))
-    return [d for d in around if d > (0,) * CELL]
-
-
-def _deal(turn: np.ndarray, starts: list[int], radius: list[float], visits: bool):
-    """Rows (block, cell, role): a vector is at home in its cell and, if asked, visits half of the cells around."""
+def _encode(turn: np.ndarray):
+    """Codes of rotated unit vectors, each with a bound of its error behind it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            turned, n = _turned(_matrix(batch.column("v")), turn), batch.num_rows
-            for b, start in enumerate(starts[:-1]):
-                lead = min(CELL, starts[b + 1] - start)
-                cell = np.floor(turned[:, start : start + lead] / radius[b]).astype(np.int64)
-                cell = np.pad(cell, ((0, 0), (0, CELL - lead)))
-                for d in [(0,) * CELL, *_half()] if visits else [(0,) * CELL]:
-                    if any(d[lead:]):
-                        continue
-                    at = cell + np.array(d)
-                    places = [pa.array(np.full(n, b, np.int32)), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(np.full(n, int(any(d)), np.int32))]
-                    more = [batch.column(c) for c in ("rep", "n", "v")] if visits else []
-                    yield pa.record_batch(places + more, names=["block", "x", "y", "role", "rep", "n", "v"][: 4 + len(more)])
+            turned = _unit(_matrix(batch.column("v"))) @ turn
+            codes = np.rint(turned * STEPS).clip(-STEPS, STEPS).astype(np.int16)
+            error = (np.sqrt(((turned - codes / STEPS) ** 2).sum(1)) * (1 + 1e-6) + SLACK).astype(np.float32)
+            both = np.concatenate([codes.view(np.uint8), error[:, None].view(np.uint8)], axis=1)
+            yield pa.record_batch([*(batch.column(c) for c in ("vec_id", "mark", "more")), pa.array(map(bytes, both), pa.binary())], names=["vec_id", "mark", "more", "code"])
 
     return run
 
 
-def _join(turn: np.ndarray, starts: list[int], share: list[float], cosine: float):
+def _decoded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and bounds of their errors."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return both[:, : 2 * width].copy().view(np.int16), both[:, 2 * width :].copy().view(np.float32)[:, 0].astype(np.float64)
+
+
+def _cell(low, high, groups: int):
+    """Number of the cell where two groups meet."""
+    return low * (2 * groups - 1 - low) / 2 + high
+
+
+def _join(width: int, cosine: float, groups: int):
+    far, alone = max(0.0, 2 - 2 * cosine), {int(_cell(g, g, groups)) for g in range(groups)}
+    # A code is half a step off in each coordinate at most.
+    reach = (np.sqrt(far) + 1.01 * np.sqrt(width) / STEPS + 2 * SLACK) ** 2 + LEAD_SLACK
+
+    def told(home: np.ndarray, error: np.ndarray, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair, whether it is linked for sure, and whether it may be."""
+        gap = np.sqrt(((home.astype(np.float64) - codes) ** 2).sum(1)) / STEPS
+        most, least = gap + error + errors, np.maximum(0, gap - error - errors)
+        sure = most**2 <= far - SLACK
+        return sure, ~sure & (least**2 <= far + SLACK)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, links, home, turned, counts, found = None, Links(), None, None, None, None
+        key, links, home, counts, marks, found = None, Links(), [], None, None, None
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if home is not None and found.any():
+            if found is not None and found.any():
                 at = np.flatnonzero(found)
                 yield _rows(links.ids[at], links.ids[at], found[at])
 
-        for now, at_home, rows in segments(batches, ["block", "x", "y", "tile"], "role"):
+        for now, at_home, rows in segments(batches, ["cell"], "role"):
             if now != key:
                 yield from finish()
-                key, links, home = now, Links(), None
-            v, n = _matrix(rows.column("v")), rows.column("n").to_numpy()
+                key, links, home = now, Links(), []
+                counts, marks, found = (np.zeros(0, np.int64) for _ in range(3))
+            n, mark = rows.column("n").to_numpy(), rows.column("mark").to_numpy()
+            codes, errors = _decoded(rows.column("code"), width)
+            size = len(counts)
             places = links.add(rows.column("rep").to_numpy())
-            mine = _turned(v, turn)
-            size = 0 if home is None else len(home)
+            lead = (codes[:, :LEAD] / np.float32(STEPS)).astype(np.float32)
+            square, one = (lead * lead).sum(1)[:, None], np.ones((len(lead), 1), np.float32)
             if at_home:
-                home = v if home is None else np.concatenate([home, v])
-                turned = mine if size == 0 else np.concatenate([turned, mine])
-                counts = n if size == 0 else np.concatenate([counts, n])
-                found = np.zeros(len(home), np.int64) if size == 0 else np.concatenate([found, np.zeros(len(v), np.int64)])
-            if home is None:
-                continue
-            start, stop = starts[key[0]], starts[key[0] + 1]
-            square = (turned[:, start:stop] ** 2).sum(1)
-            for at in range(0, len(v), VISITORS):
-                part = mine[at : at + VISITORS, start:stop]
-                apart = square[:, None] + (part**2).sum(1)[None, :] - 2 * (turned[:, start:stop] @ part.T)
-                a, b = np.nonzero(apart <= share[key[0]] + SLACK)
-                b += at
-                if at_home:  # the later of two home vectors sees the earlier
-                    keep = a < size + b
-                    a, b = a[keep], b[keep]
-                for low in range(0, len(a), 1 << 16):
-                    x, y = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
-                    # A pair belongs to the first block whose share it keeps to.
-                    keep = np.ones(len(x), bool)
-                    for e in range(key[0] + 1):
-                        gap = turned[x, starts[e] : starts[e + 1]] - mine[y, starts[e] : starts[e + 1]]
-                        keep &= ((gap * gap).sum(1) > share[e]) == (e < key[0])
-                    x, y = x[keep], y[keep]
-                    close = cosines(home[x], v[y]) >= cosine
-                    x, y = x[close], y[close]
-                    if not len(x):
-                        continue
-                    np.add.at(found, x, n[y])
-                    theirs = np.zeros(len(v), np.int64)
-                    np.add.at(theirs, y, counts[x])
-                    seen = np.flatnonzero(theirs)
-                    ends = links.unite(x, places[y])
-                    ids = links.ids[places[seen]]
-                    yield _rows(ids, ids, theirs[seen])
-                    yield _rows(*ends, np.zeros(len(ends[0]), np.int64))
+                counts, marks, found = np.concatenate([counts, n]), np.concatenate([marks, mark]), np.concatenate([found, np.zeros(len(n), np.int64)])
+                mine = np.concatenate([lead, square, one], axis=1)
+                home += [(size + at, codes[at : at + SLICE], errors[at : at + SLICE], mine[at : at + SLICE]) for at in range(0, len(n), SLICE)]
+                if now[0] not in alone:  # these meet each other in the cell of their group
+                    continue
+            theirs = np.concatenate([-2 * lead, one, square], axis=1)
+            pairs, waiting = [], 0
+            for start, own, error, left in home:
+                for at in range(0, len(n), VISITORS):
+                    part = theirs[at : at + VISITORS]
+                    close = np.flatnonzero((left @ part.T).ravel() <= reach)
+                    a, b = close // len(part), close % len(part) + at
+                    if at_home:  # the later of two home vectors sees the earlier
+                        earlier = start + a < size + b
+                        a, b = a[earlier], b[earlier]
+                    for low in range(0, len(a), 1 << 14):
+                        x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
+                        sure, may = told(own[x], error[x], codes[y], errors[y])
+                        if may.any():
+                            p, q = start + x[may], y[may]
+                            yield _rows(links.ids[p], links.ids[places[q]], counts[p], marks[p], mark[q], n[q])
+                        if sure.any():
+                            pairs.append((start + x[sure], y[sure]))
+                            waiting += len(pairs[-1][0])
+                        if waiting > 1 << 18:
+                            yield from _linked(pairs, links, places, counts, n, found)
+                            pairs, waiting = [], 0
+            if pairs:
+                yield from _linked(pairs, links, places, counts, n, found)
             if not at_home:
                 links.trim(size)
         yield from finish()
@@ -159,27 +161,60 @@ def _join(turn: np.ndarray, starts: list[int], share: list[float], cosine: float
     return run
 
 
-def _rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+def _linked(pairs: list, links: Links, places: np.ndarray, counts: np.ndarray, n: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Count the pairs (home place, visitor), those of home vectors into ``found``, and unite them."""
+    x, y = (np.concatenate(ends) for ends in zip(*pairs, strict=True))
+    np.add.at(found, x, n[y])
+    theirs = np.zeros(len(n), np.int64)
+    np.add.at(theirs, y, counts[x])
+    seen = np.flatnonzero(theirs)
+    ends = links.unite(x, places[y])
+    ids = links.ids[places[seen]]
+    yield _rows(ids, ids, theirs[seen])
+    yield _rows(*ends, np.zeros(len(ends[0]), np.int64))
+
+
+FOUND = "a bigint, b bigint, n bigint, x bigint, y bigint, m bigint"
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    found = [pa.array(c, pa.int64()) for c in columns]
+    found += [pa.nulls(len(found[0]), pa.int64())] * (6 - len(found))
+    return pa.record_batch(found, names=["a", "b", "n", "x", "y", "m"])
 
 
 def _links(nodes: DataFrame, width: int, cosine: float) -> DataFrame:
-    """Rows (a, b, n): for a = b, n more links of the vector; else an edge of a forest that links connect."""
-    turn, starts = rotation(nodes, width), _block_starts(width)
-    far = 2 - 2 * cosine
-    share = [far * (b - a) / width + SLACK for a, b in zip(starts, starts[1:], strict=False)]
-    radius = [float(np.sqrt(s)) + SLACK for s in share]
-    of_width = nodes.where(F.col("width") == width).select("rep", "n", "v")
-    kind = nodes.schema["v"].dataType.simpleString()
-    cells = ["block", "x", "y"]
-    tiles = of_width.mapInArrow(_deal(turn, starts, radius, False), "block int, x bigint, y bigint, role int").groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    dealt = of_width.mapInArrow(_deal(turn, starts, radius, True), f"block int, x bigint, y bigint, role int, rep bigint, n bigint, v {kind}")
-    # A home row also visits the lower tiles of its own cell, a visitor all tiles of the cell it visits.
-    last = F.when(F.col("role") == 0, F.pmod(F.xxhash64("rep"), F.col("tiles"))).otherwise(F.col("tiles") - 1)
-    spread = dealt.join(tiles, cells).withColumn("last", last).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
-    spread = spread.withColumn("role", F.when((F.col("role") == 0) & (F.col("tile") == F.col("last")), 0).otherwise(1))
-    keys = [*cells, "tile"]
-    return spread.select(*keys, "role", "rep", "n", "v").repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(_join(turn, starts, share, cosine), "a bigint, b bigint, n bigint")
+    """Rows (a, b, n): for a = b, n more links of the vector; else an edge of a forest that links connect.
+
+    Rows that have the other columns are pairs that their codes can't tell, with the numbers n and m and the marks x and y of both.
+    """
+    count = nodes.count()
+    groups = max(min(GROUPS, -(-count // TILE)), -(-count * (2 * width + 4 * LEAD + 24) // HOME), 1)
+    group, other = F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(groups)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))
+    dealt = nodes.select("rep", "n", "mark", "code", group.alias("_group")).select("*", other.alias("_other"))
+    low, high = F.least("_group", "_other"), F.greatest("_group", "_other")
+    dealt = dealt.select(_cell(low, high, groups).cast("int").alias("cell"), (F.col("_group") != low).cast("int").alias("role"), "rep", "n", "mark", "code")
+    dealt = dealt.repartitionById(groups * (groups + 1) // 2, F.col("cell")).sortWithinPartitions("cell", "role")
+    return dealt.mapInArrow(_join(width, cosine, groups), FOUND)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
+    """Rows (a, b, n) of the pairs whose vectors are linked."""
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = np.array([cosines(*(np.array([v], np.float64) for v in both))[0] >= cosine for both in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)], bool)
+            a, b, n, m = (batch.column(c).to_numpy()[close] for c in ("a", "b", "n", "m"))
+            none = np.zeros(len(a), np.int64)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in ((a, b, a), (a, b, b), (m, n, none))], names=["a", "b", "n"])
+
+    asked = pairs.select(F.col("a").alias("rep"), F.col("x").alias("mark")).unionAll(pairs.select("b", "y")).distinct()
+    asked = store(nodes.select("rep", "mark", "more", "width").join(asked, ["rep", "mark"], "left_semi"), "vector-ends")
+    texts = rows.select("mark", "more", "width", "v").join(asked, ["mark", "more", "width"]).dropDuplicates(["rep", "mark", "more", "width"])
+    texts = store(texts.select("rep", "mark", "v"), "vector-texts")
+    one = texts.select(F.col("rep").alias("a"), F.col("mark").alias("x"), F.col("v").alias("u"))
+    two = texts.select(F.col("rep").alias("b"), F.col("mark").alias("y"), "v")
+    return pairs.join(one, ["a", "x"]).join(two, ["b", "y"]).select("a", "b", "n", "m", "u", "v").mapInArrow(verify, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -193,16 +228,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must lie above 0 and not above 1")
-    rows = cut_lineage(usable(vectors, id_col, vector_col))
-    nodes = cut_lineage(rows.where("v IS NOT NULL").groupBy("v", "width").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep")))
-    known = nodes.where("rep IS NOT NULL")
-    found = vectors.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
-    for (width,) in known.select("width").distinct().orderBy("width").collect():  # lengths of vectors, not vectors
-        found = found.unionAll(_links(known, width, cosine))
-    found = cut_lineage(found)
-    more = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more"))
-    classes = components(found.where("a <> b"))
+    rows = usable(vectors, id_col, vector_col)
+    rows = rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.col("width")).alias("width"), *_marks(F.col("v")))
+    fine, keys = rows.where("v IS NOT NULL"), ["mark", "more", "width"]
+    nodes, found = [], []
+    for (width,) in fine.select("width").distinct().orderBy("width").collect():  # lengths of vectors, not vectors
+        of_width = fine.where(F.col("width") == width)
+        coded = of_width.select("vec_id", "mark", "more", "v").mapInArrow(_encode(rotation(of_width, width)), "vec_id bigint, mark bigint, more bigint, code binary")
+        coded = coded.groupBy("mark", "more").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep"), F.first("code").alias("code"))
+        nodes.append(store(coded.withColumn("width", F.lit(width)), "vector-codes"))
+        found.append(store(_links(nodes[-1].where("rep IS NOT NULL"), width, cosine), "vector-links"))
+    if not nodes:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    nodes, found = (reduce(DataFrame.unionAll, parts) for parts in (nodes, found))
+    pairs, links = found.where("m IS NOT NULL"), found.where("m IS NULL").select("a", "b", "n")
+    if not pairs.isEmpty():
+        links = links.unionAll(store(_verified(pairs, nodes, rows, cosine), "vector-links"))
+    more = links.where("a = b").groupBy("a").agg(F.sum("n").alias("more_links"))
+    classes = components(links.where("a <> b"))
     linked = nodes.join(more, F.col("rep") == F.col("a"), "left").join(classes, F.col("rep") == F.col("node"), "left")
-    linked = linked.select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    whole = rows.join(linked, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    linked = linked.select(*keys, (F.col("n") - 1 + F.coalesce("more_links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    whole = rows.select("vec_id", *keys).join(linked, keys, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

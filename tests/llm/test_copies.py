@@ -270,6 +270,36 @@ def test_vectors_repeated_and_nameless(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(["(1, 1, 1, True)", "(1, 1, 1, True)", "(None, 0, None, False)", "(None, 0, None, False)", "(2, 0, 2, True)"])
 
 
+def test_vectors_are_dealt_a_few_times(spark, monkeypatch):
+    """What is shuffled stays in proportion to the vectors: a few short rows for each, whatever lies near to it."""
+    dealt, cut = spark.sparkContext.accumulator(0), vectors.segments
+
+    def counted(batches, keys, role):
+        def seen():
+            for batch in batches:
+                dealt.add(batch.num_rows)
+                yield batch
+
+        return cut(seen(), keys, role)
+
+    monkeypatch.setattr(vectors, "segments", counted)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(300, 64)))]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == brute_vectors(rows)
+    assert 300 <= dealt.value <= 300 * 6
+
+
+def test_vectors_at_the_bound(spark, monkeypatch):
+    """Pairs that codes can't tell are verified on the vectors, also those of repeated vectors."""
+    monkeypatch.setattr(vectors, "TILE", 8)
+    angle, draw = np.arccos(0.95), random.Random(4)
+    turns = [k * angle + draw.choice([-1, 1]) * 10.0 ** -draw.randint(5, 8) for k in range(1, 12) for _ in range(4)]
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turns)] + [(100 + i, [3.0, 0.0]) for i in range(3)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == brute_vectors(rows)
+
+
 def test_clashing_names_are_there(spark):
     assert set(CLASHES) <= set(documents(spark, []).columns)
     assert documents(spark, odd_rows()).agg(F.count("*")).first()[0] == len(odd_rows())
