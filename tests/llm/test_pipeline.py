@@ -24,6 +24,20 @@ def texts(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_near_copies_broadcast_no_keys(spark, monkeypatch):
+    """A few MB of fingerprints become 64 times as many keys, which the driver could not build a broadcast of."""
+    plans, components = [], simhash.components
+
+    def seen(edges):
+        found = components(edges)
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "components", seen)
+    corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert len(plans) == 1 and "Generate explode" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_toxic_documents_go(spark, stages):
     scores = toxicity.score_documents(stages[0], spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert texts(stages[1]).keys() == {r["doc_id"] for r in scores if not r["predicted"]}
